@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import sharding, simhash
+from sieveline.llm import bpe, sharding, simhash, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_file_digests(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op7_bpe_pair_index, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, sharding, simhash, tokenfiles
+from sieveline.llm import bpe, licenses, outliers, sharding, simhash, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -25,5 +33,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op7_bpe_pair_index, op9_token_id_files, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_robust_outliers, op4_license_diagonals, op7_bpe_pair_index, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}

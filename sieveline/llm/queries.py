@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, licenses, outliers, sharding, simhash, tokenfiles
+from sieveline.llm import bpe, decontamination, disclosure, htmltext, licenses, outliers, quality, sharding, simhash, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -16,14 +16,30 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(disclosure.find(table(spark, sf_dir, "documents")))
+
+
+def op6_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digests(spark, table(spark, sf_dir, "documents"))
 
@@ -33,5 +49,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_robust_outliers, op4_license_diagonals, op7_bpe_pair_index, op9_token_id_files, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_balanced_label_propagation,
+        op2_robust_outliers,
+        op3_text_density,
+        op4_license_diagonals,
+        op5_disclosure_sanitiser,
+        op6_random_indexing_quality,
+        op7_bpe_pair_index,
+        op8_qgram_decontamination,
+        op9_token_id_files,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}

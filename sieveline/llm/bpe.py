@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship
-from sieveline.llm.textarrays import slices
+from sieveline.llm.textarrays import hashes, slices, tokens
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Words that a Python worker remembers, about 300 bytes each, and bytes of text whose new words are merged together.
-REMEMBERED = 500_000
-BATCH_BYTES = 1 << 25
-#: White space between words; str.split() also splits at \x1c-\x1f, which belong to words here.
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-_ODD = regex.compile(r"[\x1c-\x1f]")
+#: Bytes of text whose distinct words are encoded together.
+BATCH_BYTES = 1 << 23
+#: White space beyond ASCII that parts words, and all of it; \x1c-\x1f are no white space here.
+_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = regex.compile(rf"[\t-\r {_WIDE}]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
+_WORD = np.ones(256, np.uint8)
+_WORD[[9, 10, 11, 12, 13, 32]] = 0
+
 
 def vocabulary_path(path: str | None = None) -> str:
     """path, or the installed word vocabulary."""
@@ -156,61 +158,52 @@ def normal(text: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
+    return [w for w in _SPACE.split(text) if w]
 
 
 def pieces_of(word: str) -> list[str]:
-    return [word] if word.isalpha() else _PIECE.findall(word)
-
-
-class Codec:
-    """Words to ids and back, remembered within a worker. words(text) are what remember() and the tables take."""
-
-    def __init__(self, path: str):
-        self.index = _index(path)
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
-
-    def words(self, text: str) -> list[str]:
-        special = self.index.special
-        if special is None or "<" not in text or not special.search(text):
-            return words_of(normal(text))
-        out: list[str] = []
-        for part in special.split(text):
-            # an added token is kept under a name that no word can have
-            out += [f" {part}"] if part in self.index.added else words_of(normal(part))
-        return out
-
-    def remember(self, words) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.decoded.clear()
-            new = list(words)
-        plain = [w for w in new if w[0] != " "]
-        pieces: dict[str, int] = {}
-        cut = [[pieces.setdefault(p, len(pieces)) for p in pieces_of(w)] for w in plain]
-        ids, ends = self.index.encode(list(pieces))
-        flat, names, bounds = ids.tolist(), self.index.names, [0, *ends.tolist()]
-        as_ids = [" ".join(map(str, flat[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        as_text = [" ".join([names[i] for i in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for w, c in zip(plain, cut, strict=True):
-            if len(c) == 1:
-                self.ids[w], self.decoded[w] = as_ids[c[0]], as_text[c[0]]
-            else:
-                self.ids[w], self.decoded[w] = " ".join([as_ids[i] for i in c]), " ".join([as_text[i] for i in c])
-        for w in new:
-            if w[0] == " ":
-                self.ids[w], self.decoded[w] = str(self.index.added[w[1:]]), w[1:]
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if word.isalpha():
+        return [word]
+    if word[-1] in ",.;:!?" and word[:-1].isalpha():
+        return [word[:-1], word[-1]]
+    return _PIECE.findall(word)
+
+
+class Words:
+    """The distinct words of many normal texts, and which word stands where: the words of row i are distinct[which[bounds[i]:bounds[i+1]]]."""
+
+    def __init__(self, texts: list[str]):
+        raw = [" ".join(words_of(t)) if not t.isascii() and any(c in t for c in _WIDE) else t for t in texts]
+        at, hashed, strings, counts = 0, [], [], []
+        spans: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+        for lo, hi, data, rows in slices(pa.array(raw, pa.large_string())):
+            starts, ends, row = tokens(data, rows, _WORD)
+            hashed.append(hashes(data, starts, ends))
+            counts.append(np.bincount(row, minlength=hi - lo))
+            spans.append((starts, ends, data.tobytes()))
+        h = np.concatenate([np.zeros(0, np.uint64), *hashed])
+        _, first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        begin = np.cumsum([0, *map(len, hashed)])
+        part = np.searchsorted(begin, first, side="right") - 1
+        for at, p in zip(first.tolist(), part.tolist(), strict=True):
+            starts, ends, data = spans[p]
+            i = at - begin[p]
+            strings.append(data[starts[i] : ends[i]].decode())
+        self.distinct = strings
+        self.bounds = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))
+
+    def pieces(self) -> tuple[list[str], list[list[int]]]:
+        """Distinct pieces of the distinct words, and the pieces of each word."""
+        known: dict[str, int] = {}
+        cut = [[known.setdefault(p, len(known)) for p in pieces_of(w)] for w in self.distinct]
+        return list(known), cut
+
+
+def parts_of(text: str, index: PairIndex) -> list[tuple[bool, str]] | None:
+    """A text that holds added tokens, as (is one, normal text) parts; None for all other texts."""
+    if index.special is None or "<" not in text or not index.special.search(text):
+        return None
+    return [(p in index.added, p if p in index.added else normal(p)) for p in index.special.split(text) if p]
 
 
 def text_runs(column: pa.Array):
@@ -219,6 +212,37 @@ def text_runs(column: pa.Array):
         yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
+def encoded(index: PairIndex, texts: list[str]):
+    """(ids in decimal, decoded text) of each text, both joined by a space."""
+    parts = {i: p for i, t in enumerate(texts) if (p := parts_of(t, index))}
+    plain = [part for i, t in enumerate(texts) for part in (parts.get(i) or [(False, normal(t))])]
+    words = Words(["" if special else t for special, t in plain])
+    pieces, cut = words.pieces()
+    ids, ends = index.encode(pieces)
+    bounds, names = [0, *ends.tolist()], index.names
+    number = [str(i) for i in range(index.size)]
+    flat = ids.tolist()
+    as_ids = [" ".join([number[i] for i in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    as_text = [" ".join([names[i] for i in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    del flat
+    word_ids = [as_ids[c[0]] if len(c) == 1 else " ".join([as_ids[i] for i in c]) for c in cut]
+    word_text = [as_text[c[0]] if len(c) == 1 else " ".join([as_text[i] for i in c]) for c in cut]
+    row = 0
+    for i in range(len(texts)):
+        out_ids, out_text = [], []
+        for special, t in parts.get(i) or [(False, "")]:
+            if special:
+                out_ids.append(str(index.added[t]))
+                out_text.append(t)
+            else:
+                which = words.which[words.bounds[row] : words.bounds[row + 1]].tolist()
+                if which:
+                    out_ids.append(" ".join([word_ids[k] for k in which]))
+                    out_text.append(" ".join([word_text[k] for k in which]))
+            row += 1
+        yield " ".join(out_ids), " ".join(out_text)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, and ids where asked; docs keeps no other column.
 
@@ -230,22 +254,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     path = vocabulary_path(path)
 
     def each(batches):
-        c = codec(path)
+        index = _index(path)
         for batch in batches:
             for lo, hi, texts in text_runs(batch.column(1)):
-                new: set[str] = set()
-                for t in texts:
-                    new.update(c.words(t))
-                c.remember(new)
-                n, ids_sha, text_sha, flat, sizes = [], [], [], [], []
-                for t in texts:
-                    words = c.words(t)
-                    ids = " ".join(map(c.ids.__getitem__, words))
+                n, ids_sha, text_sha, flat = [], [], [], []
+                for ids, decoded in encoded(index, texts):
                     n.append(ids.count(" ") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(" ".join(map(c.decoded.__getitem__, words)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        flat.append(np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32))
+                        flat.append(np.array(ids.split(), np.int32))
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
                 if with_ids:
                     sizes = np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int32)

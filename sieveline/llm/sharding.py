@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import ranked, saved
 
-#: Rows of one cell of a ranking, about.
-CELL_ROWS = 4096
+#: Rows of one cell of a ranking, about, and of one bucket of links.
+CELL_ROWS, BUCKET_ROWS = 512, 4096
 
 
 def _cells(state: DataFrame, buckets: int) -> DataFrame:
@@ -54,7 +54,7 @@ def balanced_shards(rows: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.rand(7).cast("string"))
     start = saved(rows.withColumn("link", F.coalesce(F.col("link"), alone)), "rows")
     n = start.count()
-    buckets = max(256, n // CELL_ROWS)
+    buckets = max(256, n // BUCKET_ROWS)
     sizes = saved(start.groupBy("link").agg(F.count("*").alias("n_link")).where("n_link > 1"), "links")
     state = start.join(sizes, "link", "left").withColumn("n_link", F.coalesce("n_link", F.lit(1)))
     state = _cells(state, buckets).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int"))

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.bpe import REMEMBERED, normal, pieces_of, text_runs, vocabulary_path, words_of
+from sieveline.llm.bpe import Words, normal, text_runs, vocabulary_path
 from sieveline.llm.common import saved, shared_path, ship
 
 MAGIC = b"SVTOKID1"
@@ -36,38 +36,71 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids by the tokenizers library, which sees each word that a worker meets once.
+    """Texts to little-endian 32-bit ids by the tokenizers library, which sees each distinct piece of a run of texts once.
 
-    The vocabulary's normalizer and splitter never join what white space parts, so a text's ids are its words' ids in order.
+    The vocabulary's normalizer and splitter never join what white space parts, so the ids of a text are those of its pieces, in
+    order. Pieces are normal already: the library's model gets them parted by spaces, and the last id of each ends a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_padding()
+        self.whole.no_truncation()
+        self.model = Tokenizer.from_file(path)
+        self.model.no_padding()
+        self.model.no_truncation()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(self.model.model, "_resize_cache"):
+            self.model.model._resize_cache(0)  # no piece comes twice
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where each one's end."""
+        flat, ends = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        at = 0
+        for lo in range(0, len(pieces), 50_000):
+            some = pieces[lo : lo + 50_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(some):  # a piece with a character that the splitter takes for white space
+                each = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+                ids, end = np.concatenate(each), np.cumsum([len(e) for e in each])
+            flat.append(ids)
+            ends.append(end + at)
+            at += len(ids)
+        return np.concatenate(flat), np.concatenate(ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        words: set[str] = set()
-        for t, w in zip(texts, whole, strict=True):
-            if not w:
-                words.update(words_of(normal(t)))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        pieces: dict[str, int] = {}
-        cut = [[pieces.setdefault(p, len(pieces)) for p in pieces_of(w)] for w in new]
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)]
-        for w, c in zip(new, cut, strict=True):
-            self.known[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[i] for i in c])
-        look = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(look, words_of(normal(t)))) for t, w in zip(texts, whole, strict=True)]
+        odd = [any(a in t for a in self.added) for t in texts]
+        words = Words(["" if o else normal(t) for t, o in zip(texts, odd, strict=True)])
+        pieces, cut = words.pieces()
+        ids, ends = self._pieces(pieces)
+        starts = np.append(0, ends[:-1])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        piece = np.fromiter((i for c in cut for i in c), np.int64, int(n.sum()))
+        first = np.append(0, np.cumsum(n)[:-1]).astype(np.int64)
+        # pieces of each word in the texts, then ids of each piece
+        at = _ranges(first[words.which], n[words.which])
+        run = piece[at]
+        size = (ends - starts)[run]
+        flat = ids[_ranges(starts[run], size)].astype("<u4")
+        per_word = np.append(0, np.cumsum(n[words.which]))
+        per_piece = np.append(0, np.cumsum(size))
+        bounds = per_piece[per_word[words.bounds]].tolist()
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each start, so many as its size."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 def encoder(path: str) -> Encoder:

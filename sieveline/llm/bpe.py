@@ -19,7 +19,7 @@ from sieveline.llm.textarrays import hashes, slices, tokens
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 12 << 20
 #: White space beyond ASCII that parts words, and all of it; \x1c-\x1f are no white space here.
 _WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = regex.compile(rf"[\t-\r {_WIDE}]+")
@@ -174,29 +174,34 @@ class Words:
 
     def __init__(self, texts: list[str]):
         raw = [" ".join(words_of(t)) if not t.isascii() and any(c in t for c in _WIDE) else t for t in texts]
-        at, hashed, strings, counts = 0, [], [], []
+        hashed, counts = [], []
         spans: list[tuple[np.ndarray, np.ndarray, bytes]] = []
         for lo, hi, data, rows in slices(pa.array(raw, pa.large_string())):
             starts, ends, row = tokens(data, rows, _WORD)
             hashed.append(hashes(data, starts, ends))
             counts.append(np.bincount(row, minlength=hi - lo))
             spans.append((starts, ends, data.tobytes()))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashed])
-        _, first, self.which = np.unique(h, return_index=True, return_inverse=True)
-        begin = np.cumsum([0, *map(len, hashed)])
-        part = np.searchsorted(begin, first, side="right") - 1
-        for at, p in zip(first.tolist(), part.tolist(), strict=True):
-            starts, ends, data = spans[p]
-            i = at - begin[p]
-            strings.append(data[starts[i] : ends[i]].decode())
-        self.distinct = strings
+        _, first, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed]), return_index=True, return_inverse=True)
+        order = np.argsort(first)  # words in the order of the texts
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.which = place[which]
+        first = first[order]
+        self.distinct: list[str] = []
+        begin = 0
+        for (starts, ends, data), h in zip(spans, hashed, strict=True):
+            own = first[(first >= begin) & (first < begin + len(h))] - begin
+            self.distinct += [data[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            begin += len(h)
         self.bounds = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))
 
-    def pieces(self) -> tuple[list[str], list[list[int]]]:
-        """Distinct pieces of the distinct words, and the pieces of each word."""
-        known: dict[str, int] = {}
-        cut = [[known.setdefault(p, len(known)) for p in pieces_of(w)] for w in self.distinct]
-        return list(known), cut
+
+def pieces(words: list[str]) -> tuple[list[str], list[list[int]]]:
+    """Distinct pieces of distinct words, and the pieces of each word."""
+    known: dict[str, int] = {}
+    put = known.setdefault
+    cut = [[put(w, len(known))] if w.isalpha() else [put(p, len(known)) for p in pieces_of(w)] for w in words]
+    return list(known), cut
 
 
 def parts_of(text: str, index: PairIndex) -> list[tuple[bool, str]] | None:
@@ -217,8 +222,8 @@ def encoded(index: PairIndex, texts: list[str]):
     parts = {i: p for i, t in enumerate(texts) if (p := parts_of(t, index))}
     plain = [part for i, t in enumerate(texts) for part in (parts.get(i) or [(False, normal(t))])]
     words = Words(["" if special else t for special, t in plain])
-    pieces, cut = words.pieces()
-    ids, ends = index.encode(pieces)
+    some, cut = pieces(words.distinct)
+    ids, ends = index.encode(some)
     bounds, names = [0, *ends.tolist()], index.names
     number = [str(i) for i in range(index.size)]
     flat = ids.tolist()

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.bpe import Words, normal, text_runs, vocabulary_path
+from sieveline.llm.bpe import Words, normal, pieces, text_runs, vocabulary_path
 from sieveline.llm.common import saved, shared_path, ship
 
 MAGIC = b"SVTOKID1"
@@ -31,7 +31,9 @@ NO_ID = -(1 << 63)
 END_ID = 1
 #: The dictionary: its bytes, and the documents (those with the smallest hashed doc_id) and ids of each that it is trained on.
 DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 1 << 16, 2000, 4096
-LEVEL = 3
+LEVEL = 1
+#: Words, the first that it meets, that a worker remembers the ids of.
+REMEMBERED = 300_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -59,14 +61,16 @@ class Encoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, some_pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and where each one's end."""
         flat, ends = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         at = 0
-        for lo in range(0, len(pieces), 50_000):
-            some = pieces[lo : lo + 50_000]
+        for lo in range(0, len(some_pieces), 50_000):
+            some = some_pieces[lo : lo + 50_000]
             ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) != len(some):  # a piece with a character that the splitter takes for white space
@@ -77,24 +81,38 @@ class Encoder:
             at += len(ids)
         return np.concatenate(flat), np.concatenate(ends)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(a in t for a in self.added) for t in texts]
-        words = Words(["" if o else normal(t) for t, o in zip(texts, odd, strict=True)])
-        pieces, cut = words.pieces()
-        ids, ends = self._pieces(pieces)
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        some, cut = pieces(words)
+        ids, ends = self._pieces(some)
         starts = np.append(0, ends[:-1])
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         piece = np.fromiter((i for c in cut for i in c), np.int64, int(n.sum()))
-        first = np.append(0, np.cumsum(n)[:-1]).astype(np.int64)
-        # pieces of each word in the texts, then ids of each piece
-        at = _ranges(first[words.which], n[words.which])
-        run = piece[at]
-        size = (ends - starts)[run]
-        flat = ids[_ranges(starts[run], size)].astype("<u4")
-        per_word = np.append(0, np.cumsum(n[words.which]))
-        per_piece = np.append(0, np.cumsum(size))
-        bounds = per_piece[per_word[words.bounds]].tolist()
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
+        sizes = (ends - starts)[piece]
+        total = np.append(0, np.cumsum(sizes))
+        return ids[_ranges(starts[piece], sizes)], total[np.cumsum(n)] - total[np.cumsum(n) - n]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [any(a in t for a in self.added) for t in texts]
+        words = Words(["" if o else normal(t) for t, o in zip(texts, odd, strict=True)])
+        look = self.known.get
+        slot = np.fromiter((look(w, -1) for w in words.distinct), np.int64, len(words.distinct))
+        unknown = np.flatnonzero(slot < 0)
+        new = [words.distinct[i] for i in unknown.tolist()]
+        ids, n = self._words(new)
+        starts = np.cumsum(n) - n + len(self.ids)
+        slot[unknown] = np.arange(len(new)) + len(self.known)
+        flat = np.concatenate([self.ids, ids]).astype("<u4")
+        start, size = np.concatenate([self.start, starts]), np.concatenate([self.size, n])
+        if room := max(0, min(len(new), REMEMBERED - len(self.known))):
+            self.known.update(zip(new[:room], range(len(self.known), len(self.known) + room)))
+            self.start, self.size = start[: len(self.known)], size[: len(self.known)]
+            self.ids = flat[: int(self.start[-1] + self.size[-1])].copy()
+        at = slot[words.which]
+        per_word = np.append(0, np.cumsum(size[at]))
+        out = flat[_ranges(start[at], size[at])]
+        bounds = per_word[words.bounds].tolist()
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

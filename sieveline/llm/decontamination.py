@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship
+from sieveline.llm.common import saved, ship, small
 from sieveline.llm.textarrays import mixed
 
 #: Characters of a q-gram (eight one-byte codes make a machine word) and edits allowed per character of a passage.
@@ -218,4 +218,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, in which leaks() finds nothing. A null doc_id is kept only if its text is clean too."""
     keyed = docs.withColumn("_id", F.xxhash64("text"))
     found = saved(leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return keyed.join(found, "_id", "left_anti").drop("_id")
+    return keyed.join(small(found, 2_000_000), "_id", "left_anti").drop("_id")

@@ -189,11 +189,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(rows: DataFrame, labels: DataFrame) -> Network:
-    """Fit on the labelled rows (doc_id, features) that are not held out, at most MOST_LABELLED of them."""
+def labelled_sample(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the labelled documents to learn from: among ids, not held out, at most MOST_LABELLED, by hashed doc_id."""
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
-    sample = known.join(rows.select("doc_id", "features"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(MOST_LABELLED)
-    got = sample.select("quality", "features").toPandas()
+    return saved(known.join(ids.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(MOST_LABELLED), "sample")
+
+
+def train(rows: DataFrame, sample: DataFrame) -> Network:
+    """Fit on the features of the sample; rows: doc_id, features. The sample has at most MOST_LABELLED rows, so it is broadcast."""
+    got = rows.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(MOST_LABELLED).select("quality", "features").toPandas()
     x = np.stack([np.frombuffer(f, np.float32) for f in got["features"]]).astype(float) if len(got) else np.zeros((0, FEATURES))
     return fit(x, got["quality"].to_numpy(dtype=int))
 
@@ -220,7 +224,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(features(docs, word_vectors(docs), ["doc_id"]), "features")
-    out = _scored(rows, train(rows, labels))
+    out = _scored(rows, train(rows, labelled_sample(docs, labels)))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
@@ -228,8 +232,8 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, with predicted 1. Texts stay where they are: they are scored again in place of a join."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = word_vectors(slim)
-    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    net = train(saved(features(slim.join(known, "doc_id", "left_semi"), vectors, ["doc_id"]), "features"), labels)
+    sample = labelled_sample(slim, labels)
+    net = train(features(slim.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"), vectors, ["doc_id"]), sample)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
     at = names.index("text")

@@ -169,9 +169,16 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def representatives(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """One document of each component, all columns: that with the smallest doc_id. Repeated doc_ids keep one of their rows."""
-    classes = near_duplicates(docs, bits).select("doc_id", "component_id")
-    keep = saved(classes.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "keep")
-    once = docs.join(keep.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    many = docs.join(keep.where("copies > 1").select("doc_id"), "doc_id", "left_semi")
-    return once.unionByName(many.dropDuplicates(["doc_id"]))
+    """One document of each component, all columns: that with the smallest doc_id.
+
+    The documents to drop are joined to the texts, by broadcast while they are few. Repeated doc_ids keep one of their rows; a
+    document without doc_id is never dropped.
+    """
+    classes = saved(near_duplicates(docs, bits).select("doc_id", "component_id"), "classes")
+    drop = saved(classes.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    kept = docs.join(small(drop, 2_000_000), "doc_id", "left_anti")
+    repeated = saved(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(small(repeated, 2_000_000), "doc_id", "left_anti")
+    return once.unionByName(kept.join(small(repeated, 2_000_000), "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -105,13 +105,12 @@ def nearby(rows: DataFrame) -> DataFrame:
     return c.select("doc_id", "th", "entity", F.explode(F.concat(left, right)).alias("t")).select("doc_id", "th", "entity", "t.term", "t.start", "t.stop")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """entity, term, disclosure: the pairs whose term carries at least DISCLOSED of the entity's information.
 
-    PMI = log2(c N / (df(entity) df(term))) and IC = log2(N / df(entity)) over documents; c counts documents with the term in the
+    PMI = log2(c N / (df(entity) df(term))) and IC = log2(N / df(entity)) over the N = n documents; c counts documents with the term in the
     entity's context. Frequencies of terms are taken over all documents, for the terms that pairs ask for.
     """
-    n = rows.count()
     together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
     together = saved(together, "together")
     entities = rows.select("doc_id", "th", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
@@ -128,8 +127,9 @@ def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, th, terms (array like base's) of the documents with disclosing terms."""
-    near = saved(nearby(rows), "near")
-    pairs = saved(disclosing(docs, near, rows), "disclosing")
+    some = rows.where(F.size("base") > 0)
+    near = saved(nearby(some), "near")
+    pairs = saved(disclosing(docs, near, some, rows.count()), "disclosing")
     hits = near.join(pairs.select("entity", "term"), ["entity", "term"]).select("doc_id", "th", F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "stop", F.col("term").alias("value")).alias("s"))
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
@@ -145,7 +145,7 @@ def find(docs: DataFrame) -> DataFrame:
     doc_id is a document of its own text. Other columns are ignored.
     """
     rows = saved(spanned(docs), "spans")
-    extra = term_spans(docs, rows.where(F.size("base") > 0)).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    extra = term_spans(docs, rows).withColumnsRenamed({"doc_id": "d", "th": "t"})
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
     return rows.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
 
@@ -163,7 +163,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     Base spans are found again in place; only the few disclosing terms are joined to the texts. n_chars, where present, follows the text.
     """
     rows = saved(spanned(docs), "spans")
-    extra = saved(term_spans(docs, rows.where(F.size("base") > 0)), "terms").withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    extra = saved(term_spans(docs, rows), "terms").withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("_th", F.xxhash64(text)).join(small(extra, 50_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")

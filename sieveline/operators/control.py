@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,37 +51,59 @@ def micros(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {ts})")
 
 
-def token_bucket(asked: DataFrame, key: str, capacity: float, per_day: float, hours: int = 24) -> DataFrame:
-    """event_id and admitted: a bucket per key, refilled in proportion to time, one token per request; refused requests refill too.
+def token_bucket(asked: DataFrame, key: str, capacity: float, per_day: float) -> DataFrame:
+    """key, event_id and admitted: a bucket per key, refilled in proportion to time, one token per request; refused requests refill too.
 
-    An ordered fold per key. A key's requests are one array, which suits per-subject limits; a key with more requests than a task can hold
-    needs the streaming form (sieveline.streaming).
+    Each step needs the one before it, so a key's requests pass through one task in order of time; they stream through it, and only a
+    bucket is held in memory, whatever the key's size. Repeated rows are requests of their own; a null key is a key.
     """
-    rows = asked.select(key, F.struct((micros() / 86_400_000_000).alias("t"), "event_id").alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    none = F.array().cast("array<struct<event_id:bigint,admitted:boolean>>")
-    first = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("t"), none.alias("out"))
+    rows = asked.select(key, "event_id", (micros() / 86_400_000_000).alias("t"))
+    kind = rows.schema[key].dataType.simpleString()
 
-    def step(acc: Column, r: Column) -> Column:
-        have = F.least(F.lit(float(capacity)), acc["tokens"] + F.coalesce(r["t"] - acc["t"], F.lit(0.0)) * float(per_day))
-        ok = have >= 1.0
-        return F.struct((have - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), r["t"].alias("t"), F.concat(acc["out"], F.array(F.struct(r["event_id"].alias("event_id"), ok.alias("admitted")))).alias("out"))
+    def each(batches):
+        owner, tokens, last = object(), 0.0, 0.0
+        for batch in batches:
+            admitted = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != owner:
+                    owner, tokens, last = k, float(capacity), t
+                tokens, last = min(float(capacity), tokens + (t - last) * float(per_day)), t
+                admitted.append(tokens >= 1.0)
+                tokens -= admitted[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(admitted, pa.bool_())], names=[key, "event_id", "admitted"])
 
-    return rows.select(key, F.inline(F.aggregate("rs", first, step, lambda acc: acc["out"])))
+    return rows.where("t is not null").repartition(key).sortWithinPartitions(key, "t", "event_id").mapInArrow(each, f"`{key}` {kind}, event_id long, admitted boolean")
+
+
+def sum_before(asked: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """asked with before: the sum of amount over the earlier requests (ts, then event_id) of the same keys.
+
+    In two levels, so that a key with much of the data is many groups: sums by hour, running totals over the few hours, and
+    a window inside each hour.
+    """
+    rows = asked.withColumn("_hour", F.date_trunc("hour", "ts")).withColumn("_amount", amount)
+    hours = rows.groupBy(*keys, "_hour").agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_hour").alias("_h"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    same = F.col("_hour").eqNullSafe(F.col("_h"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = Window.partitionBy(*keys, "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(hours, same).withColumn("before", F.col("_base") + F.coalesce(F.sum("_amount").over(own), F.lit(0)))
+    return out.select(*asked.columns, "before")
 
 
 def running_quota(asked: DataFrame, limit: int) -> DataFrame:
     """used before each request of a tenant within its month, and whether the quota still admits it."""
-    month = F.date_format("ts", "yyyy-MM")
-    own = Window.partitionBy("tenant_id", month).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.count("*").over(own), F.lit(0))
-    return asked.select("event_id", "tenant_id", month.alias("month"), used.alias("used"), (used < limit).alias("admitted"))
+    rows = sum_before(asked.withColumn("month", F.date_format("ts", "yyyy-MM")), ["tenant_id", "month"], F.lit(1).cast("long"))
+    return rows.select("event_id", "tenant_id", "month", F.col("before").alias("used"), (F.col("before") < limit).alias("admitted"))
 
 
 def ledger(asked: DataFrame, credits: float) -> DataFrame:
     """Running balance of each tenant: purchases charge their value, other requests one hundredth; in integer hundredths."""
-    charge = F.when(F.col("tool") == "scan_repository", F.floor(F.col("value") * 100)).otherwise(F.lit(1))
-    own = Window.partitionBy("tenant_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return asked.withColumn("charge", charge.cast("long")).select("event_id", "tenant_id", "charge", (F.lit(int(credits * 100)) - F.sum("charge").over(own)).alias("balance"))
+    charge = F.when(F.col("tool") == "scan_repository", F.floor(F.col("value") * 100)).otherwise(F.lit(1)).cast("long")
+    rows = sum_before(asked.withColumn("charge", charge), ["tenant_id"], charge)
+    return rows.select("event_id", "tenant_id", "charge", (F.lit(int(credits * 100)) - F.col("before") - F.col("charge")).alias("balance"))
 
 
 def metrics(asked: DataFrame) -> DataFrame:

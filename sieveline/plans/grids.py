@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators import catalog, scan
+from sieveline.operators import catalog, scan, structural
 from sieveline.operators.catalog import Rule
-from sieveline.plans.corpus import FILES_SQL, files
+from sieveline.plans.corpus import FILES_SQL, SNIPPETS, files
 
 FINDING = ["file_id", "path", "rule_id", "severity", "line", "column", "match_length", "excerpt"]
 INFRA_LANGUAGES = ("hcl", "yaml", "dockerfile")
@@ -114,6 +114,25 @@ def sarif_results(spark, sf_dir):
     return f.select("rule_id", "path", "line", "column", F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note").alias("level"), mark.alias("fingerprint"))
 
 
+def ast_findings(spark, sf_dir):
+    """Findings of the syntax-tree rules in Python files."""
+    return structural.findings(files(spark, sf_dir)).select("file_id", "rule_id", "severity", "line", "column")
+
+
+def hybrid_findings(spark, sf_dir):
+    """Both engines together: the base grid less what the syntax tree reports on the same line in the same family, collapsed."""
+    found = structural.findings(files(spark, sf_dir))
+    return scan.collapsed(scan.without_twins(base_findings(spark, sf_dir), found)).unionByName(found).select("file_id", "rule_id", "severity", "line", "column")
+
+
+#: Worked out by hand for each Python snippet of the corpus: rule, severity, line, column. Lines count the document's line before it.
+_BY_HAND = {
+    0: [("AST-005", "HIGH", 5, 5), ("AST-005", "HIGH", 6, 5), ("AST-003", "CRITICAL", 7, 12)],
+    1: [("AST-010", "MEDIUM", 2, 1), ("AST-009", "HIGH", 4, 8), ("AST-006", "HIGH", 5, 8), ("AST-006", "HIGH", 6, 8)],
+    4: [("AST-003", "CRITICAL", 5, 5), ("AST-003", "CRITICAL", 5, 10), ("AST-003", "CRITICAL", 5, 26)],
+    16: [("AST-004", "CRITICAL", 6, 1), ("AST-004b", "HIGH", 7, 1), ("AST-003", "CRITICAL", 9, 1), ("AST-011", "MEDIUM", 10, 1), ("AST-003b", "HIGH", 11, 8), ("AST-005t", "CRITICAL", 13, 1)],
+}
+_AST = "SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES " + ", ".join(f"({k}, '{r}', '{s}', CAST({n} AS INT), CAST({c} AS INT))" for k, rows in _BY_HAND.items() for r, s, n, c in rows) + f""") AS v(k, rule_id, severity, line, "column") ON d.doc_id % {len(SNIPPETS)} = v.k WHERE d.text IS NOT NULL"""
 _COLLAPSED = """, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, regexp_replace(rule_id, '[a-z]$', ''), line, severity ORDER BY ord, "column") AS n FROM findings) WHERE n = 1)"""
 _WEIGHT = "CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 4 ELSE 1 END"
 _LEVEL = "CASE WHEN {0} <= 0 THEN 'NONE' WHEN {0} < 20 THEN 'LOW' WHEN {0} < 50 THEN 'MEDIUM' WHEN {0} < 100 THEN 'HIGH' ELSE 'CRITICAL' END"
@@ -122,9 +141,11 @@ _RISK = f"""{_COLLAPSED}, scored AS (SELECT f.file_id, f.path, f.language, CAST(
 _RISK_ROWS = f"SELECT file_id, path, language, risk_score, {_LEVEL.format('risk_score')} AS risk_level, issue_count, CASE WHEN risk_score >= 40 THEN 'REJECTED' ELSE 'APPROVED' END AS verdict FROM scored"
 _SARIF_LEVEL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
 
-QUERIES = {f.__name__: f for f in (risk_by_file, base_grid_findings, lang_grid_findings, iac_findings, docker_findings, k8s_findings, rule_hit_counts, collapsed_findings, top_risky_files, repo_rollup, severity_scorecard, language_rollup, sarif_rules, sarif_results)}
+QUERIES = {f.__name__: f for f in (risk_by_file, base_grid_findings, lang_grid_findings, iac_findings, docker_findings, k8s_findings, rule_hit_counts, collapsed_findings, top_risky_files, repo_rollup, severity_scorecard, language_rollup, sarif_rules, sarif_results, ast_findings, hybrid_findings)}
 ORACLES = {
     "base_grid_findings": _select(_ALL),
+    "ast_findings": _AST,
+    "hybrid_findings": _select(f"""{_COLLAPSED.replace('FROM findings)', "FROM findings f WHERE NOT EXISTS (SELECT 1 FROM ast a WHERE a.file_id = f.file_id AND a.line = f.line AND regexp_extract(a.rule_id, '-([0-9]+)', 1) = regexp_extract(f.rule_id, '-([0-9]+)', 1)))").replace(', kept AS', f', ast AS ({_AST}), kept AS', 1)} SELECT file_id, rule_id, severity, line, "column" FROM kept UNION ALL SELECT * FROM ast"""),
     "lang_grid_findings": _select(_ALL, catalog.LANGUAGE),
     "iac_findings": _select(_ALL, catalog.IAC, _INFRA_WHERE),
     "docker_findings": _select(_ALL, catalog.DOCKER, "language = 'dockerfile'"),

@@ -1,0 +1,83 @@
+"""Operators on odd rows: nulls, empty tables, ties, text that does not parse, streams that arrive in parts."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from sieveline.operators import catalog, control, inventory, scan, structural
+from sieveline.streaming import live
+
+FILES = "file_id long, path string, language string, content string"
+
+
+def rules(spark, content):
+    df = spark.createDataFrame([(1, "a.py", "python", content)], FILES)
+    return [(r["rule_id"], r["line"], r["column"]) for r in structural.findings(df).orderBy("ord").collect()]
+
+
+def test_syntax_tree_rules(spark):
+    assert rules(spark, None) == rules(spark, "") == rules(spark, "just words, no code at all") == []
+    assert rules(spark, "def f(:\n") == [("AST-000", 1, 7)]
+    assert rules(spark, "from builtins import eval as e\ne(x)\nimport os as o\no.system('x')") == [("AST-003", 2, 1), ("AST-005", 4, 1)]
+    assert rules(spark, "cur.execute(name)\nname = input()\ncur.execute(f'a {name}')\ncur.execute('{}'.format(z))") == [("AST-004", 3, 1), ("AST-004b", 4, 1)]
+    assert rules(spark, "from pickle import loads\nimport yaml\nyaml.load(x, Loader=yaml.SafeLoader)") == [("AST-010", 1, 1)]
+    assert rules(spark, "a, b = request.form['x']\nb += 'c'\nopen(b)\nos.path.open(a.name)") == [("AST-011", 3, 1), ("AST-011", 4, 1)]
+    assert structural.findings(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_twins_and_last_wins(spark):
+    df = spark.createDataFrame([(1, "a.py", "python", "eval(x)\nos.system('eval')\n")], FILES)
+    left = scan.without_twins(scan.grid(df, catalog.BASE, "regex"), structural.findings(df))
+    assert left.count() == 0
+    twice = spark.createDataFrame([(1, "k", 1, "old"), (1, "k", 2, "new"), (1, "l", 3, "one")], "f int, key string, at int, v string")
+    assert sorted((r["key"], r["v"], r["place"]["at"]) for r in scan.last_wins(twice, ["key"], ["at"]).collect()) == [("k", "new", 1), ("l", "one", 3)]
+
+
+def requests(spark, n=60):
+    rows = [(i, 1 if i % 3 else None, i // 2) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, user_id long, s int").select("event_id", "user_id", F.col("user_id").alias("tenant_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, s * 20, 0)").alias("ts"), F.lit("scan_history").alias("tool"), F.lit(1.0).alias("value"))
+
+
+def test_running_totals_and_buckets_on_ties_and_null_keys(spark):
+    asked = requests(spark)
+    got = {r["event_id"]: r["used"] for r in control.running_quota(asked, 5).collect()}
+    want = {}
+    for r in sorted(asked.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        want[r["event_id"]] = sum(1 for e in want if (e % 3 > 0) == (r["event_id"] % 3 > 0))
+    assert got == want
+    admitted = {r["event_id"] for r in control.token_bucket(asked, "user_id", 2, 25).where("admitted").collect()}
+    held = {}
+    for r in sorted(asked.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        tokens, last = held.get(r["user_id"], (2.0, r["ts"]))
+        tokens = min(2.0, tokens + (r["ts"] - last).total_seconds() * 25 / 86400)
+        assert (tokens >= 1) == (r["event_id"] in admitted)
+        held[r["user_id"]] = (tokens - (tokens >= 1), r["ts"])
+    assert control.token_bucket(asked.where("false"), "user_id", 2, 25).count() == control.running_quota(asked.where("false"), 5).count() == 0
+
+
+def test_buckets_keep_their_state_between_triggers(spark, tmp_path):
+    asked = requests(spark).where("user_id is not null")
+    for part in range(3):
+        asked.where(F.col("event_id").between(part * 20, part * 20 + 19)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("ts", F.timestamp_micros(control.micros()))
+    got = {(r["event_id"], r["admitted"]) for r in live.drained(live.token_buckets(stream, "user_id", 2, 25), "b").collect()}
+    assert got == {(r["event_id"], r["admitted"]) for r in control.token_bucket(asked, "user_id", 2, 25).collect()}
+
+
+def test_a_finding_that_is_sent_again_is_dropped(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a.py", "python", "eval(x)"), (2, "a.py", "python", "eval(y)"), (3, "b.py", "python", None)], FILES).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "files"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "files"))
+    assert [r["path"] for r in live.drained(live.finding_stream(stream, catalog.BASE), "f").collect()] == ["a.py"]
+
+
+def test_inventory_of_odd_manifests(spark):
+    rows = [(1, "x/package.json", "{not json"), (1, "requirements.txt", None), (1, "other.txt", "a==1"), (2, "Cargo.toml", '[dependencies]\na = "1"'), (2, "requirements.txt", "A==1\na==1\n\n"), (3, "go.mod", "")]
+    found = inventory.components(spark.createDataFrame(rows, "project long, path string, content string"))
+    assert sorted((r["project"], r["purl"]) for r in found.collect()) == [(2, "pkg:cargo/a@1"), (2, "pkg:pypi/A@1")]
+    spdx = json.loads(inventory.spdx(found).first()["document"])
+    assert [p["SPDXID"] for p in spdx["packages"]] == ["SPDXRef-Package-1", "SPDXRef-Package-2"] and len(spdx["relationships"]) == 2
+    assert inventory.components(found.select("project", F.lit("p").alias("path"), F.lit("").alias("content")).where("false")).count() == 0
+    drafts = inventory.fix_drafts(spark.createDataFrame([("SEC-005b",), ("SEC-005",), ("SEC-001b",), ("ZZ-1",), (None,)], "rule_id string")).collect()
+    assert [r["title"] for r in drafts][:4] == ["Replace os.system", "Avoid shell=True", "Move cloud keys to a secret store", "Address ZZ-1"]

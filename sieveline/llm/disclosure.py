@@ -9,8 +9,9 @@ from sieveline.llm.common import saved, small
 
 #: Characters of context on either side of a protected value that terms are taken from.
 CONTEXT = 60
-#: A term is disclosed by how much of a value's information it carries: PMI / IC at least DISCLOSED, seen together in SUPPORT documents.
-DISCLOSED, SUPPORT = 0.9, 2
+#: A term discloses a value by how much of its information it carries: PMI / IC at least DISCLOSED, however few documents hold the pair.
+#: PRIOR documents without the value are added to those that hold the term (the half count of Jeffreys' prior).
+DISCLOSED, PRIOR = 0.9, 0.5
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of op5's contract. Possessive loops and the look-behind give the same matches and never step back.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -108,10 +109,10 @@ def nearby(rows: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """entity, term, disclosure: the pairs whose term carries at least DISCLOSED of the entity's information.
 
-    PMI = log2(c N / (df(entity) df(term))) and IC = log2(N / df(entity)) over the N = n documents; c counts documents with the term in the
+    PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n documents; c counts documents with the term in the
     entity's context. Frequencies of terms are taken over all documents, for the terms that pairs ask for.
     """
-    together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
+    together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
     together = saved(together, "together")
     entities = rows.select("doc_id", "th", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     wanted = saved(together.select("term").distinct(), "terms")
@@ -119,7 +120,7 @@ def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame, n: int) -> Dat
     if wanted.limit(200_001).count() <= 200_000:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     frequent = words.groupBy("term").agg(F.count("*").alias("df_term"))
-    pmi = F.log2(F.col("c") * F.lit(float(n)) / (F.col("df_entity") * F.col("df_term")))
+    pmi = F.log2(F.col("c") * F.lit(float(n)) / (F.col("df_entity") * (F.col("df_term") + PRIOR)))
     ic = F.log2(F.lit(float(n)) / F.col("df_entity"))
     scored = together.join(entities, "entity").join(frequent, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     return scored.where(F.col("disclosure") >= DISCLOSED).select("entity", "term", "disclosure")

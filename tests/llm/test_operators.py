@@ -102,6 +102,12 @@ def test_disclosing_terms(spark):
     assert "term:4:12" in out[0]["spans"] and "term:13:19" not in out[0]["spans"] and out[11]["spans"] == ""
 
 
+def test_a_term_of_one_document_discloses(spark):
+    rows = [(0, "the Zanzibar office of boss@corp.example.com opened")] + [(10 + i, f"the other office number {i} opened today") for i in range(99)]
+    out = by_id(disclosure.digests(disclosure.find(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert "term:4:12" in out[0]["spans"] and "term:13:19" not in out[0]["spans"] and out[11]["spans"] == ""
+
+
 def test_quality_learns_and_handles_odd_rows(spark, docs, empty):
     rng = np.random.default_rng(3)
     text = lambda good: " ".join(f"w{x}" + ("" if good else "###") for x in rng.integers(0, 300, 60))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, small
+from sieveline.llm.common import saved
 
-#: Characters of context on either side of a protected value that terms are taken from.
-CONTEXT = 60
 #: A term discloses a value by how much of its information it carries: PMI / IC at least DISCLOSED, however few documents hold the pair.
 #: PRIOR documents without the value are added to those that hold the term (the half count of Jeffreys' prior).
 DISCLOSED, PRIOR = 0.9, 0.5
@@ -22,8 +20,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Terms: words of four letters or more.
-_TERM = r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{L}\p{N}_])"
+#: A text is runs of word characters and runs of others, by turns; a term is a run of letters alone.
+_RUNS = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_]++"
+_TERM = r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{L}\p{N}_])"
 
 
 def _digits(value: Column) -> Column:
@@ -77,62 +76,63 @@ def _has(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | text.rlike("[0-9]")
 
 
-def spanned(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), base, contexts of every document.
+def _key(th: Column) -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), th)
 
-    contexts: for each span its value with the text around it and where that starts; no other text is carried on.
-    """
+
+def spanned(docs: DataFrame) -> DataFrame:
+    """docs' rows with th (a hash of the text), k (of doc_id and text) and base; a null text is empty and has no spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = rows.withColumn("base", F.when(_has(F.col("text")), base_spans(F.col("text"))).otherwise(none))
+    rows = docs.withColumns({"th": F.xxhash64(text), "base": F.when(_has(text), base_spans(text)).otherwise(_none())})
+    return rows.withColumn("k", _key(F.col("th")))
 
-    def around(s: Column) -> Column:
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), left.alias("left_at"), F.substring(F.col("text"), left + 1, s["start"] - left).alias("left"), s["stop"].alias("right_at"), F.substring(F.col("text"), s["stop"] + 1, F.lit(CONTEXT)).alias("right"))
 
-    return rows.select("doc_id", "th", "base", F.transform("base", around).alias("contexts"))
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
 
 
 def _terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
-def nearby(rows: DataFrame) -> DataFrame:
-    """doc_id, th, entity, term, start, stop: words in the contexts; a word that the context's edge may cut is left out."""
-    c = rows.select("doc_id", "th", F.explode("contexts").alias("c")).select("doc_id", "th", "c.*")
-    left = F.transform(located(F.col("left"), r"(?<=[\s])" + _TERM), lambda m: F.struct((m["start"] + F.col("left_at")).alias("start"), (m["stop"] + F.col("left_at")).alias("stop"), F.lower(m["value"]).alias("term")))
-    right = F.transform(located(F.col("right"), _TERM + r"(?=[^\p{L}\p{N}_])"), lambda m: F.struct((m["start"] + F.col("right_at")).alias("start"), (m["stop"] + F.col("right_at")).alias("stop"), F.lower(m["value"]).alias("term")))
-    return c.select("doc_id", "th", "entity", F.explode(F.concat(left, right)).alias("t")).select("doc_id", "th", "entity", "t.term", "t.start", "t.stop")
+def _places(text: Column, terms: Column) -> Column:
+    """Spans, like base's, of all places of the terms (in lower case) in text."""
+    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
 
+    def step(acc: Column, run: Column) -> Column:
+        stop, term = acc["at"] + F.length(run), F.lower(run)
+        span = F.struct(acc["at"].alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), stop.alias("stop"), term.alias("value"))
+        return F.struct(stop.alias("at"), F.when(F.array_contains(terms, term), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-def disclosing(docs: DataFrame, near: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """entity, term, disclosure: the pairs whose term carries at least DISCLOSED of the entity's information.
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0)), start, step, lambda acc: acc["found"])
 
-    PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n documents; c counts documents with the term in the
-    entity's context. Frequencies of terms are taken over all documents, for the terms that pairs ask for.
-    """
-    together = near.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
-    together = saved(together, "together")
-    entities = rows.select("doc_id", "th", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    wanted = saved(together.select("term").distinct(), "terms")
-    words = docs.select(F.explode(_terms_of(F.coalesce("text", F.lit("")))).alias("term"))
-    if wanted.limit(200_001).count() <= 200_000:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    frequent = words.groupBy("term").agg(F.count("*").alias("df_term"))
-    pmi = F.log2(F.col("c") * F.lit(float(n)) / (F.col("df_entity") * (F.col("df_term") + PRIOR)))
-    ic = F.log2(F.lit(float(n)) / F.col("df_entity"))
-    scored = together.join(entities, "entity").join(frequent, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
-    return scored.where(F.col("disclosure") >= DISCLOSED).select("entity", "term", "disclosure")
 
+def disclosing_terms(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """k, terms: for each text of some (k, base, text: the rows with spans) the words that disclose one of its values.
 
-def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, th, terms (array like base's) of the documents with disclosing terms."""
-    some = rows.where(F.size("base") > 0)
-    near = saved(nearby(some), "near")
-    pairs = saved(disclosing(docs, near, some, rows.count()), "disclosing")
-    hits = near.join(pairs.select("entity", "term"), ["entity", "term"]).select("doc_id", "th", F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "stop", F.col("term").alias("value")).alias("s"))
-    return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n rows of docs; c counts rows with both. A
+    term discloses if PMI is at least DISCLOSED of IC. c is at most df(entity), so terms over the frequency that this leaves are not paired.
+    """
+    bound = F.pow(F.lit(float(n)), 1 - DISCLOSED)
+    value = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    texts = some.groupBy("k").agg(F.count("*").alias("m"), F.first(value).alias("entities"), F.first(_terms_of(F.col("text"))).alias("words"))
+    texts = saved(texts, "texts")
+    held = texts.select("k", "m", F.explode("entities").alias("entity"))
+    entities = saved(held.groupBy("entity").agg(F.sum("m").alias("df_entity")).where(F.col("df_entity") < n), "entities")
+    words = texts.select("k", F.explode("words").alias("term"))
+    wanted = saved(words.select("term").distinct(), "words")
+    every = docs.select(F.explode(_terms_of(F.coalesce("text", F.lit("")))).alias("term"))
+    if wanted.limit(200_001).count() <= 200_000:
+        every = every.join(F.broadcast(wanted), "term", "left_semi")
+    most = entities.agg(F.max("df_entity").alias("m")).first()["m"] or 0
+    frequent = every.groupBy("term").agg(F.count("*").alias("df_term")).where(F.col("df_term") + PRIOR <= float(n) ** (1 - DISCLOSED) * float(most) ** DISCLOSED * (1 + 1e-9))
+    rare = words.join(saved(frequent, "frequencies"), "term")
+    pairs = held.join(entities, "entity").join(rare, "k").where(F.col("df_term") + PRIOR <= bound * F.pow("df_entity", F.lit(DISCLOSED)) * (1 + 1e-9))
+    pairs = saved(pairs.select("k", "m", "entity", "term", "df_entity", "df_term"), "pairs")
+    scored = pairs.groupBy("entity", "term").agg(F.sum("m").alias("c"), F.first("df_entity").alias("e"), F.first("df_term").alias("t"))
+    pmi, ic = F.log2(F.col("c") * F.lit(float(n)) / (F.col("e") * (F.col("t") + PRIOR))), F.log2(F.lit(float(n)) / F.col("e"))
+    found = scored.where(pmi >= DISCLOSED * ic).select("entity", "term")
+    return saved(pairs.join(found, ["entity", "term"]).groupBy("k").agg(F.collect_set("term").alias("terms")), "disclosing")
 
 
 def _joined(spans: Column) -> Column:
@@ -140,15 +140,16 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, th, base, terms of every document; terms are disclosing words near a protected value.
+    """doc_id, base, terms of every document; terms are the places of words that disclose one of its protected values.
 
-    Null texts are empty and have no spans; repeated rows stay and count as one document where they agree in doc_id and text; a null
-    doc_id is a document of its own text. Other columns are ignored.
+    Null texts are empty and have no spans; repeated rows stay and count each; a null doc_id is a document of its own text. Other
+    columns are ignored.
     """
-    rows = saved(spanned(docs), "spans")
-    extra = term_spans(docs, rows).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
-    return rows.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
+    rows = spanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+    rows = saved(rows, "spans")
+    terms = disclosing_terms(docs, rows.where(F.size("base") > 0), rows.count())
+    some = rows.where(F.size("base") > 0).join(terms, "k", "left").withColumn("terms", F.when(F.col("terms").isNotNull(), _places(F.col("text"), F.col("terms"))).otherwise(_none()))
+    return some.select("doc_id", "base", "terms").unionByName(rows.where(F.size("base") == 0).select("doc_id", "base", _none().alias("terms")))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -161,14 +162,13 @@ def digests(found: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span's text replaced by its kind in brackets. Overlapping spans become one, named by the first.
 
-    Base spans are found again in place; only the few disclosing terms are joined to the texts. n_chars, where present, follows the text.
+    Only the rows with base spans are joined to terms; the others pass. n_chars, where present, follows the text.
     """
-    rows = saved(spanned(docs), "spans")
-    extra = saved(term_spans(docs, rows), "terms").withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_th", F.xxhash64(text)).join(small(extra, 50_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    keyed = keyed.withColumn("_s", F.when(_has(text), F.array_sort(F.concat(base_spans(text), F.coalesce("terms", none)))).otherwise(F.coalesce("terms", none)))
+    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    some = saved(spanned(row).where(F.size("base") > 0), "spans")
+    terms = disclosing_terms(docs, some, docs.count())
+    keyed = some.join(terms, "k", "left")
+    keyed = keyed.withColumn("_s", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", _places(F.col("text"), F.col("terms"))))).otherwise(F.col("base")))
     names = F.create_map(*(x for k, v in GENERAL.items() for x in (F.lit(k), F.lit(v))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -178,7 +178,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, names[s["kind"]])).otherwise(acc["out"]).alias("out"))
 
     whole = F.aggregate("_s", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    out = keyed.withColumn("text", F.when(F.size("_s") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_s") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    keyed = keyed.withColumn("text", whole)
+    kinds = docs.schema
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(kinds["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = keyed.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    text = F.col("text")
+    return docs.where(text.isNull() | ~_has(text) | (F.size(base_spans(text)) == 0)).select(*docs.columns).union(changed)

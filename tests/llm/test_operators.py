@@ -108,6 +108,19 @@ def test_a_term_of_one_document_discloses(spark):
     assert "term:4:12" in out[0]["spans"] and "term:13:19" not in out[0]["spans"] and out[11]["spans"] == ""
 
 
+def test_disclosing_terms_go_everywhere_in_the_text(spark):
+    far = "lorem ipsum " * 20
+    texts = [f"Zanzibar ({far}) boss@corp.example.com {far}-Zanzibar, ÇELIK mailZanzibar zanzibar_x Bo {far}zanzibar", f"{far}boss@corp.example.com {far}"]
+    rows = [*enumerate(texts), *((10 + i, f"{far} number {i}") for i in range(150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = by_id(disclosure.sanitised(df))
+    want = texts[0].replace("boss@corp.example.com", "[EMAIL]")
+    want = re.sub(r"\b(zanzibar|ÇELIK|mailZanzibar|Bo)\b", "[TERM]", want, flags=re.I)
+    assert out[0]["text"] == want and out[1]["text"] == texts[1].replace("boss@corp.example.com", "[EMAIL]") and out[10]["text"] == rows[2][1]
+    spans = by_id(disclosure.digests(disclosure.find(df)))[0]["spans"]
+    assert spans.startswith("term:0:8,") and spans.endswith(f"term:{len(texts[0]) - 8}:{len(texts[0])}")
+
+
 def test_quality_learns_and_handles_odd_rows(spark, docs, empty):
     rng = np.random.default_rng(3)
     text = lambda good: " ".join(f"w{x}" + ("" if good else "###") for x in rng.integers(0, 300, 60))

@@ -16,11 +16,11 @@ def severity_dim(spark) -> DataFrame:
     return spark.createDataFrame([(s, w, RANKS[s], DEDUCTIONS[s]) for s, w in WEIGHTS.items()], "severity string, weight int, rank int, deduction int")
 
 
-def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str, ...] = (), most: int | None = MOST_FINDINGS) -> DataFrame:
     """file_id, path, engine, ord, rule_id, severity, line, column, match_length, excerpt: one row per match, no shuffle but for the cap.
 
-    All rules are evaluated in one pass over a file; an anchor spares a text the pattern. At most MOST_FINDINGS per file are kept, in
-    rule order, then by position. keep names further columns of files that go along.
+    All rules are evaluated in one pass over a file; an anchor spares a text the pattern. At most most per file are kept (None: all),
+    in rule order, then by position. keep names further columns of files that go along.
     """
     text = F.col("content")
     hits = []
@@ -31,7 +31,8 @@ def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str
         if r.anchor:
             fits = fits & F.contains(text, F.lit(r.anchor))
         hits.append(F.when(fits, rows).otherwise(F.array().cast("array<struct<ord:int,start:int,rule_id:string,severity:string,length:int,hit:string>>")))
-    capped = F.slice(F.concat(*hits), 1, MOST_FINDINGS)
+    found = F.concat(*hits)
+    capped = found if most is None else F.slice(found, 1, most)
     out = files.select("file_id", "path", "content", *keep, F.explode(capped).alias("h"))
     return out.select(
         "file_id", "path", F.lit(engine).alias("engine"), F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity"),

@@ -63,15 +63,15 @@ def lang_grid_findings(spark, sf_dir):
 
 
 def iac_findings(spark, sf_dir):
-    return scan.grid(files(spark, sf_dir).where(F.col("language").isin(*INFRA_LANGUAGES)), catalog.IAC, "iac").select(*FINDING)
+    return scan.grid(files(spark, sf_dir).where(F.col("language").isin(*INFRA_LANGUAGES)), catalog.IAC, "iac", most=None).select(*FINDING)
 
 
 def docker_findings(spark, sf_dir):
-    return scan.grid(files(spark, sf_dir).where("language = 'dockerfile'"), catalog.DOCKER, "docker").select(*FINDING)
+    return scan.grid(files(spark, sf_dir).where("language = 'dockerfile'"), catalog.DOCKER, "docker", most=None).select(*FINDING)
 
 
 def k8s_findings(spark, sf_dir):
-    return scan.grid(files(spark, sf_dir).where("language = 'yaml'"), catalog.K8S, "k8s").select(*FINDING)
+    return scan.grid(files(spark, sf_dir).where("language = 'yaml'"), catalog.K8S, "k8s", most=None).select(*FINDING)
 
 
 def rule_hit_counts(spark, sf_dir):

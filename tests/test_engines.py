@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from sieveline.operators import catalog, control, inventory, scan, structural
+from sieveline.plans import gates, grids
 from sieveline.streaming import live
 
 FILES = "file_id long, path string, language string, content string"
@@ -81,3 +82,11 @@ def test_inventory_of_odd_manifests(spark):
     assert inventory.components(found.select("project", F.lit("p").alias("path"), F.lit("").alias("content")).where("false")).count() == 0
     drafts = inventory.fix_drafts(spark.createDataFrame([("SEC-005b",), ("SEC-005",), ("SEC-001b",), ("ZZ-1",), (None,)], "rule_id string")).collect()
     assert [r["title"] for r in drafts][:4] == ["Replace os.system", "Avoid shell=True", "Move cloud keys to a secret store", "Address ZZ-1"]
+
+
+def test_infrastructure_findings_have_no_cap(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "main.tf", "hcl", 'cidr = "0.0.0.0/0"\n' * 120 + "privileged = true\n")], FILES)
+    monkeypatch.setattr(gates, "files", lambda spark, sf_dir: df)
+    monkeypatch.setattr(grids, "files", lambda spark, sf_dir: df)
+    row = gates.infra_gate(spark, "").first()
+    assert (row["critical"], row["high"], row["verdict"]) == (1, 120, "REJECTED") and grids.iac_findings(spark, "").count() == 121

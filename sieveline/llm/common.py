@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; a new local one only where a single JVM runs all."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -61,15 +64,48 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that join_skewed() may broadcast, at most.
+MOST_HOT = 2000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of left with right, which has each key once and says in column rows how many rows of left have it (or more).
+
+    Of left's total rows a key over total / MOST_HOT is hot, so there are fewer than MOST_HOT hot keys: these rows of right are broadcast,
+    and hot rows of left stay where they are. The others meet in a shuffle in which no key is large. Both sides should be saved tables. Keys must
+    not be null.
+    """
+    bound = total // MOST_HOT + 1
+    hot = F.broadcast(right.where(F.col(rows) > bound))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(rows) <= bound), keys)
+    return left.join(hot, keys).unionByName(cold)
+
+
 def ranked(df: DataFrame, group: str, cell: list[str], order: list, name: str) -> DataFrame:
     """Number the rows of each group from 0 by (cell, order), without a task that holds a whole group.
 
-    Rows are numbered within their cell; a cell starts after the rows of all earlier cells of its group, which come from
-    counts. The caller makes the cells small. Columns of cell must not be null.
+    Rows are numbered within their cell; a cell starts after the rows of all earlier cells of its group. Cells are counted, the counts
+    range-partitioned and written with the number of their part, so that only one sum per part and group is added up in one task. The caller
+    makes the cells small. Columns of cell must not be null.
     """
     keys = [group, *cell]
-    counts = df.groupBy(*keys).count()
-    before = Window.partitionBy(group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    counts = saved(df.groupBy(*keys).agg(F.count("*").alias("_n")).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "cells")
+    parts = counts.groupBy(group, "_part").agg(F.sum("_n").alias("_m"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(group, "_part", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy(group, "_part").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(base), [group, "_part"])
+    starts = starts.select(*keys, (F.col("_base") + F.col("_before")).alias("_start"))
     own = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_own", F.row_number().over(own) - 1).join(starts, keys).withColumn(name, F.col("_start") + F.col("_own")).drop("_start", "_own")

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved
+from sieveline.llm.common import join_skewed, saved
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of links (a, b), both of one ordered type.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): every step only rewires links towards smaller nodes, so
-    the number of rows never grows beyond links plus nodes, and about log(n) steps are enough. A hub's links are handled as
-    rows of a join, not as one group. Rows with a = b or a null are ignored.
+    the number of rows never grows beyond links plus nodes, and about log(n) steps are enough. A hub's links are rows
+    of a join that broadcasts the hubs, never one group. Rows with a = b or a null are ignored.
     """
     at = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        step = large.join(least, "a")
-        at = saved(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        both = saved(at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = join_skewed(both.where("b > a"), least, ["a"], "n", both.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = saved(large.where("a <> b").distinct(), "large")
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        step = join_skewed(large, least, ["a"], "n", large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        at = saved(step.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ranked, saved
+from sieveline.llm.common import join_skewed, ranked, saved
 
 #: Rows of one cell of a ranking, about, and of one bucket of links.
-CELL_ROWS, BUCKET_ROWS = 512, 4096
+CELL_ROWS, BUCKET_ROWS = 128, 1024
 
 
 def _cells(state: DataFrame, buckets: int) -> DataFrame:
@@ -55,16 +55,15 @@ def balanced_shards(rows: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     start = saved(rows.withColumn("link", F.coalesce(F.col("link"), alone)), "rows")
     n = start.count()
     buckets = max(256, n // BUCKET_ROWS)
-    sizes = saved(start.groupBy("link").agg(F.count("*").alias("n_link")).where("n_link > 1"), "links")
-    state = start.join(sizes, "link", "left").withColumn("n_link", F.coalesce("n_link", F.lit(1)))
-    state = _cells(state, buckets).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int"))
+    sizes = saved(start.groupBy("link").agg(F.count("*").alias("n_link")), "links")
+    state = _cells(join_skewed(start, sizes, ["link"], "n_link", n), buckets).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int"))
     state = saved(state, "state")
     for _ in range(rounds):
         linked = state.where("n_link > 1")
-        counts = linked.groupBy("link", "shard").agg(F.count("*").alias("c"))
+        counts = linked.groupBy("link", "shard").agg(F.count("*").alias("c"), F.first("n_link").alias("all"))
         party = F.struct("c", (-F.xxhash64("link", "shard")).alias("tie"))
-        wants = saved(counts.groupBy("link").agg(F.max_by("shard", party).alias("wanted"), F.max("c").alias("most")), "wants")
-        moving = linked.join(wants, "link").withColumn("urgency", -F.floor(F.log2(F.col("most"))).cast("int")).drop("most")
+        wants = saved(counts.groupBy("link").agg(F.max_by("shard", party).alias("wanted"), F.max("c").alias("most"), F.first("all").alias("all")), "wants")
+        moving = join_skewed(linked, wants, ["link"], "all", n).drop("all").withColumn("urgency", -F.floor(F.log2(F.col("most"))).cast("int")).drop("most")
         staying = state.where("n_link = 1").withColumn("wanted", F.col("shard")).withColumn("urgency", F.lit(1))
         state = saved(_kept_within_quotas(moving.unionByName(staying).drop("shard"), shards, n).drop("wanted", "urgency"), "state")
     return ranked(state, "shard", ["bucket", "spread"], ["link", "doc_id", "text_crc32"], "slot").drop("bucket", "spread", "n_link")

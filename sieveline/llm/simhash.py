@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship, small
+from sieveline.llm.common import free_names, join_skewed, saved, ship, small
 from sieveline.llm.components import components
 
 SEED = 42
@@ -40,15 +40,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every document."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a long) of every document."""
     ship(docs.sparkSession)
 
     def each(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(each, "doc_id long, th long, fp long")
 
 
 def block_plan(n: int, bits: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -145,23 +146,36 @@ def close_links(fps: DataFrame, n: int, bits: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(each, "a long, b long")
 
 
+#: Order of the rows of a component: by doc_id, those without one last, then by text. The first one names the component and stays.
+def _place():
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+
+
+def classes(docs: DataFrame, bits: int = 4) -> DataFrame:
+    """doc_id, th, fp of every document, and first: the first row (last, doc_id, th) that chains of links within so many bits reach.
+
+    Rows with equal fingerprints, and fingerprints of one component, may be a third of all: they are pre-aggregated, and the joins
+    back broadcast the hot ones (join_skewed).
+    """
+    spark = docs.sparkSession
+    marks = saved(fingerprints(docs), "fingerprints")
+    distinct = saved(marks.groupBy("fp").agg(F.min(_place()).alias("least"), F.count("*").alias("rows")), "distinct")
+    n, total = distinct.count(), marks.count()
+    links = saved(close_links(distinct.select("fp"), n, bits), "close") if n else spark.createDataFrame([], "a long, b long")
+    found = components(links)
+    rooted = saved(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    firsts = saved(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")), "firsts")
+    named = saved(join_skewed(rooted.drop("least"), firsts, ["root"], "n", n).select("fp", "rows", "first"), "named")
+    return join_skewed(marks, named, ["fp"], "rows", total).select("doc_id", "th", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     """doc_id, fp and component_id of every document: the smallest doc_id that chains of links within so many bits reach.
 
     Documents without words (null or empty texts too) have fingerprint 0 and link like any other. Repeated rows stay repeated; a
     null doc_id keeps its row and never names a component, unless nothing else is in it. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    marks = saved(fingerprints(docs), "fingerprints")
-    distinct = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    n = distinct.count()
-    links = saved(close_links(distinct.select("fp"), n, bits), "close") if n else spark.createDataFrame([], "a long, b long")
-    found = saved(components(links), "components")
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = saved(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = saved(rooted.join(ids, "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    return classes(docs, bits).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -169,16 +183,24 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def representatives(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """One document of each component, all columns: that with the smallest doc_id.
+    """One row of each component, all columns: that with the smallest doc_id (rows without one come last), of these the first by a hash of the text.
 
-    The documents to drop are joined to the texts, by broadcast while they are few. Repeated doc_ids keep one of their rows; a
-    document without doc_id is never dropped.
+    Rows are told apart by doc_id and text, so a doc_id that stands at different texts loses none of them; of rows equal in both one stays. The
+    rows to drop are joined to the texts, by broadcast while they are few.
     """
-    classes = saved(near_duplicates(docs, bits).select("doc_id", "component_id"), "classes")
-    drop = saved(classes.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    kept = docs.join(small(drop, 2_000_000), "doc_id", "left_anti")
-    repeated = saved(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(small(repeated, 2_000_000), "doc_id", "left_anti")
-    return once.unionByName(kept.join(small(repeated, 2_000_000), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = saved(classes(docs, bits), "classes")
+    id_, none, th = free_names(docs, "id", "none", "th")
+
+    def keyed(df: DataFrame, text_hash) -> DataFrame:
+        doc_id = F.col("doc_id").cast("long")
+        return df.withColumns({id_: F.coalesce(doc_id, F.lit(0)), none: doc_id.isNull(), th: text_hash})
+
+    stays = _place() == F.col("first")
+    keys = [id_, none, th]
+    drop = saved(keyed(rows.where(~stays), F.col("th")).select(*keys).distinct(), "drop")
+    often = saved(keyed(rows.where(stays), F.col("th")).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "often")
+    kept = keyed(docs, F.xxhash64("text")).join(small(drop, 2_000_000), keys, "left_anti")
+    if often.limit(1).count():
+        once = kept.join(small(often, 2_000_000), keys, "left_anti")
+        kept = once.unionByName(kept.join(small(often, 2_000_000), keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*docs.columns)

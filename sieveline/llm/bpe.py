@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship
-from sieveline.llm.textarrays import hashes, slices, tokens
+from sieveline.llm.textarrays import distinct, slices, tokens
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose distinct words are encoded together.
@@ -62,6 +62,7 @@ class PairIndex:
         self.size = max(vocab.values()) + 1
         self.names = {i: s for s, i in vocab.items()} | {a["id"]: a["content"] for a in t["added_tokens"]}
         self.added = {a["content"]: a["id"] for a in t["added_tokens"]}
+        self.numbers = [str(i) for i in range(self.size)]
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.added) + ")") if self.added else None
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -173,27 +174,18 @@ class Words:
     """The distinct words of many normal texts, and which word stands where: the words of row i are distinct[which[bounds[i]:bounds[i+1]]]."""
 
     def __init__(self, texts: list[str]):
+        self.which, self.distinct, self.bounds = np.zeros(0, np.int32), [], np.zeros(1, np.int64)
         raw = [" ".join(words_of(t)) if not t.isascii() and any(c in t for c in _WIDE) else t for t in texts]
-        hashed, counts = [], []
-        spans: list[tuple[np.ndarray, np.ndarray, bytes]] = []
-        for lo, hi, data, rows in slices(pa.array(raw, pa.large_string())):
+        for lo, hi, data, rows in slices(pa.array(raw, pa.large_string()), 1 << 62):
             starts, ends, row = tokens(data, rows, _WORD)
-            hashed.append(hashes(data, starts, ends))
-            counts.append(np.bincount(row, minlength=hi - lo))
-            spans.append((starts, ends, data.tobytes()))
-        _, first, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed]), return_index=True, return_inverse=True)
-        order = np.argsort(first)  # words in the order of the texts
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.which = place[which]
-        first = first[order]
-        self.distinct: list[str] = []
-        begin = 0
-        for (starts, ends, data), h in zip(spans, hashed, strict=True):
-            own = first[(first >= begin) & (first < begin + len(h))] - begin
-            self.distinct += [data[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
-            begin += len(h)
-        self.bounds = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))
+            first, which = distinct(data, starts, ends)
+            order = np.argsort(first)  # words in the order of the texts
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            self.which = place[which]
+            first, view = first[order], data.tobytes()
+            self.distinct = [view[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self.bounds = np.append(0, np.cumsum(np.bincount(row, minlength=hi - lo)))
 
 
 def pieces(words: list[str]) -> tuple[list[str], list[list[int]]]:
@@ -225,7 +217,7 @@ def encoded(index: PairIndex, texts: list[str]):
     some, cut = pieces(words.distinct)
     ids, ends = index.encode(some)
     bounds, names = [0, *ends.tolist()], index.names
-    number = [str(i) for i in range(index.size)]
+    number = index.numbers
     flat = ids.tolist()
     as_ids = [" ".join([number[i] for i in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     as_text = [" ".join([names[i] for i in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

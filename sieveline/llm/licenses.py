@@ -43,29 +43,29 @@ _WORD[48:58] = _WORD[97:123] = 1
 _WORD[128:] = 1
 
 
-def _gram_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the row of each word, and hashes of the k-grams that start at each word but the last ones."""
+def _gram_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, their sizes, the row of each word, and hashes of the k-grams that start at each word but the last ones."""
     data = _LOWER[data]
     starts, ends, row = tokens(data, rows, _WORD)
     h = hashes(data, starts, ends)
-    return h, row, rolled(h, GRAM)
+    return h, ends - starts, row, rolled(h, GRAM)
 
 
 def base_counts(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     """n_words, n_base, first_word, last_word (-1: none) and a bit for each phrase found, by row."""
     n = len(rows) - 1
-    h, row, _ = _gram_hashes(data, rows)
+    h, size, row, _ = _gram_hashes(data, rows)
     begin = np.searchsorted(row, np.arange(n))
     count, first, last, found = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
     places, which = [], []
     for bit, phrase in enumerate(PHRASES):
-        words = [np.uint64(hash_of(w.encode())) for w in phrase.split()]
+        words = [(np.uint64(hash_of(w.encode())), len(w)) for w in phrase.split()]  # at most eight bytes each, so hash and size tell them
         m = len(h) - len(words) + 1
         if m <= 0:
             continue
         hit = row[:m] == row[len(words) - 1 :]
-        for i, w in enumerate(words):
-            hit &= h[i : i + m] == w
+        for i, (w, chars) in enumerate(words):
+            hit &= (h[i : i + m] == w) & (size[i : i + m] == chars)
         at = np.flatnonzero(hit)
         places.append(at)
         which.append(np.full(len(at), bit))
@@ -102,7 +102,7 @@ def grams(docs: DataFrame) -> DataFrame:
     def each(batches):
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(2)):
-                _, row, g = _gram_hashes(data, rows)
+                _, _, row, g = _gram_hashes(data, rows)
                 inside = row[: len(g)] == row[GRAM - 1 :] if len(g) else np.zeros(0, bool)
                 sizes = np.bincount(row[: len(g)][inside], minlength=hi - lo)
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
@@ -116,7 +116,7 @@ def template_positions(spark: SparkSession, templates=None) -> DataFrame:
     out = []
     for i, (label, text) in enumerate(templates or TEMPLATES):
         data = np.frombuffer(text.encode(), np.uint8)
-        _, _, g = _gram_hashes(data, np.array([0, len(data)]))
+        _, _, _, g = _gram_hashes(data, np.array([0, len(data)]))
         out += [(i, label, p, int(x), len(g)) for p, x in enumerate(g.view(np.int64))]
     return spark.createDataFrame(out, "template int, label string, t_pos int, gram long, t_grams int")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import saved, ship, small
-from sieveline.llm.textarrays import hashes, mixed, rolled, slices, tokens
+from sieveline.llm.textarrays import distinct, numbered, slices, tokens
 
 #: Dimensions of the transformed vectors, and units of their fixed-point values: sums are whole numbers, so no order of tasks changes them.
 DIMENSIONS, UNIT = 5, 1024
@@ -48,18 +48,15 @@ def text_statistics(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]
     seen = np.append(0, np.cumsum(inside, dtype=np.int64))
     worded = seen[b] > seen[a]
     a, b, line_row = a[worded], b[worded], line_row[worded]
-    salt = np.uint64(0x9E3779B97F4A7C15)
-    first = np.unique(mixed(hashes(data, a, b) + line_row.astype(np.uint64) * salt), return_index=True)[1]
+    line = numbered(line_row, distinct(data, a, b)[1])
+    first = np.unique(line, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(line_row, minlength=n) - np.bincount(line_row[first], minlength=n)
     covered = np.zeros(len(row), bool)
-    if len(row) > 2:
-        key = mixed(rolled(hashes(data, starts, ends), 3) + row[:-2].astype(np.uint64) * salt)
-        at = np.flatnonzero(row[:-2] == row[2:])
-        order = np.argsort(key[at], kind="stable")
-        ordered = key[at][order]
-        same = np.append(False, ordered[1:] == ordered[:-1])
-        same |= np.append(same[1:], False)
-        again = at[order[same]]
+    at = np.flatnonzero(row[:-2] == row[2:])
+    if len(at):
+        word = distinct(data, starts, ends)[1]
+        window = numbered(row[at], word[at], word[at + 1], word[at + 2])
+        again = at[np.bincount(window)[window] > 1]
         for k in range(3):
             covered[again + k] = True
     out["n_repeat_words"] = np.bincount(row[covered], minlength=n)

@@ -1,30 +1,15 @@
-"""Whole texts as numpy arrays: tokens of many Arrow strings at once, with 64-bit hashes."""
+"""Whole texts as numpy arrays: tokens of many Arrow strings at once, told apart by their bytes, and 64-bit hashes."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 21
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[:1] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n at least."""
-    return _powers(max(SLICE_BYTES, 1 << max(0, n - 1).bit_length()))
+#: Runs of more bytes are hashed one by one.
+LONG = 64
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES):
@@ -68,12 +53,72 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros beyond the end."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def _limb(loads: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from at, of which left belong to the run."""
+    x = loads[at]
+    part = left < 8
+    x[part] &= (np.uint64(1) << (left[part].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+    return x
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes: a polynomial in BASE, mixed."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each run of bytes. Runs of one length up to eight bytes have equal hashes only if they are equal."""
+    size = ends - starts
+    h = size.astype(np.uint64) * np.uint64(BASE)
+    loads = _loads(data)
+    live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - k
+        h[live] = mixed(h[live] ^ _limb(loads, starts[live] + k, left))
+        live, k = live[left > 8], k + 8
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(view[starts[i] : ends[i]])
+    return h
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the first place of each distinct run of bytes, and the number of each run's own. Equal hashes are compared byte by byte."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = hashes(data, starts, ends)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    size, twin = ends - starts, first[which]
+    same = bool((size == size[twin]).all())
+    loads, k = _loads(data), 8
+    live = np.flatnonzero((size > 8) & (twin != np.arange(len(size))))
+    long = live[size[live] > LONG]
+    live = live[size[live] <= LONG]
+    if same and k < LONG and len(live):
+        same = bool((loads[starts[live]] == loads[starts[twin[live]]]).all())
+    while same and len(live):
+        left = size[live] - k
+        same = bool((_limb(loads, starts[live] + k, left) == _limb(loads, starts[twin[live]] + k, left)).all())
+        live, k = live[left > 8], k + 8
+    view = memoryview(np.ascontiguousarray(data))
+    same = same and all(view[starts[i] : ends[i]] == view[starts[j] : ends[j]] for i, j in zip(long.tolist(), twin[long].tolist(), strict=True))
+    if not same:  # two runs share a hash
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(bytes(view[a:b]), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return first, which
+
+
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number under len(keys[0]) for each row of the keys (numbers from 0), equal for equal rows only."""
+    out = keys[0].astype(np.int64)
+    for key in keys[1:]:
+        width = int(key.max()) + 1 if len(key) else 1
+        if len(out) and (int(out.max()) + 1) * width >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * width + key
+    return np.unique(out, return_inverse=True)[1]
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:

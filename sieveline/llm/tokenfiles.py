@@ -29,8 +29,9 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("size", "<u8"), ("n", "<u8"
 TAIL = "<QQ"
 NO_ID = -(1 << 63)
 END_ID = 1
-#: The dictionary: its bytes, and the documents (those with the smallest hashed doc_id) and ids of each that it is trained on.
-DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 1 << 16, 2000, 4096
+#: The dictionary: its bytes, the documents that it is trained on (those with the smallest hashes of doc_id and text), the ids in a
+#: training piece, and the bytes of pieces at most.
+DICTIONARY_BYTES, SAMPLE_DOCUMENTS, PIECE_IDS, SAMPLE_BYTES = 1 << 16, 2000, 512, 16 << 20
 LEVEL = 1
 #: Words, the first that it meets, that a worker remembers the ids of.
 REMEMBERED = 300_000
@@ -149,22 +150,50 @@ def get(path: str) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A dictionary over the id arrays of a bounded sample of documents; empty if they are too few to train on."""
-    sample = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    e = Encoder(path)
-    arrays = [x[: 4 * SAMPLE_IDS] for r in sample.select("text").toLocalIterator() for x in e.encode([r["text"]])]
-    arrays = [x for x in arrays if len(x) >= 16]
-    if sum(map(len, arrays)) < 100 * 1024 or len(arrays) < 16:
-        return b""
-    return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, arrays)) // 8), arrays).as_bytes()
+    """A dictionary over the id arrays of a bounded sample of documents, cut into pieces.
+
+    Documents are chosen by a hash of doc_id and text: a hash bound leaves somewhat over SAMPLE_DOCUMENTS of them, the smallest hashes are taken; tasks
+    encode them. Pieces beyond SAMPLE_BYTES are not trained on. Where there is too little for the trainer, the pieces themselves, one
+    after another, are the dictionary. It is empty only where no document has text.
+    """
+    n = docs.count()
+    h = F.xxhash64("doc_id", "text")
+    bound = -(1 << 63) + min((2 * SAMPLE_DOCUMENTS << 64) // max(n, 1), (1 << 64) - 1)
+    some = docs.where("text is not null").withColumn("h", h).where(F.col("h") <= bound)
+
+    def encode(batches):
+        e = encoder(path)
+        for batch in batches:
+            for lo, hi, texts in text_runs(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(e.encode(texts), pa.binary())], names=["h", "ids"])
+
+    chosen = saved(some.select("doc_id", "h").orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS), "sample")
+    last = chosen.agg(F.max("h")).first()[0]
+    pieces_, size = [], 0
+    if last is not None:
+        for r in some.where(F.col("h") <= last).select("doc_id", "h", "text").mapInArrow(encode, "h long, ids binary").orderBy("h", "ids").limit(SAMPLE_DOCUMENTS).toLocalIterator():
+            parts = [bytes(r["ids"][i : i + 4 * PIECE_IDS]) for i in range(0, len(r["ids"]), 4 * PIECE_IDS)]
+            for part in parts:
+                if size + len(part) <= SAMPLE_BYTES:
+                    pieces_.append(part)
+                    size += len(part)
+    return dictionary_of(pieces_)
+
+
+def dictionary_of(parts: list[bytes]) -> bytes:
+    """A trained dictionary, or, where the trainer has too little, the parts as they are (the last DICTIONARY_BYTES of them)."""
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, parts)) // 8)), [p for p in parts if len(p) >= 16]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
 def write_token_files(docs: DataFrame, to: str, vocabulary: str | None = None, files: int | None = None) -> DataFrame:
     """Encode docs and write their ids, each document's with END_ID behind, in ascending doc_id order; the files' table.
 
     The table: file (number in doc_id order), path, documents, ids, start (ids in all files before it). Documents are encoded and
-    compressed where they are read; only frames are sorted. Repeated doc_ids keep all rows, in order of their frames. A null doc_id
-    sorts first; a null or empty text has the end id alone. An empty table gives no files.
+    compressed where they are read; only frames are sorted. Repeated doc_ids keep all rows, in order of a hash of their frames, and
+    may go to several files, so may equal rows. A null doc_id sorts first; a null or empty text has the end id alone. An empty table gives no files.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -188,7 +217,10 @@ def write_token_files(docs: DataFrame, to: str, vocabulary: str | None = None, f
     if files is None:
         total = rows.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
         files = max(1, total // (32 << 20))
-    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
+    # a row's place in the saved files is the same whenever a task runs again; it parts equal rows
+    rows = rows.select("*", F.xxhash64("frame").alias("h"), F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("salt"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("salt")]
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ordered = ordered.select(F.spark_partition_id().cast("long").alias("file"), "doc_id", "n", "frame")
 
     def write(batches):

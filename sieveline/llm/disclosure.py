@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved
+from sieveline.llm.common import free_names, join_skewed, saved
 
 #: A term discloses a value by how much of its information it carries: PMI / IC at least DISCLOSED, however few documents hold the pair.
 #: PRIOR documents without the value are added to those that hold the term (the half count of Jeffreys' prior).
@@ -23,6 +23,8 @@ GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]
 #: A text is runs of word characters and runs of others, by turns; a term is a run of letters alone.
 _RUNS = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_]++"
 _TERM = r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{L}\p{N}_])"
+_LETTERS = r"^\p{L}+$"
+_SPANS = "array<struct<start:int,ord:int,kind:string,stop:int,value:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -45,28 +47,64 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut(values: Column, width: Column) -> Column:
+    """values in runs of width; none has none."""
+    n = F.size(values)
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), width), lambda i: F.slice(values, i, width))
+    return F.filter(some, lambda r: F.size(r) > 0)
+
+
+def _width(values: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
+
+
+def running(values: Column, together) -> Column:
+    """values[0], together(values[0], values[1]), ... of an int array; together is a sum or a maximum.
+
+    Built in runs of the array's square root: appending entry by entry to one array would cost the square of its length.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(some: Column) -> Column:
+        add = lambda all_, x: F.concat(all_, F.array(F.when(F.size(all_) == 0, x).otherwise(together(F.element_at(all_, -1), x))))
+        return F.aggregate(some, none, add)
+
+    def joined(inner: Column) -> Column:
+        return let(fold(F.transform(inner, lambda r: F.element_at(r, -1))), lambda ends: F.flatten(F.transform(inner, lambda r, i: F.when(i == 0, r).otherwise(F.transform(r, lambda x: together(F.get(ends, i - 1), x))))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(let(F.transform(_cut(v, _width(v)), fold), joined)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value>> of all matches, in order, by code points.
 
-    A match is the first occurrence of its own string at or after the end of the match before it: an earlier one would have
-    been matched. So matches are found by searching for them one after another.
+    The text is parted at the matches, so a match ends after all parts and matches up to it: places come from the matches
+    themselves, in time that hardly grows faster than their number.
     """
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["at"] + 1) - 1
-        stop = at + F.length(m)
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(at.alias("start"), stop.alias("stop"), m.alias("value")))).alias("found"))
+    def placed(found: Column) -> Column:
+        parts = F.slice(F.split(text, pattern), 1, F.size(found))
+        ends = running(F.zip_with(parts, found, lambda p, m: F.length(p) + F.length(m)), _sum)
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("stop"), m.alias("value")))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["found"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, ord, kind, stop, value>> of the valid matches of all kinds, by start, then kind as listed."""
     def of(i: int, kind: str) -> Column:
+        some = F.filter(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: _valid(kind, m))
         good = F.filter(located(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), m["stop"].alias("stop"), m["value"].alias("value")))
+        spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), m["stop"].alias("stop"), m["value"].alias("value")))
+        return F.when(F.size(some) > 0, spans).otherwise(_none())
 
     return F.array_sort(F.concat(*(of(i, kind) for i, kind in enumerate(KINDS))))
 
@@ -76,63 +114,67 @@ def _has(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | text.rlike("[0-9]")
 
 
-def _key(th: Column) -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), th)
+def _none() -> Column:
+    return F.array().cast(_SPANS)
 
 
 def spanned(docs: DataFrame) -> DataFrame:
-    """docs' rows with th (a hash of the text), k (of doc_id and text) and base; a null text is empty and has no spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"th": F.xxhash64(text), "base": F.when(_has(text), base_spans(text)).otherwise(_none())})
-    return rows.withColumn("k", _key(F.col("th")))
+    """doc_id and text of docs (null texts are empty), base, and k, which is equal for rows equal in doc_id and text only."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("base", F.when(_has(F.col("text")), base_spans(F.col("text"))).otherwise(_none()))
+    return rows.withColumn("k", F.when(F.size("base") > 0, key(F.col("doc_id"), F.col("text"))))
 
 
-def _none() -> Column:
-    return F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>")
+def key(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("-")), text))
 
 
 def _terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
-def _places(text: Column, terms: Column) -> Column:
-    """Spans, like base's, of all places of the terms (in lower case) in text."""
-    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
-
-    def step(acc: Column, run: Column) -> Column:
-        stop, term = acc["at"] + F.length(run), F.lower(run)
-        span = F.struct(acc["at"].alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), stop.alias("stop"), term.alias("value"))
-        return F.struct(stop.alias("at"), F.when(F.array_contains(terms, term), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0)), start, step, lambda acc: acc["found"])
-
-
 def disclosing_terms(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
-    """k, terms: for each text of some (k, base, text: the rows with spans) the words that disclose one of its values.
+    """k, term: for each text of some (saved k, base, text: the rows with spans) the words that disclose one of its values.
 
-    PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n rows of docs; c counts rows with both. A
-    term discloses if PMI is at least DISCLOSED of IC. c is at most df(entity), so terms over the frequency that this leaves are not paired.
+    PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n rows of docs; c counts rows with both, and
+    repeated rows count each, in df and c alike. A term discloses if PMI is at least DISCLOSED of IC. c is at most df(entity), so terms over the
+    frequency that this leaves are not paired. Values and words that a third of the rows hold are hot keys of the joins: they are broadcast.
     """
     bound = F.pow(F.lit(float(n)), 1 - DISCLOSED)
     value = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     texts = some.groupBy("k").agg(F.count("*").alias("m"), F.first(value).alias("entities"), F.first(_terms_of(F.col("text"))).alias("words"))
     texts = saved(texts, "texts")
-    held = texts.select("k", "m", F.explode("entities").alias("entity"))
-    entities = saved(held.groupBy("entity").agg(F.sum("m").alias("df_entity")).where(F.col("df_entity") < n), "entities")
-    words = texts.select("k", F.explode("words").alias("term"))
-    wanted = saved(words.select("term").distinct(), "words")
+    held = saved(texts.select("k", "m", F.explode("entities").alias("entity")), "held")
+    entities = saved(held.groupBy("entity").agg(F.sum("m").alias("df_entity"), F.count("*").alias("rows")).where(F.col("df_entity") < n), "entities")
+    words = saved(texts.select("k", F.explode("words").alias("term")), "words")
+    wanted = saved(words.groupBy("term").agg(F.count("*").alias("rows")), "wanted")
     every = docs.select(F.explode(_terms_of(F.coalesce("text", F.lit("")))).alias("term"))
     if wanted.limit(200_001).count() <= 200_000:
-        every = every.join(F.broadcast(wanted), "term", "left_semi")
-    most = entities.agg(F.max("df_entity").alias("m")).first()["m"] or 0
-    frequent = every.groupBy("term").agg(F.count("*").alias("df_term")).where(F.col("df_term") + PRIOR <= float(n) ** (1 - DISCLOSED) * float(most) ** DISCLOSED * (1 + 1e-9))
-    rare = words.join(saved(frequent, "frequencies"), "term")
-    pairs = held.join(entities, "entity").join(rare, "k").where(F.col("df_term") + PRIOR <= bound * F.pow("df_entity", F.lit(DISCLOSED)) * (1 + 1e-9))
+        every = every.join(F.broadcast(wanted.select("term")), "term", "left_semi")
+    df_term = saved(every.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term"), "frequencies")
+    most = float(entities.agg(F.max("df_entity").alias("m")).first()["m"] or 0)
+    rare = F.col("df_term") + PRIOR <= float(n) ** (1 - DISCLOSED) * most**DISCLOSED * (1 + 1e-9)
+    rare_words = join_skewed(words, df_term, ["term"], "rows", words.count()).where(rare).select("k", "term", "df_term")
+    pairs = join_skewed(held, entities, ["entity"], "rows", held.count()).drop("rows").join(rare_words, "k").where(F.col("df_term") + PRIOR <= bound * F.pow("df_entity", F.lit(DISCLOSED)) * (1 + 1e-9))
     pairs = saved(pairs.select("k", "m", "entity", "term", "df_entity", "df_term"), "pairs")
-    scored = pairs.groupBy("entity", "term").agg(F.sum("m").alias("c"), F.first("df_entity").alias("e"), F.first("df_term").alias("t"))
+    scored = pairs.groupBy("entity", "term").agg(F.sum("m").alias("c"), F.count("*").alias("rows"), F.first("df_entity").alias("e"), F.first("df_term").alias("t"))
     pmi, ic = F.log2(F.col("c") * F.lit(float(n)) / (F.col("e") * (F.col("t") + PRIOR))), F.log2(F.lit(float(n)) / F.col("e"))
-    found = scored.where(pmi >= DISCLOSED * ic).select("entity", "term")
-    return saved(pairs.join(found, ["entity", "term"]).groupBy("k").agg(F.collect_set("term").alias("terms")), "disclosing")
+    found = saved(scored.where(pmi >= DISCLOSED * ic).select("entity", "term", "rows"), "found")
+    return saved(join_skewed(pairs, found, ["entity", "term"], "rows", pairs.count()).select("k", "term").distinct(), "disclosing")
+
+
+def term_places(some: DataFrame, terms: DataFrame) -> DataFrame:
+    """k, terms: spans, like base's, of all places of a text's terms. Texts with terms are parted into words, which meet the terms in a join."""
+    texts = some.select("k", "text").dropDuplicates(["k"]).join(terms.select("k").distinct(), "k", "left_semi")
+
+    def words(runs: Column) -> Column:
+        placed = F.zip_with(runs, running(F.transform(runs, F.length), _sum), lambda r, e: F.struct((e - F.length(r)).alias("start"), e.alias("stop"), r.alias("word")))
+        return F.filter(placed, lambda w: w["word"].rlike(_LETTERS))
+
+    places = texts.select("k", F.explode(let(F.regexp_extract_all("text", F.lit(_RUNS), F.lit(0)), words)).alias("w")).select("k", F.lower("w.word").alias("term"), "w.start", "w.stop").join(terms, ["k", "term"])
+    span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "stop", F.col("term").alias("value"))
+    return saved(places.groupBy("k").agg(F.array_sort(F.collect_list(span)).cast(_SPANS).alias("terms")), "places")
 
 
 def _joined(spans: Column) -> Column:
@@ -145,11 +187,11 @@ def find(docs: DataFrame) -> DataFrame:
     Null texts are empty and have no spans; repeated rows stay and count each; a null doc_id is a document of its own text. Other
     columns are ignored.
     """
-    rows = spanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
-    rows = saved(rows, "spans")
-    terms = disclosing_terms(docs, rows.where(F.size("base") > 0), rows.count())
-    some = rows.where(F.size("base") > 0).join(terms, "k", "left").withColumn("terms", F.when(F.col("terms").isNotNull(), _places(F.col("text"), F.col("terms"))).otherwise(_none()))
-    return some.select("doc_id", "base", "terms").unionByName(rows.where(F.size("base") == 0).select("doc_id", "base", _none().alias("terms")))
+    rows = saved(spanned(docs).withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "spans")
+    some = rows.where(F.size("base") > 0)
+    places = term_places(some, disclosing_terms(docs, some, rows.count()))
+    with_terms = some.join(places, "k", "left").select("doc_id", "base", F.coalesce("terms", _none()).alias("terms"))
+    return with_terms.unionByName(rows.where(F.size("base") == 0).select("doc_id", "base", _none().alias("terms")))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -159,28 +201,43 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each span's place as its kind in brackets; spans are sorted, and one that begins before another's end goes with it.
+
+    Each piece of text before a span is cut from a run of pieces, and the runs from the text: a substring is found from the start of its string.
+    """
+    names = F.create_map(*(x for k, v in GENERAL.items() for x in (F.lit(k), F.lit(v))))
+
+    def joined(ends: Column, s: Column) -> Column:
+        pieces = F.transform(s, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("at"), x["start"].alias("to"), x["kind"].alias("kind")))
+        fresh = F.filter(pieces, lambda p: p["at"] <= p["to"])
+
+        def run(r: Column) -> Column:
+            at = F.get(r, F.lit(0))["at"]
+            part = F.substring(text, at + 1, F.element_at(r, -1)["to"] - at)
+            return let(F.struct(part.alias("part"), at.alias("at")), lambda v: F.array_join(F.transform(r, lambda p: F.concat(F.substring(v["part"], p["at"] - v["at"] + 1, p["to"] - p["at"]), names[p["kind"]])), ""))
+
+        most = F.element_at(ends, -1)
+        return F.concat(F.array_join(let(fresh, lambda f: F.transform(_cut(f, _width(f)), run)), ""), F.substring(text, most + 1, F.length(text)))
+
+    ends = lambda s: let(running(F.transform(s, lambda x: x["stop"]), lambda a, b: F.greatest(a, b)), lambda e: joined(e, s))
+    return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(ends(s)))
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span's text replaced by its kind in brackets. Overlapping spans become one, named by the first.
 
     Only the rows with base spans are joined to terms; the others pass. n_chars, where present, follows the text.
     """
-    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    some = saved(spanned(row).where(F.size("base") > 0), "spans")
-    terms = disclosing_terms(docs, some, docs.count())
-    keyed = some.join(terms, "k", "left")
-    keyed = keyed.withColumn("_s", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", _places(F.col("text"), F.col("terms"))))).otherwise(F.col("base")))
-    names = F.create_map(*(x for k, v in GENERAL.items() for x in (F.lit(k), F.lit(v))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, names[s["kind"]])).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate("_s", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    keyed = keyed.withColumn("text", whole)
-    kinds = docs.schema
-    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(kinds["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    changed = keyed.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    k, base, terms = free_names(docs, "k", "base", "terms")
     text = F.col("text")
-    return docs.where(text.isNull() | ~_has(text) | (F.size(base_spans(text)) == 0)).select(*docs.columns).union(changed)
+    found = F.when(_has(text), base_spans(text)).otherwise(_none())
+    some = saved(docs.withColumn(base, found).where(F.size(base) > 0).withColumn(k, key(F.col("doc_id").cast("long"), text)), "spans")
+    plain = some.select(F.col(k).alias("k"), F.col(base).alias("base"), "text")
+    places = term_places(plain, disclosing_terms(docs, plain, docs.count())).select(F.col("k").alias(k), F.col("terms").alias(terms))
+    new = {"text": replaced(text, F.array_sort(F.concat(base, F.coalesce(terms, _none()))))}
+    changed = some.join(places, k, "left").withColumns(new)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    untouched = docs.where(text.isNull() | ~_has(text) | (F.size(base_spans(text)) == 0))
+    return untouched.select(*docs.columns).unionByName(changed.select(*docs.columns))

@@ -75,6 +75,21 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_row_key(docs: DataFrame, text_hash) -> tuple[DataFrame, list[str]]:
+    """docs with three columns that are equal for rows equal in doc_id (null too) and text hash, and their names."""
+    names = free_names(docs, "id", "none", "th")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.withColumns(dict(zip(names, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text_hash), strict=True))), names
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """docs, all columns, but for rows whose doc_id and text hash th stand in drop. While drop is small it is broadcast."""
+    some, keys = with_row_key(drop.select("doc_id", F.col("th").alias("_text")), F.col("_text"))
+    keyed, names = with_row_key(docs, F.xxhash64("text"))
+    some = saved(some.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).distinct(), "drop")
+    return keyed.join(small(some, 2_000_000), names, "left_anti").select(*docs.columns)
+
+
 #: Keys that join_skewed() may broadcast, at most.
 MOST_HOT = 2000
 

@@ -7,13 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship, small
-from sieveline.llm.textarrays import mixed
+from sieveline.llm.common import saved, ship, small, without
 
 #: Characters of a q-gram (eight one-byte codes make a machine word) and edits allowed per character of a passage.
 Q, EDITS = 8, 0.06
+#: Longer passages are looked for in pieces of PIECE characters, one every half of it, so that a document that holds a part of one is found.
+PIECE = 160
 #: Characters of benchmark text that one pass over the documents looks for, and of document text that is looked at together.
 PASS_CHARS, RUN_CHARS = 1 << 24, 1 << 22
+#: A q-gram at more places of the passages is common: it is counted only in passages that have too few others. Hits that are counted at once.
+COMMON, HITS = 64, 1 << 21
 
 
 def normal(text: str | None) -> str:
@@ -42,60 +45,86 @@ def budget(m: int) -> int:
     return max(0, min(int(m * EDITS), (m - Q) // Q))
 
 
+def cut(text: str) -> list[tuple[int, str]]:
+    """(offset, piece) of a normal passage: itself, or overlapping pieces, the last one at its end."""
+    if len(text) <= PIECE:
+        return [(0, text)]
+    return [(at, text[at : at + PIECE]) for at in sorted({*range(0, len(text) - PIECE, PIECE // 2), len(text) - PIECE})]
+
+
 class PassageIndex:
-    """All q-grams of a list of passages, for looking up q-grams of documents. Passages under Q characters are found as such."""
+    """The q-grams of a list of distinct passages, the rarest of each, for looking up q-grams of documents. Passages under Q characters are found as such.
+
+    A match with k edits keeps all but k Q of a passage's q-grams, whichever of them are counted. So common ones are left out as long as k Q + 1
+    others remain, and least is so many less.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in items if len(t) >= Q]
         self.short = [(i, t) for i, t in items if 0 < len(t) < Q]
         grams = [qgrams(codes(t)) for _, t in self.items]
-        all_grams = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
-        order = np.argsort(all_grams, kind="stable")
-        self.item, self.place = item[order], place[order].astype(np.int64)
-        self.grams, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
+        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+        sizes = np.array([len(g) for g in grams], np.int64)
+        item = np.repeat(np.arange(len(grams)), sizes)
+        place = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.size = np.array([len(t) for _, t in self.items], np.int64)
         self.edits = np.array([budget(len(t)) for _, t in self.items], np.int64)
-        self.least = self.size - Q + 1 - self.edits * Q
+        _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+        times = times[which]
+        rare = np.bincount(item[times <= COMMON], minlength=len(grams))
+        counted = np.minimum(sizes, np.maximum(rare, self.edits * Q + 1))
+        self.least = counted - self.edits * Q
+        order = np.lexsort((times, item))
+        rank = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        chosen = order[rank < counted[item]]
+        chosen = chosen[np.argsort(gram[chosen], kind="stable")]
+        self.item, self.place = item[chosen], place[chosen]
+        self.grams, self.first, self.count = np.unique(gram[chosen], return_index=True, return_counts=True)
         self.step = self.edits + 1
-        self.shift = np.uint64(64 - max(16, int(len(all_grams) * 16).bit_length()))
+        self.shift = np.uint64(64 - max(16, int(len(self.grams) * 16).bit_length()))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[self._slot(self.grams)] = True
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
-    def regions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item number, first diagonal) of bands with as many hits as the lemma asks for.
+    def regions(self, code: np.ndarray):
+        """(item numbers, first diagonals), part by part, of bands with as many hits as the lemma asks for.
 
         A match with k edits keeps its q-grams on k + 1 neighbouring diagonals (text position less passage position). Bands are
-        2 (k + 1) wide and begin every k + 1, so one of them holds them all; hits of each are counted by sorting.
+        2 (k + 1) wide and begin every k + 1, so one of them holds them all. Hits come in the order of the text, HITS at a time; a band is
+        settled when the text has moved beyond its reach, so what is held does not grow with all hits.
         """
-        none = np.zeros(0, np.int64)
         g = qgrams(code)
         if not len(g) or not len(self.grams):
-            return none, none
+            return
         at = np.flatnonzero(self.maybe[self._slot(g)])
         g = g[at]
         i = np.searchsorted(self.grams, g)
         i[i == len(self.grams)] = 0
         true = self.grams[i] == g
         at, i = at[true], i[true]
+        del g, true
         if not len(at):
-            return none, none
-        n = self.count[i]
-        hit = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-        item = self.item[hit]
-        diagonal = np.repeat(at, n) - self.place[hit] + int(self.size.max())
-        band = diagonal // self.step[item]
-        width = int(band.max()) + 2
-        key = np.concatenate([item * width + band, item * width + np.maximum(band - 1, 0)])
-        key, hits = np.unique(key, return_counts=True)
-        item, band = key // width, key % width
-        enough = hits >= self.least[item]
-        item, band = item[enough], band[enough]
-        return item, band * self.step[item] - int(self.size.max())
+            return
+        most = int(self.size.max())
+        width = len(code) + most + 2
+        part = (np.cumsum(self.count[i]) - 1) // HITS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(at)]
+        keys, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            n = self.count[i[lo:hi]]
+            hit = np.repeat(self.first[i[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item = self.item[hit]
+            band = (np.repeat(at[lo:hi], n) - self.place[hit] + most) // self.step[item]
+            new, times = np.unique(np.concatenate([item * width + band, (item * width + band - 1)[band > 0]]), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            hits = np.bincount(where, np.concatenate([hits, times]), len(keys)).astype(np.int64)
+            item, band = keys // width, keys % width
+            done = np.ones(len(keys), bool) if hi == len(at) else (band + 2) * self.step[item] - most + self.size[item] < at[hi]
+            enough = done & (hits >= self.least[item])
+            yield item[enough], band[enough] * self.step[item[enough]] - most
+            keys, hits = keys[~done], hits[~done]
 
 
 def aligned(passage: str, text: str, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -133,7 +162,7 @@ def aligned(passage: str, text: str, low: int, high: int, most: int) -> tuple[in
 
 
 def matches(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(row, item_id, start, end, edits) of every passage found in normal texts: its best place in each."""
+    """(row, number, start, end, edits) of every passage found in normal texts: its best place in each."""
     starts = np.cumsum([0, *(len(t) + Q for t in texts)])
     joined = ("\0" * Q).join(texts)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -143,8 +172,7 @@ def matches(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int,
         if old is None or (edits, start) < (old[2], old[0]):
             found[row, k] = (start, end, edits)
 
-    item, low = index.regions(codes(joined))
-    for k, d in zip(item.tolist(), low.tolist(), strict=True):
+    for k, d in ((k, d) for item, low in index.regions(codes(joined)) for k, d in zip(item.tolist(), low.tolist(), strict=True)):
         size, most = int(index.size[k]), int(index.edits[k])
         high = d + 2 * int(index.step[k]) - 1
         passage = index.items[k][1]
@@ -169,53 +197,76 @@ def matches(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_char, end_char, edits: every benchmark passage that a document holds within the passage's edit budget.
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """item_id, at, of, text: the pieces of every passage in normal form, where each begins and how many the passage has."""
+
+    def each(batches):
+        for batch in batches:
+            rows = [(i, at, len(some), t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for some in [cut(normal(text))] for at, t in some]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["item_id", "at", "of", "text"])
+
+    some = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    return some.mapInArrow(each, "item_id long, at int, of int, text string").where("text <> ''")
+
+
+def _found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, th, piece, start_char, end_char, edits of every numbered piece in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def each(batches):
+        index = PassageIndex(shared.value)
+        for batch in batches:
+            texts = batch.column(2)
+            lo = 0
+            while lo < batch.num_rows:
+                run, hi, chars = [], lo, 0
+                while hi < batch.num_rows and (hi == lo or chars < RUN_CHARS):
+                    run.append(normal(texts[hi].as_py()))
+                    chars += len(run[-1])
+                    hi += 1
+                hits = matches(index, run)
+                rows = pa.array([lo + h[0] for h in hits], pa.int64())
+                own = [batch.column(0).take(rows), batch.column(1).take(rows)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([h[c] for h in hits], kind) for c, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))], names=["doc_id", "th", "piece", "start_char", "end_char", "edits"])
+                lo = hi
+
+    out = saved(docs.mapInArrow(each, "doc_id long, th long, piece long, start_char long, end_char long, edits int"), "found")
+    shared.destroy()
+    return out
 
-    Texts are compared in normal(); places count its characters. Of several places the one with fewest edits, then the first, is
-    given. A passage under Q characters must stand as whole words; an empty or null one is never found. Benchmark text goes to
-    the tasks in passes of PASS_CHARS characters, so it may be of any size. Repeated documents each have their rows.
-    """
+
+def _held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, th, item_id, best (edits, start_char, end_char), n_pieces, of, rows: leaks() by document text, with the number of equal rows."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out, part, chars = None, [], 0
-    passes = []
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        part.append((r["item_id"], normal(r["text"])))
-        chars += len(part[-1][1])
-        if chars >= PASS_CHARS:
-            passes.append(part)
-            part, chars = [], 0
-    if part or not passes:
-        passes.append(part)
-    schema = "doc_id long, item_id long, start_char long, end_char long, edits int"
-    for items in passes:
-        shared = spark.sparkContext.broadcast(items)
-
-        def each(batches, shared=shared):
-            index = PassageIndex(shared.value)
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1)
-                lo = 0
-                while lo < batch.num_rows:
-                    run, hi, chars = [], lo, 0
-                    while hi < batch.num_rows and (hi == lo or chars < RUN_CHARS):
-                        run.append(normal(texts[hi].as_py()))
-                        chars += len(run[-1])
-                        hi += 1
-                    hits = matches(index, run)
-                    rows = pa.array([lo + h[0] for h in hits], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), *(pa.array([h[c] for h in hits], kind) for c, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
-                    lo = hi
-
-        found = docs.mapInArrow(each, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    some = saved(pieces(benchmark), "pieces")
+    chars = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = -(-chars // PASS_CHARS)
+    texts = saved(some.select("text").distinct().select("text", F.monotonically_increasing_id().alias("piece"), F.pmod(F.xxhash64("text"), F.lit(max(passes, 1))).alias("pass")), "texts")
+    out = spark.createDataFrame([], "doc_id long, th long, piece long, start_char long, end_char long, edits int")
+    for p in range(passes):
+        items = [(r["piece"], r["text"]) for r in texts.where(F.col("pass") == p).select("piece", "text").orderBy("piece").toLocalIterator()]
+        out = out.unionByName(_found(docs, items)) if items else out
+    owners = some.join(texts, "text").select("piece", "item_id", "at", "of")
+    best = F.struct("edits", "start_char", "end_char")
+    placed = out.join(owners, "piece").groupBy("doc_id", "th", "item_id", "at").agg(F.min(best).alias("best"), F.count("*").alias("rows"), F.first("of").alias("of"))
+    return placed.groupBy("doc_id", "th", "item_id").agg(F.min("best").alias("best"), F.count("*").cast("int").alias("n_pieces"), F.max("rows").alias("rows"), F.first("of").alias("of"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_char, end_char, edits, n_pieces, of: the benchmark passages of which a document holds a piece within the edit budget.
+
+    Texts are compared in normal(); places count its characters and are those of the piece with the fewest edits, then the first; n_pieces of the
+    passage's pieces were found. Passages up to PIECE characters are one piece. One under Q characters must stand as whole words; an empty or null
+    one is never found. The pieces stay a table; each pass over the documents takes about PASS_CHARS of them, dealt by a hash, so the driver holds
+    one pass at a time. Repeated documents each have their rows, repeated benchmark rows count once; a null id is an id.
+    """
+    each = _held(docs, benchmark).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "item_id", "best.start_char", "best.end_char", "best.edits", "n_pieces", "of")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, in which leaks() finds nothing. A null doc_id is kept only if its text is clean too."""
-    keyed = docs.withColumn("_id", F.xxhash64("text"))
-    found = saved(leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return keyed.join(small(found, 2_000_000), "_id", "left_anti").drop("_id")
+    """The documents, all columns, in which leaks() finds nothing. Rows are told apart by doc_id and text; one without doc_id goes if its text leaks."""
+    return without(docs, _held(docs, benchmark).select("doc_id", "th"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import free_names, join_skewed, saved, ship, small
+from sieveline.llm.common import join_skewed, saved, ship, small, with_row_key, without
 from sieveline.llm.components import components
 
 SEED = 42
@@ -189,18 +189,12 @@ def representatives(docs: DataFrame, bits: int = 4) -> DataFrame:
     rows to drop are joined to the texts, by broadcast while they are few.
     """
     rows = saved(classes(docs, bits), "classes")
-    id_, none, th = free_names(docs, "id", "none", "th")
-
-    def keyed(df: DataFrame, text_hash) -> DataFrame:
-        doc_id = F.col("doc_id").cast("long")
-        return df.withColumns({id_: F.coalesce(doc_id, F.lit(0)), none: doc_id.isNull(), th: text_hash})
-
     stays = _place() == F.col("first")
-    keys = [id_, none, th]
-    drop = saved(keyed(rows.where(~stays), F.col("th")).select(*keys).distinct(), "drop")
-    often = saved(keyed(rows.where(stays), F.col("th")).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "often")
-    kept = keyed(docs, F.xxhash64("text")).join(small(drop, 2_000_000), keys, "left_anti")
+    kept = without(docs, rows.where(~stays).select("doc_id", "th"))
+    often = rows.where(stays).groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    often = saved(often.select(F.coalesce("doc_id", F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("th").alias("c")), "often")
     if often.limit(1).count():
-        once = kept.join(small(often, 2_000_000), keys, "left_anti")
-        kept = once.unionByName(kept.join(small(often, 2_000_000), keys, "left_semi").dropDuplicates(keys))
+        keyed, keys = with_row_key(kept, F.xxhash64("text"))
+        some = small(often.toDF(*keys), 2_000_000)
+        kept = keyed.join(some, keys, "left_anti").unionByName(keyed.join(some, keys, "left_semi").dropDuplicates(keys))
     return kept.select(*docs.columns)

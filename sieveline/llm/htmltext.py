@@ -12,27 +12,38 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_MARK = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_S = r"\t\n\f\r "
+#: Markup by the rules of HTML: quotes count only after an equals sign, a tag or comment that does not end runs to the end of the page.
+_ATTRIBUTE = rf"""=?[^{_S}/>=]*+(?:[{_S}]*+=[{_S}]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^{_S}>"'][^{_S}>]*+)?+)?+"""
+_TAG = re.compile(rf"<!-->|<!--->|<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|</[^a-zA-Z>][^>]*+>?|</>|<(/?)([a-zA-Z][^{_S}/>]*+)((?:[{_S}/]++|(?=[^{_S}/>]){_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_MARK = re.compile(rf"""([^{_S}/>=]++)(?:[{_S}]*+=[{_S}]*+(?:"([^"]*+)"?|'([^']*+)'?|([^{_S}>"'][^{_S}>]*+))?+)?+""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
-#: Elements, and words of class, id or role, whose content is not the article.
+#: Elements whose content is not the article.
 ASIDE = frozenset("aside button canvas datalist dialog footer form head header iframe input menu nav noscript object script select style svg template textarea title video audio".split())
-ASIDE_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies sharing share sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-KEPT = frozenset(("html", "body", "main", "article"))
+#: Names of class, id and role for what is not the article; a compound name (site-header, reader_comments) counts if all its parts are of these
+#: or NEUTRAL, so no-sidebar, has-header or social-history do not.
+ASIDE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos related replies reply sharing share sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+NEUTRAL = frozenset("area bar block bottom box button buttons center column consent container feed form global group icons inline inner item items large left links list main mobile outer page panel posts primary reader readers right row secondary section site slot small sticky tertiary thread top unit user wrap wrapper".split())
+_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+KEPT = frozenset(("html", "body"))
+#: Elements below so many others are not parents of what follows, as in browsers.
+DEPTH = 512
+#: A marked element whose text is so many times all unmarked text is the page's frame, not beside its article.
+FRAME = 10
 #: What an opening element closes before it, up to the element that bounds the search.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "p": ("p", ())}
 
 
 class Page:
-    """A page's elements as parallel lists, parents before children, and its text runs."""
+    """A page's elements as parallel lists, parents before children, and its text runs. Time grows with the page's length."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.aside, self.link = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.aside, self.marked, self.link = ["#root"], [-1], [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []
         block, stack, at = 0, [0], 0
+        self.open: dict[str, int] = {}
         while m := _TAG.search(source, at):
             if m.start() > at:
                 self.runs.append((stack[-1], block, source[at : m.start()]))
@@ -44,71 +55,120 @@ class Page:
             if name not in INLINE:
                 block += 1
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        del stack[i:]
-                        break
+                if self.open.get(name):
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] != name:
+                        i -= 1
+                    self._pop(stack, i)
                 continue
             if name not in INLINE:
                 self._close(stack, name)
             if name == "br":
                 self.runs.append((stack[-1], block, " "))
-            marks = m[3]
-            node = len(self.tag)
-            up = stack[-1]
+            node, up = len(self.tag), stack[-1]
+            hidden, marked = self._marks(m[3]) if m[3] and name not in KEPT else (False, False)
             self.tag.append(name)
             self.parent.append(up)
-            self.aside.append(self.aside[up] or name in ASIDE or (name not in KEPT and bool(marks) and self._is_aside(marks)))
+            self.aside.append(self.aside[up] or name in ASIDE or hidden)
+            self.marked.append(marked)
             self.link.append(self.link[up] or name == "a")
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 block += 1
-            elif name not in VOID and not marks.endswith("/"):
+            elif name not in VOID and not (m[3].endswith("/") and not m[3].endswith("=/")) and len(stack) <= DEPTH:
                 stack.append(node)
+                self.open[name] = self.open.get(name, 0) + 1
         if at < len(source):
             self.runs.append((stack[-1], block, source[at:]))
 
+    def _pop(self, stack: list[int], i: int) -> None:
+        for node in stack[i:]:
+            self.open[self.tag[node]] -= 1
+        del stack[i:]
+
     def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):  # a block ends the paragraph that is open
-            t = self.tag[stack[i]]
-            if t == "p":
-                del stack[i:]
-                break
-            if t not in INLINE:
-                break
+        if self.open.get("p"):  # a block ends the paragraph that is open
+            for i in range(len(stack) - 1, 0, -1):
+                t = self.tag[stack[i]]
+                if t == "p":
+                    self._pop(stack, i)
+                    break
+                if t not in INLINE:
+                    break
         if name in _CLOSES:
             shut, bounds = _CLOSES[name]
             shut = shut.split()
-            last = None
+            if not any(self.open.get(t) for t in shut):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 t = self.tag[stack[i]]
-                if t in bounds or t in KEPT:
+                if t in bounds or t in KEPT or t in ("main", "article"):
                     break
                 if t in shut:
-                    last = i
+                    self._pop(stack, i)
+                    if name == "tr" and self.tag[stack[-1]] == "tr":
+                        self._pop(stack, len(stack) - 1)
                     break
-            if last is not None:
-                del stack[last:]
-                if name == "tr" and self.tag[stack[-1]] == "tr":
-                    del stack[-1:]
 
     @staticmethod
-    def _is_aside(marks: str) -> bool:
+    def _marks(marks: str) -> tuple[bool, bool]:
+        """Whether attributes hide an element, and whether its names are of what is not the article."""
+        marked = False
         for name, *values in _MARK.findall(marks):
             name, value = name.lower(), "".join(values).lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+            if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
+                return True, marked
             if name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    return True
-            elif not ASIDE_WORDS.isdisjoint(_NAME.findall(value)):
-                return True
-        return False
+                    return True, marked
+            elif name in ("class", "id", "role"):
+                marked = marked or any(map(_is_aside, value.split()))
+        return False, marked
+
 
+def _is_aside(name: str) -> bool:
+    parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    return not ASIDE_WORDS.isdisjoint(parts) and all(p in ASIDE_WORDS or p in NEUTRAL for p in parts)
 
-def _densities(page: Page, size: list[int], linked: list[int]) -> list[float]:
-    """Composite text density of each element: characters per tag, damped by the share of links. Zero counts stand as 1."""
+
+def _settle_marks(page: Page, size: list[int]) -> None:
+    """Marked elements are aside, but for one that holds nearly all text outside asides: that is the page's frame."""
+    n = len(page.tag)
+    under = [False] * n  # within a marked element
+    for i in range(1, n):
+        under[i] = under[page.parent[i]] or page.marked[i]
+    free = sum(size[i] for i in range(n) if not under[i])
+    chars = size[:]
+    for i in range(n - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+    for i in range(1, n):
+        up = page.parent[i]
+        if page.marked[i] and not page.aside[up] and not page.aside[i]:
+            page.aside[i] = not chars[i] > FRAME * max(free, 1)
+            if not page.aside[i]:
+                inner = sum(chars[j] for j in _marked_below(page, i))
+                free += chars[i] - inner
+        page.aside[i] = page.aside[i] or page.aside[up]
+
+
+def _marked_below(page: Page, at: int) -> list[int]:
+    """The outermost marked elements within an element."""
+    inside, out = {at}, []
+    for j in range(at + 1, len(page.tag)):
+        if page.parent[j] in inside:
+            if page.marked[j]:
+                out.append(j)
+            else:
+                inside.add(j)
+        elif page.parent[j] < at:
+            break
+    return out
+
+
+def _densities(page: Page, size: list[int], linked: list[int]) -> tuple[list[float], list[int], list[int]]:
+    """Composite text density of each element (characters per tag, damped by the share of links; zero counts stand as 1), and the characters and
+    linked characters within it."""
     n = len(page.tag)
     chars, links, tags, link_tags = size[:], linked[:], [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
@@ -127,7 +187,7 @@ def _densities(page: Page, size: list[int], linked: list[int]) -> list[float]:
         lc, t, lt = max(links[i], 1), max(tags[i], 1), max(link_tags[i], 1)
         base = math.log(c / max(c - links[i], 1) * links[i] + whole_links / whole * c + math.e)
         out[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), 1e-9) if base > math.e ** 1e-6 and abs(math.log(base)) > 1e-9 else c / t * math.log(max(c / lc * t / lt, 1.0) + 1)
-    return out
+    return out, chars, links
 
 
 def _collapsed(text: str) -> str:
@@ -137,8 +197,9 @@ def _collapsed(text: str) -> str:
 def extract(source: str | None) -> str:
     """The article of a page: blocks in page order, white space within a block as one space, parted by two line ends.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, class,
-    id or role. Of the rest the element with the largest sum of its children's densities is taken, or the article or main element around it;
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, or by class, id or
+    role where that is made of their names only and the element does not hold nearly all of the page. Of the rest the element with the largest
+    sum of its children's densities is taken, or the article or main element around it;
     elements beside its path to the body join it if they are as dense as the thinnest element of that path and not mostly links.
     """
     if not source:
@@ -147,10 +208,14 @@ def extract(source: str | None) -> str:
     n = len(page.tag)
     blocks: dict[int, list[tuple[int, str]]] = {}
     size, linked = [0] * n, [0] * n
-    for node, block, raw in page.runs:
+    runs = [(node, block, html.unescape(raw) if "&" in raw else raw) for node, block, raw in page.runs if not page.aside[node]]
+    for node, _, text in runs:
+        size[node] += len(text.strip())
+    _settle_marks(page, size)
+    size = [0] * n
+    for node, block, text in runs:
         if page.aside[node]:
             continue
-        text = html.unescape(raw) if "&" in raw else raw
         blocks.setdefault(block, []).append((node, text))
         k = len(text.strip())
         size[node] += k
@@ -158,7 +223,7 @@ def extract(source: str | None) -> str:
             linked[node] += k
     if not blocks:
         return ""
-    density = _densities(page, size, linked)
+    density, chars, links = _densities(page, size, linked)
     sums = [0.0] * n
     for i in range(1, n):
         sums[page.parent[i]] += density[i]
@@ -167,13 +232,15 @@ def extract(source: str | None) -> str:
     while path[-1] and page.tag[path[-1]] != "body":
         path.append(page.parent[path[-1]])
     threshold = min(density[i] for i in path) if path else 0.0
-    chosen = {i for i in path if page.tag[i] == "article"} or {i for i in path if page.tag[i] == "main"}
-    top = min(chosen) if chosen else best
+    whole = [i for i in path if page.tag[i] == "article"] or [i for i in path if page.tag[i] == "main"]
+    top = min(whole) if whole else best
     inside = [False] * n
     inside[top] = True
-    beside = set() if chosen else set(path[path.index(top) + 1 :])
+    on_path = set(path)
+    beside = set() if whole else set(path[path.index(top) + 1 :])
     for i in range(1, n):
-        inside[i] = inside[i] or inside[page.parent[i]] or (page.parent[i] in beside and i not in path and density[i] >= threshold > 0 and 2 * _links(page, linked, i) < _links(page, size, i))
+        dense = page.parent[i] in beside and i not in on_path and density[i] >= threshold > 0 and 2 * links[i] < chars[i]
+        inside[i] = inside[i] or inside[page.parent[i]] or dense
     inside_root = top == 0
     out = []
     for block in sorted(blocks):
@@ -183,19 +250,6 @@ def extract(source: str | None) -> str:
     return "\n\n".join(out)
 
 
-def _links(page: Page, size: list[int], at: int) -> int:
-    """Characters counted in size in the subtree of an element; its descendants follow it."""
-    within, total = {at}, size[at]
-    for i in range(at + 1, len(page.tag)):
-        if page.parent[i] not in within:
-            if page.parent[i] < at:
-                break
-            continue
-        within.add(i)
-        total += size[i]
-    return total
-
-
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; a null or empty page has an empty text. Repeated rows stay, other columns go."""
     ship(pages.sparkSession)

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 
 #: Policy packs (name, severities that fail, most risk).
 PACKS = [("default", "CRITICAL", 100), ("strict", "CRITICAL,HIGH", 40), ("soc2", "CRITICAL,HIGH", 50), ("pci", "CRITICAL,HIGH", 25)]
-#: Roles in ascending order, and the tools that each adds to those below.
-ROLES = [("viewer", ["engine_status", "list_plugins", "scan_history"]), ("scanner", ["audit_code_safety", "audit_cloud_cost", "scan_repository"]), ("auditor", ["list_audit_events", "compliance_report"]), ("admin", ["manage_tenant", "issue_access_token"])]
+#: Roles in ascending order, and the tools of each; a role has its own tools and those of the roles before it.
+ROLES = [
+    ("viewer", ["enterprise_health", "enterprise_policy_status", "export_sarif", "generate_sbom"]),
+    ("scanner", ["audit_cloud_cost", "audit_code_safety", "audit_container_config", "audit_infra_security", "engine_status", "evaluate_policy", "full_pipeline", "list_plugins", "scan_dependencies", "scan_git_diff", "scan_history", "scan_repository", "security_score", "suggest_fixes"]),
+    ("operator", ["compliance_report", "list_audit_events"]),
+    ("admin", ["issue_access_token", "manage_tenant", "reload_enterprise_config"]),
+]
+#: A role that is not known counts as this one; the last role may call tools that no list names.
+USUAL_ROLE = "scanner"
+#: Tools that read paths, and tools that use up quota.
+PATH_TOOLS = ("scan_repository", "scan_git_diff", "scan_dependencies")
+QUOTA_TOOLS = ("audit_code_safety", "audit_infra_security", "full_pipeline", *PATH_TOOLS)
 TOOL_OF_EVENT = {"click": "audit_code_safety", "view": "scan_history", "purchase": "scan_repository", "signup": "manage_tenant", "error": "list_audit_events"}
 
 
@@ -42,37 +52,73 @@ def requests(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", "user_id", (F.col("user_id") % 10).alias("tenant_id"), tool.alias("tool"), role.alias("role"), "value")
 
 
-def authorised(asked: DataFrame) -> DataFrame:
-    allowed = role_tools(asked.sparkSession).withColumn("granted", F.lit(True))
-    return asked.join(F.broadcast(allowed), ["role", "tool"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+def authenticated(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked with known: whether the SHA-256 of column api_key is an active key of keys(key_sha256, active). A null key is not known."""
+    known = keys.where("active").select("key_sha256", F.lit(True).alias("known")).distinct()
+    rows = asked.withColumn("key_sha256", F.sha2(F.encode(F.col("api_key"), "UTF-8"), 256)).join(F.broadcast(known), "key_sha256", "left")
+    return rows.drop("key_sha256").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def authorised(asked: DataFrame, blocked: tuple[str, ...] = (), tenants: DataFrame | None = None) -> DataFrame:
+    """asked with granted and reason (null where granted), the first that holds of: blocked for all, denied to the tenant, not on the tenant's list, not of the role.
+
+    tenants(tenant_id, allowed, denied) holds arrays of tools, null or empty for none; it is as small as the list of tenants, and is broadcast.
+    """
+    names = [r for r, _ in ROLES]
+    role = F.when(F.lower("role").isin(*names), F.lower("role")).otherwise(USUAL_ROLE)
+    allowed = role_tools(asked.sparkSession).select(F.col("role").alias("_role"), F.col("tool").alias("_tool"), F.lit(True).alias("_of_role"))
+    rows = asked.withColumn("_as", role)
+    rows = rows.join(F.broadcast(allowed), (F.col("_as") == F.col("_role")) & (F.col("tool") == F.col("_tool")), "left")
+    if tenants is None:
+        none = F.array().cast("array<string>")
+        rows = rows.withColumns({"allowed": none, "denied": none})
+    else:
+        rows = rows.join(F.broadcast(tenants.select("tenant_id", "allowed", "denied")), "tenant_id", "left")
+    listed = F.coalesce(F.size("allowed"), F.lit(0)) > 0
+    reason = (
+        F.when(F.col("tool").isin(*blocked) if blocked else F.lit(False), "blocked")
+        .when(F.coalesce(F.array_contains("denied", F.col("tool")), F.lit(False)), "denied")
+        .when(listed & ~F.array_contains("allowed", F.col("tool")), "not listed")
+        .when(F.col("_of_role").isNull() & (F.col("_as") != names[-1]), "role")
+    )
+    return rows.withColumn("reason", reason).withColumn("granted", F.col("reason").isNull()).drop("_as", "_role", "_tool", "_of_role", "allowed", "denied")
 
 
 def micros(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {ts})")
 
 
-def token_bucket(asked: DataFrame, key: str, capacity: float, per_day: float) -> DataFrame:
-    """key, event_id and admitted: a bucket per key, refilled in proportion to time, one token per request; refused requests refill too.
+def token_bucket(asked: DataFrame, keys: str | list[str], capacity: float, per_day: float) -> DataFrame:
+    """keys, event_id, admitted and retry_after (seconds, 0 where admitted): a bucket per key, refilled in proportion to time, one token per request.
 
-    Each step needs the one before it, so a key's requests pass through one task in order of time; they stream through it, and only a
-    bucket is held in memory, whatever the key's size. Repeated rows are requests of their own; a null key is a key.
+    Refused requests refill too. A request without a time comes first and refills nothing; a capacity of 0 or less admits all. Each step needs the
+    one before it, so a key's requests pass through one task in order of time; they stream through it, and only a bucket is held in memory,
+    whatever the key's size. Repeated rows are requests of their own; a null key is a key.
     """
-    rows = asked.select(key, "event_id", (micros() / 86_400_000_000).alias("t"))
-    kind = rows.schema[key].dataType.simpleString()
+    keys = [keys] if isinstance(keys, str) else keys
+    rows = asked.select(*keys, "event_id", (micros() / 86_400_000_000).alias("t"))
+    if capacity <= 0:
+        return rows.select(*keys, "event_id", F.lit(True).alias("admitted"), F.lit(0.0).alias("retry_after"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    n = len(keys)
 
     def each(batches):
-        owner, tokens, last = object(), 0.0, 0.0
+        owner, tokens, last = object(), 0.0, None
         for batch in batches:
-            admitted = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            admitted, retry = [], []
+            for *k, t in zip(*(batch.column(i).to_pylist() for i in range(n)), batch.column(n + 1).to_pylist(), strict=True):
                 if k != owner:
                     owner, tokens, last = k, float(capacity), t
-                tokens, last = min(float(capacity), tokens + (t - last) * float(per_day)), t
-                admitted.append(tokens >= 1.0)
-                tokens -= admitted[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(admitted, pa.bool_())], names=[key, "event_id", "admitted"])
+                if t is not None:
+                    tokens, last = min(float(capacity), tokens + (t - (t if last is None else last)) * float(per_day)), t
+                ok = tokens >= 1.0
+                admitted.append(ok)
+                retry.append(0.0 if ok else max(0.1, (1.0 - tokens) / float(per_day) * 86400.0))
+                tokens -= ok
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(admitted, pa.bool_()), pa.array(retry, pa.float64())], names=[*keys, "event_id", "admitted", "retry_after"])
 
-    return rows.where("t is not null").repartition(key).sortWithinPartitions(key, "t", "event_id").mapInArrow(each, f"`{key}` {kind}, event_id long, admitted boolean")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("t").asc_nulls_first(), "event_id")
+    return ordered.mapInArrow(each, f"{kinds}, event_id long, admitted boolean, retry_after double")
 
 
 def sum_before(asked: DataFrame, keys: list[str], amount: Column) -> DataFrame:
@@ -94,9 +140,16 @@ def sum_before(asked: DataFrame, keys: list[str], amount: Column) -> DataFrame:
 
 
 def running_quota(asked: DataFrame, limit: int) -> DataFrame:
-    """used before each request of a tenant within its month, and whether the quota still admits it."""
-    rows = sum_before(asked.withColumn("month", F.date_format("ts", "yyyy-MM")), ["tenant_id", "month"], F.lit(1).cast("long"))
-    return rows.select("event_id", "tenant_id", "month", F.col("before").alias("used"), (F.col("before") < limit).alias("admitted"))
+    """used before each request of a tenant, and whether the quota still admits it. Use is never taken back; a limit of 0 or less is none."""
+    rows = sum_before(asked, ["tenant_id"], F.lit(1).cast("long"))
+    return rows.select("event_id", "tenant_id", F.col("before").alias("used"), (F.lit(limit <= 0) | (F.col("before") < limit)).alias("admitted"))
+
+
+def clamped(asked: DataFrame, tenants: DataFrame) -> DataFrame:
+    """asked with max_files and workers no larger than the tenant's limits (most_files, most_workers); null or 0 stays."""
+    rows = asked.join(F.broadcast(tenants.select("tenant_id", "most_files", "most_workers")), "tenant_id", "left")
+    least = lambda c, most: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, F.col(c)).otherwise(F.least(c, most))
+    return rows.withColumns({"max_files": least("max_files", "most_files"), "workers": least("workers", "most_workers")}).drop("most_files", "most_workers")
 
 
 def ledger(asked: DataFrame, credits: float) -> DataFrame:
@@ -110,8 +163,33 @@ def metrics(asked: DataFrame) -> DataFrame:
     return asked.groupBy("tool").agg(F.count("*").alias("calls"), F.countDistinct("user_id").alias("subjects"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(~F.col("granted")).alias("denied"))
 
 
-def sandboxed(files: DataFrame, roots: list[str]) -> DataFrame:
-    inside = F.lit(False)
+def merged_roots(common: list[str], own: list[str]) -> list[str]:
+    """Roots of both lists, each once, without slashes behind."""
+    return sorted({r.rstrip("/") for r in [*common, *own] if r.rstrip("/")})
+
+
+def inside(path, roots: list[str]):
+    """Whether a path, with . and .. resolved, is one of the roots or under one. A path that climbs above its start is not."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    step = lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array(F.lit("..")))
+    whole = F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    found = F.lit(False)
     for r in roots:
-        inside = inside | (F.col("path") == r) | F.startswith(F.col("path"), F.lit(r + "/"))
-    return files.select("file_id", "path", inside.alias("inside"))
+        found = found | (whole == r) | F.startswith(whole, F.lit(r + "/"))
+    return found
+
+
+def sandboxed(files: DataFrame, roots: list[str]) -> DataFrame:
+    return files.select("file_id", "path", inside(F.col("path"), roots).alias("inside"))
+
+
+def statuses(known: str, granted: str, in_rate: str, in_quota: str, in_sandbox: str):
+    """One status per request: the first gate that refuses it. Quota counts for QUOTA_TOOLS, the sandbox for PATH_TOOLS."""
+    return (
+        F.when(~F.col(known), "AUTH_FAILED")
+        .when(~F.col(granted), "FORBIDDEN")
+        .when(~F.col(in_rate), "RATE_LIMITED")
+        .when(~F.col(in_quota) & F.col("tool").isin(*QUOTA_TOOLS), "QUOTA_EXCEEDED")
+        .when(~F.col(in_sandbox) & F.col("tool").isin(*PATH_TOOLS), "SANDBOX_DENIED")
+        .otherwise("OK")
+    )

@@ -10,11 +10,35 @@ ECOSYSTEMS = {"requirements.txt": ("pypi", "PyPI"), "requirements-dev.txt": ("py
 SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
 UNKNOWN = "UNKNOWN"
 _ITEM = r"^([A-Za-z0-9_.\-]+)(?:\s*[=<>!~]=?\s*([A-Za-z0-9_.+\-]+))?"
-#: Rule prefix -> title of its fix. The longest prefix of a rule id counts.
+#: Rule prefix -> title, guidance, a line before and the line after. The longest prefix of a rule id counts.
 FIXES = {
-    "SEC-001": "Move cloud keys to a secret store", "SEC-002": "Load secrets from the environment", "SEC-003": "Remove dynamic eval/exec", "SEC-004": "Use bound parameters in execute()", "SEC-005": "Avoid shell=True", "SEC-005b": "Replace os.system", "SEC-006": "Use yaml.safe_load", "SEC-009": "Avoid pickle", "SEC-011": "Rotate the webhook",
-    "AST-003": "Remove dynamic eval/exec (including aliases)", "AST-004": "Parameterize SQL query", "AST-004b": "Parameterize interpolated SQL", "AST-005": "Disable shell and use argv list", "AST-006": "Use yaml.safe_load", "AST-009": "Avoid pickle",
-    "JS-001": "Remove dynamic code", "JS-002": "Use execFile with arguments", "JS-004": "Set textContent", "GO-002": "Use query placeholders", "JAVA-002": "Use prepared statements", "C-001": "Use bounded functions", "C-002": "Avoid system()", "INFRA-001": "Run as a non-root user", "INFRA-002": "Restrict ingress", "INFRA-003": "Drop privileged mode",
+    "SEC-001": ("Take the access key out of the code", "Revoke it, issue a new one, and read that from the environment.", "KEY = 'AKIA..'", "KEY = os.environ['KEY_ID']"),
+    "SEC-001b": ("Take the secret key out of the code", "Revoke it and let the platform hand the new one to the process.", "secret_key = '..'", "secret_key = os.environ['SECRET_KEY']"),
+    "SEC-002": ("Read this credential at run time", "Keep a name in the code and the value in the environment or a vault.", "password = '..'", "password = os.environ['PASSWORD']"),
+    "SEC-002b": ("Withdraw this provider token", "Tokens in a repository count as published: withdraw it and store its successor elsewhere.", "token = 'ghp_..'", "token = os.environ['TOKEN']"),
+    "SEC-003": ("Do without evaluated text", "Parse literals, or look the wanted function up in a table.", "x = eval(text)", "x = ast.literal_eval(text)"),
+    "SEC-004": ("Hand values to execute() apart from the query", "The driver quotes values that are passed as parameters.", "cur.execute(f'.. {a}')", "cur.execute('.. ?', (a,))"),
+    "SEC-005": ("Start the program without a shell", "A list of arguments is not parsed by a shell.", "run(cmd, shell=True)", "run(['ls', path])"),
+    "SEC-005b": ("Start the program through subprocess", "os.system parses its text in a shell; a list of arguments is passed as it is.", "os.system('ls ' + p)", "subprocess.run(['ls', p])"),
+    "SEC-006": ("Load YAML as plain data", "The safe loader builds no objects.", "yaml.load(f)", "yaml.safe_load(f)"),
+    "SEC-009": ("Exchange data in a format without code", "Unpickling can call anything; JSON cannot.", "pickle.loads(b)", "json.loads(b)"),
+    "SEC-011": ("Replace the webhook address", "Whoever has the address can post: make a new one and keep it out of the code.", "HOOK = 'https://..'", "HOOK = os.environ['HOOK']"),
+    "AST-003": ("Do without evaluated text, under any name", "An alias of eval evaluates as well.", "e = eval; e(t)", "ast.literal_eval(t)"),
+    "AST-004": ("Bind the outside value", "The query text stays constant; what comes from outside is a parameter.", "cur.execute(q + a)", "cur.execute(q, (a,))"),
+    "AST-004b": ("Keep the query text constant", "Formatting a query mixes code and data.", "cur.execute('%s' % a)", "cur.execute('?', (a,))"),
+    "AST-005": ("Pass arguments as a list, no shell", "Nothing is left for a shell to interpret.", "run(c, shell=True)", "run([prog, arg])"),
+    "AST-006": ("Name a safe YAML loader", "Without one, tags in the file choose what is built.", "yaml.load(f)", "yaml.load(f, Loader=yaml.SafeLoader)"),
+    "AST-009": ("Unpickle nothing from outside", "Use a format that only holds data.", "pickle.load(f)", "json.load(f)"),
+    "JS-001": ("Call functions, not text", "Build no code at run time.", "eval(s)", "table[s]()"),
+    "JS-002": ("Pass the command's arguments apart", "execFile starts a program without a shell.", "exec(`ls ${d}`)", "execFile('ls', [d])"),
+    "JS-004": ("Write text, not markup", "Text content is not parsed.", "e.innerHTML = s", "e.textContent = s"),
+    "GO-002": ("Use the driver's placeholders", "Formatted queries are parsed with the value in them.", "db.Query(fmt.Sprintf(..))", "db.Query(q, v)"),
+    "JAVA-002": ("Prepare the statement", "Parameters of a prepared statement are data.", "st.execute(q + v)", "ps.setString(1, v)"),
+    "C-001": ("Bound every copy", "Give the size of the target.", "strcpy(a, b)", "snprintf(a, sizeof a, \"%s\", b)"),
+    "C-002": ("Start programs without a shell", "exec functions take arguments one by one.", "system(c)", "execv(p, args)"),
+    "INFRA-001": ("Give the image a user of its own", "A process that is not root can do less harm.", "USER root", "USER app"),
+    "INFRA-002": ("Open the port to known networks", "Name the address ranges that need it.", "0.0.0.0/0", "10.0.0.0/8"),
+    "INFRA-003": ("Take the container's privileges away", "Add the capabilities that it needs, one by one.", "privileged: true", "privileged: false"),
 }
 
 
@@ -96,6 +120,10 @@ def vulnerable(found: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def fix_drafts(findings: DataFrame) -> DataFrame:
-    """findings with title and confidence of the fix whose rule prefix is the longest. The fixes are a short fixed list, tried longest first."""
-    best = F.coalesce(*(F.when(F.startswith("rule_id", F.lit(k)), F.lit(FIXES[k])) for k in sorted(FIXES, key=len, reverse=True)))
-    return findings.withColumn("title", F.coalesce(best, F.concat(F.lit("Address "), "rule_id"))).withColumn("confidence", F.when(best.isNotNull(), "high").otherwise("medium"))
+    """findings with title, guidance, diff and confidence of the fix whose rule prefix is the longest. The fixes are a short fixed list, tried longest first."""
+    some = [(F.startswith("rule_id", F.lit(k)), FIXES[k]) for k in sorted(FIXES, key=len, reverse=True)]
+    pick = lambda value: F.coalesce(*(F.when(fits, value(*fix)) for fits, fix in some))
+    best = pick(lambda title, guidance, before, after: title)
+    diff = pick(lambda title, guidance, before, after: f"-{before}\n+{after}")
+    guidance = F.coalesce(pick(lambda title, guidance, before, after: guidance), F.lit("Look at the finding and correct its cause."))
+    return findings.select("*", F.coalesce(best, F.concat(F.lit("Address "), "rule_id")).alias("title"), guidance.alias("guidance"), diff.alias("diff"), F.when(best.isNotNull(), "high").otherwise("medium").alias("confidence"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.functions.arrays import let
 from sieveline.functions.spans import column_of, line_of, masked, match_spans
-from sieveline.operators.catalog import DEDUCTIONS, RANKS, WEIGHTS, Rule
+from sieveline.operators.catalog import DEDUCTIONS, FAMILIES, RANKS, TWINS, WEIGHTS, Rule
 
 #: Findings of one engine in one file, and the bound of a file's risk score.
 MOST_FINDINGS, MOST_RISK = 100, 999
@@ -17,26 +18,26 @@ def severity_dim(spark) -> DataFrame:
 
 
 def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str, ...] = (), most: int | None = MOST_FINDINGS) -> DataFrame:
-    """file_id, path, engine, ord, rule_id, severity, line, column, match_length, excerpt: one row per match, no shuffle but for the cap.
+    """file_id, path, engine, ord, rule_id, severity, line, column, match_length, excerpt, truncated: one row per match, no shuffle.
 
     All rules are evaluated in one pass over a file; an anchor spares a text the pattern. At most most per file are kept (None: all),
-    in rule order, then by position. keep names further columns of files that go along.
+    in rule order, then by position; truncated says that the file had more. keep names further columns of files that go along.
     """
     text = F.col("content")
     hits = []
     for i, r in enumerate(rules):
-        found = match_spans(text, r.before, r.span, r.after, r.flags)
+        found = match_spans(text, r.before, r.span, r.after, r.flags, most and most + 1)
         rows = _tagged(found, i, r)
         fits = F.lit(True) if not r.languages or "*" in r.languages else F.col("language").isin(*r.languages)
         if r.anchor:
             fits = fits & F.contains(text, F.lit(r.anchor))
         hits.append(F.when(fits, rows).otherwise(F.array().cast("array<struct<ord:int,start:int,rule_id:string,severity:string,length:int,hit:string>>")))
-    found = F.concat(*hits)
-    capped = found if most is None else F.slice(found, 1, most)
-    out = files.select("file_id", "path", "content", *keep, F.explode(capped).alias("h"))
+    capped = lambda v: F.struct((v if most is None else F.slice(v, 1, most)).alias("hits"), (F.lit(False) if most is None else F.size(v) > most).alias("more"))
+    found = files.select("file_id", "path", "content", *keep, let(F.concat(*hits), capped).alias("_found"))
+    out = found.select("file_id", "path", "content", *keep, F.col("_found.more").alias("truncated"), F.explode("_found.hits").alias("h"))
     return out.select(
         "file_id", "path", F.lit(engine).alias("engine"), F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity"),
-        line_of(F.col("content"), F.col("h.start")).alias("line"), column_of(F.col("content"), F.col("h.start")).alias("column"), F.col("h.length").alias("match_length"), masked(F.col("h.hit")).alias("excerpt"), *keep,
+        line_of(F.col("content"), F.col("h.start")).alias("line"), column_of(F.col("content"), F.col("h.start")).alias("column"), F.col("h.length").alias("match_length"), masked(F.col("h.hit")).alias("excerpt"), "truncated", *keep,
     )
 
 
@@ -44,18 +45,35 @@ def _tagged(found, i: int, r: Rule):
     return F.transform(found, lambda m: F.struct(F.lit(i).alias("ord"), m["start"].alias("start"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), m["length"].alias("length"), m["hit"].alias("hit")))
 
 
+def family(rule_id: str = "rule_id"):
+    """The family of a rule that has one, else null."""
+    return F.coalesce(*(F.when(F.startswith(rule_id, F.lit(f)), f) for f in FAMILIES))
+
+
 def collapsed(findings: DataFrame) -> DataFrame:
-    """One finding per file, rule family (the rule id without its letter), line and severity: the first by rule order, then column."""
-    family = F.regexp_replace("rule_id", "[a-z]$", "")
-    own = Window.partitionBy("file_id", family, "line", "severity").orderBy("ord", "column")
-    return findings.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    """Of findings of one family on one line with one severity the first, by rule order, then column; findings without a family all stay."""
+    own = Window.partitionBy("file_id", "_f", "line", "severity").orderBy("ord", "column")
+    return findings.withColumn("_f", family()).withColumn("_n", F.when(F.col("_f").isNotNull(), F.row_number().over(own)).otherwise(1)).where("_n = 1").drop("_n", "_f")
 
 
 def without_twins(findings: DataFrame, structural: DataFrame) -> DataFrame:
-    """Findings of the base grid less those whose family number a structural engine reports on the same line."""
-    number = F.regexp_extract("rule_id", r"-(\d+)", 1)
-    twins = structural.select("file_id", "line", F.regexp_extract("rule_id", r"-(\d+)", 1).alias("number")).distinct()
-    return findings.withColumn("number", number).join(twins, ["file_id", "line", "number"], "left_anti").drop("number")
+    """Findings of the base grid less those whose family TWINS pairs with one that a structural engine reports on the same line."""
+    twin = lambda of: F.coalesce(*(F.when(F.startswith("rule_id", F.lit(k)), v) for k, v in of.items()))
+    seen = structural.select("file_id", "line", twin({v: v for v in TWINS.values()}).alias("_twin")).where("_twin is not null").distinct()
+    return findings.withColumn("_twin", twin(TWINS)).join(seen, ["file_id", "line", "_twin"], "left_anti").drop("_twin")
+
+
+def ordered(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """findings with place: their number from 1 within keys by severity rank, line, rule, column. One file's findings are one group."""
+    own = Window.partitionBy(*keys).orderBy("rank", "line", "rule_id", "column")
+    ranked = findings.join(F.broadcast(severity_dim(findings.sparkSession).select("severity", "rank")), "severity")
+    return ranked.withColumn("place", F.row_number().over(own)).drop("rank")
+
+
+def merged(findings: DataFrame) -> DataFrame:
+    """Findings of several engines (column step, their order): one per file, rule, line and start of excerpt, the last, at the place of the first."""
+    start = F.left("excerpt", F.lit(40))
+    return last_wins(findings.withColumn("head", start), ["file_id", "rule_id", "line", "head"], ["step", "ord", "column"]).drop("place", "head")
 
 
 def last_wins(findings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

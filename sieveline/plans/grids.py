@@ -9,8 +9,8 @@ from sieveline.operators import catalog, scan, structural
 from sieveline.operators.catalog import Rule
 from sieveline.plans.corpus import FILES_SQL, SNIPPETS, files
 
-FINDING = ["file_id", "path", "rule_id", "severity", "line", "column", "match_length", "excerpt"]
-INFRA_LANGUAGES = ("hcl", "yaml", "dockerfile")
+FINDING = ["file_id", "path", "rule_id", "severity", "line", "column", "match_length", "excerpt", "truncated"]
+INFRA_LANGUAGES = ("terraform", "yaml", "dockerfile")
 
 
 def _masked_sql(v: str) -> str:
@@ -35,19 +35,20 @@ SELECT file_id, path, {i} AS ord, '{r.id}' AS rule_id, '{r.severity}' AS severit
 ) WHERE TRUE {unless}"""
 
 
-def findings_sql(rules: tuple[Rule, ...], where: str = "TRUE") -> str:
+def findings_sql(rules: tuple[Rule, ...], where: str = "TRUE", most: int | None = 100) -> str:
     union = " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(rules))
     return f"""WITH files AS (SELECT * FROM ({FILES_SQL}) WHERE {where}), hits AS ({union}),
 findings AS (SELECT file_id, path, ord, rule_id, severity, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INT) AS line,
-  CAST(length(split_part(head, chr(10), -1)) + 1 AS INT) AS "column", CAST(length(m) AS INT) AS match_length, {_masked_sql('m')} AS excerpt FROM hits)"""
+  CAST(length(split_part(head, chr(10), -1)) + 1 AS INT) AS "column", CAST(length(m) AS INT) AS match_length, {_masked_sql('m')} AS excerpt,
+  {"FALSE" if most is None else f"count(*) OVER (PARTITION BY file_id) > {most}"} AS truncated FROM hits {"" if most is None else f"QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ord, length(head)) <= {most}"})"""
 
 
-def _select(body: str, rules=catalog.BASE, where: str = "TRUE") -> str:
-    return f"{findings_sql(rules, where)} {body}"
+def _select(body: str, rules=catalog.BASE, where: str = "TRUE", most: int | None = 100) -> str:
+    return f"{findings_sql(rules, where, most)} {body}"
 
 
-_ALL = 'SELECT file_id, path, rule_id, severity, line, "column", match_length, excerpt FROM findings'
-_INFRA_WHERE = "language IN ('hcl', 'yaml', 'dockerfile')"
+_ALL = 'SELECT file_id, path, rule_id, severity, line, "column", match_length, excerpt, truncated FROM findings'
+_INFRA_WHERE = "language IN ('terraform', 'yaml', 'dockerfile')"
 
 
 def base_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,8 @@ def ast_findings(spark, sf_dir):
 def hybrid_findings(spark, sf_dir):
     """Both engines together: the base grid less what the syntax tree reports on the same line in the same family, collapsed."""
     found = structural.findings(files(spark, sf_dir))
-    return scan.collapsed(scan.without_twins(base_findings(spark, sf_dir), found)).unionByName(found).select("file_id", "rule_id", "severity", "line", "column")
+    names = ["file_id", "rule_id", "severity", "line", "column"]
+    return scan.collapsed(scan.without_twins(base_findings(spark, sf_dir), found)).select(*names).unionByName(found.select(*names))
 
 
 #: Worked out by hand for each Python snippet of the corpus: rule, severity, line, column. Lines count the document's line before it.
@@ -133,7 +135,10 @@ _BY_HAND = {
     16: [("AST-004", "CRITICAL", 6, 1), ("AST-004b", "HIGH", 7, 1), ("AST-003", "CRITICAL", 9, 1), ("AST-011", "MEDIUM", 10, 1), ("AST-003b", "HIGH", 11, 8), ("AST-005t", "CRITICAL", 13, 1)],
 }
 _AST = "SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES " + ", ".join(f"({k}, '{r}', '{s}', CAST({n} AS INT), CAST({c} AS INT))" for k, rows in _BY_HAND.items() for r, s, n, c in rows) + f""") AS v(k, rule_id, severity, line, "column") ON d.doc_id % {len(SNIPPETS)} = v.k WHERE d.text IS NOT NULL"""
-_COLLAPSED = """, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, regexp_replace(rule_id, '[a-z]$', ''), line, severity ORDER BY ord, "column") AS n FROM findings) WHERE n = 1)"""
+_COLLAPSED = """, kept AS (SELECT * EXCLUDE (fam) FROM (SELECT *, nullif(regexp_extract(rule_id, '^SEC-(003|004|005|006|009|010)', 1), '') AS fam FROM findings)
+  QUALIFY fam IS NULL OR row_number() OVER (PARTITION BY file_id, fam, line, severity ORDER BY ord, "column") = 1)"""
+_TWINLESS = """, alone AS (SELECT f.* FROM findings f WHERE NOT EXISTS (SELECT 1 FROM ast a WHERE a.file_id = f.file_id AND a.line = f.line AND regexp_extract(f.rule_id, '^SEC-(003|004|005|006|009)', 1) <> ''
+  AND starts_with(a.rule_id, 'AST-' || regexp_extract(f.rule_id, '^SEC-(003|004|005|006|009)', 1))))"""
 _WEIGHT = "CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 4 ELSE 1 END"
 _LEVEL = "CASE WHEN {0} <= 0 THEN 'NONE' WHEN {0} < 20 THEN 'LOW' WHEN {0} < 50 THEN 'MEDIUM' WHEN {0} < 100 THEN 'HIGH' ELSE 'CRITICAL' END"
 _RISK = f"""{_COLLAPSED}, scored AS (SELECT f.file_id, f.path, f.language, CAST(least(coalesce(sum({_WEIGHT}) FILTER (k.file_id IS NOT NULL), 0), 999) AS BIGINT) AS risk_score, count(k.file_id) AS issue_count
@@ -145,11 +150,11 @@ QUERIES = {f.__name__: f for f in (risk_by_file, base_grid_findings, lang_grid_f
 ORACLES = {
     "base_grid_findings": _select(_ALL),
     "ast_findings": _AST,
-    "hybrid_findings": _select(f"""{_COLLAPSED.replace('FROM findings)', "FROM findings f WHERE NOT EXISTS (SELECT 1 FROM ast a WHERE a.file_id = f.file_id AND a.line = f.line AND regexp_extract(a.rule_id, '-([0-9]+)', 1) = regexp_extract(f.rule_id, '-([0-9]+)', 1)))").replace(', kept AS', f', ast AS ({_AST}), kept AS', 1)} SELECT file_id, rule_id, severity, line, "column" FROM kept UNION ALL SELECT * FROM ast"""),
+    "hybrid_findings": _select(f""", ast AS ({_AST}){_TWINLESS}{_COLLAPSED.replace("FROM findings)", "FROM alone)")} SELECT file_id, rule_id, severity, line, "column" FROM kept UNION ALL SELECT * FROM ast"""),
     "lang_grid_findings": _select(_ALL, catalog.LANGUAGE),
-    "iac_findings": _select(_ALL, catalog.IAC, _INFRA_WHERE),
-    "docker_findings": _select(_ALL, catalog.DOCKER, "language = 'dockerfile'"),
-    "k8s_findings": _select(_ALL, catalog.K8S, "language = 'yaml'"),
+    "iac_findings": _select(_ALL, catalog.IAC, _INFRA_WHERE, None),
+    "docker_findings": _select(_ALL, catalog.DOCKER, "language = 'dockerfile'", None),
+    "k8s_findings": _select(_ALL, catalog.K8S, "language = 'yaml'", None),
     "rule_hit_counts": _select("SELECT rule_id, severity, count(*) AS hits, count(DISTINCT file_id) AS files FROM findings GROUP BY ALL"),
     "collapsed_findings": _select(_COLLAPSED + " " + _ALL.replace("FROM findings", "FROM kept")),
     "risk_by_file": _select(f"{_RISK} {_RISK_ROWS}"),

@@ -57,7 +57,7 @@ def sbom_cyclonedx_components(spark, sf_dir):
 
 
 def fix_drafts(spark, sf_dir):
-    return inventory.fix_drafts(grids.base_findings(spark, sf_dir).select("file_id", "rule_id", "line", "column"))
+    return inventory.fix_drafts(grids.base_findings(spark, sf_dir).select("file_id", "rule_id", "line", "column")).drop("guidance", "diff")
 
 
 def _asked(spark, sf_dir):
@@ -77,7 +77,7 @@ def stream_token_buckets(spark, sf_dir):
 _ROWS = [(k, i + 1, *c) for k, (_, _, cs) in enumerate(MANIFESTS) for i, c in enumerate(cs)]
 _FOUND = "found AS (SELECT d.doc_id AS project, v.* FROM documents d JOIN (VALUES " + ", ".join(f"({k}, {i}, '{n}', '{v}', '{p}', '{e}')" for k, i, n, v, p, e in _ROWS) + f") AS v(k, i, name, version, purl, ecosystem) ON d.doc_id % {len(MANIFESTS)} = v.k)"
 _KNOWN = "(VALUES " + ", ".join(f"('{e}', '{n}', '{v}', '{i}', '{_SEVERITY_BY_HAND[i]}')" for e, n, v, i, _, _ in ADVISORIES if i in _SEVERITY_BY_HAND) + ") AS a(ecosystem, name, version, id, severity)"
-_LONGEST = "(VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in inventory.FIXES.items()) + ") AS x(prefix, title)"
+_LONGEST = "(VALUES " + ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, (t, *_) in inventory.FIXES.items()) + ") AS x(prefix, title)"
 
 QUERIES = {f.__name__: f for f in (inventory_components, inventory_vulnerabilities, sbom_spdx_packages, sbom_cyclonedx_components, fix_drafts, stream_tool_windows, stream_token_buckets)}
 ORACLES = {

@@ -30,6 +30,9 @@ def test_twins_and_last_wins(spark):
     df = spark.createDataFrame([(1, "a.py", "python", "eval(x)\nos.system('eval')\n")], FILES)
     left = scan.without_twins(scan.grid(df, catalog.BASE, "regex"), structural.findings(df))
     assert left.count() == 0
+    both = spark.createDataFrame([(1, "a.py", "python", "import pickle; K = '-----BEGIN RSA PRIVATE KEY-----'\nopen(input()); u = 'https://hooks.slack.com/services/T/B/X'\n")], FILES)
+    tree = structural.findings(both)
+    assert sorted(r["rule_id"] for r in scan.without_twins(scan.grid(both, catalog.BASE, "regex"), tree).collect()) == ["SEC-010", "SEC-011"] and tree.count() == 2
     twice = spark.createDataFrame([(1, "k", 1, "old"), (1, "k", 2, "new"), (1, "l", 3, "one")], "f int, key string, at int, v string")
     assert sorted((r["key"], r["v"], r["place"]["at"]) for r in scan.last_wins(twice, ["key"], ["at"]).collect()) == [("k", "new", 1), ("l", "one", 3)]
 
@@ -81,11 +84,11 @@ def test_inventory_of_odd_manifests(spark):
     assert [p["SPDXID"] for p in spdx["packages"]] == ["SPDXRef-Package-1", "SPDXRef-Package-2"] and len(spdx["relationships"]) == 2
     assert inventory.components(found.select("project", F.lit("p").alias("path"), F.lit("").alias("content")).where("false")).count() == 0
     drafts = inventory.fix_drafts(spark.createDataFrame([("SEC-005b",), ("SEC-005",), ("SEC-001b",), ("ZZ-1",), (None,)], "rule_id string")).collect()
-    assert [r["title"] for r in drafts][:4] == ["Replace os.system", "Avoid shell=True", "Move cloud keys to a secret store", "Address ZZ-1"]
+    assert [r["title"] for r in drafts][:4] == ["Start the program through subprocess", "Start the program without a shell", "Take the secret key out of the code", "Address ZZ-1"]
 
 
 def test_infrastructure_findings_have_no_cap(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "main.tf", "hcl", 'cidr = "0.0.0.0/0"\n' * 120 + "privileged = true\n")], FILES)
+    df = spark.createDataFrame([(1, "main.tf", "terraform", 'cidr = "0.0.0.0/0"\n' * 120 + "privileged = true\n")], FILES)
     monkeypatch.setattr(gates, "files", lambda spark, sf_dir: df)
     monkeypatch.setattr(grids, "files", lambda spark, sf_dir: df)
     row = gates.infra_gate(spark, "").first()

@@ -1,0 +1,97 @@
+"""Rules, redaction, gates and costs on texts with near misses; the cap of a grid."""
+
+from pyspark.sql import functions as F
+
+from sieveline.functions.spans import line_text, redacted_excerpt, sanitised
+from sieveline.operators import catalog, control, cost, languages, scan
+
+FILES = "file_id long, path string, language string, content string"
+
+
+def hits(spark, text, rules=catalog.BASE, language="python", most=100):
+    df = spark.createDataFrame([(1, "f", language, text)], FILES)
+    return [(r["rule_id"], r["line"], r["column"], r["truncated"]) for r in scan.grid(df, rules, "x", most=most).collect()]
+
+
+def test_query_text_inside_execute(spark):
+    lines = ["c.execute(f'a {x} b')", 'c.execute("a %s" % x)', "c.execute('a {}'.format(x))", 'c.execute ( "a" + x)', "c.execute('a', (x,))", "c.execute(q % x)", "c.executemany('a' + x)", "c.execute('a %s', x)"]
+    assert [h[1] for h in hits(spark, "\n".join(lines)) if h[0] == "SEC-004"] == [1, 2, 3, 4]
+    lines = ["drop table {t}", "ALTER t %(x)s", "select a %d", "select 'a' + b", 'update "a" +', "select; {x}", "selected {x}", "insert " + "x" * 130 + "{y}", "delete %f"]
+    assert [h[1] for h in hits(spark, "\n".join(lines)) if h[0] == "SEC-004b"] == [1, 2, 3, 4, 5, 9]
+    assert [h[0] for h in hits(spark, "exec('ls ${d}')\nexec(\"a\")\nspawn(`x ${y}`)", catalog.LANGUAGE, "javascript")] == ["JS-002", "JS-002"]
+    assert [h[1] for h in hits(spark, "exec.Command('powershell')\nexec.Command(\"cmd\")\nexec.Command(\"ls\")", catalog.LANGUAGE, "go")] == [1, 2]
+
+
+def test_a_capped_file_says_so(spark):
+    assert [h[3] for h in hits(spark, "eval(x)\n" * 101)] == [True] * 100 and [h[3] for h in hits(spark, "eval(x)\n" * 100)] == [False] * 100
+    assert len(hits(spark, "eval(x)\n" * 101, most=None)) == 101
+
+
+def test_many_matches_keep_their_places(spark):
+    text = "é eval(x) " * 3000
+    got = hits(spark, text, most=None)
+    assert [h[2] for h in got] == [3 + 10 * i for i in range(3000)]
+
+
+def test_sanitised_texts(spark):
+    hexes = "0123456789abcdef" * 2
+    cases = [("token = &quot;" + hexes, "to************" + hexes[-2:]), (hexes, "01************ef"), ("api: short", "api: short"), ("PASSWORD='abcdefgh' x", "PA************h' x"), ("AKIA" + "Q7" * 8, "AK************Q7"), ("xoxb-1234567890", "xo***********90"), ("plain words only", "plain words only"), ("", ""), (None, None)]
+    got = spark.createDataFrame(cases, "t string, want string").select("want", sanitised(F.col("t"), catalog.LOG_SHAPES).alias("got"), sanitised(F.repeat("t", F.lit(9)), "zzz", 20).alias("cut"))
+    for r in got.collect():
+        assert r["got"] == r["want"] and (r["cut"] is None or len(r["cut"]) <= 20)
+
+
+def test_excerpts(spark):
+    line = "\tkey = 'abcdefghijklmnop' " + "x" * 60 + " SECRETVALUE " + "tail " * 20 + "\n"
+    a = line.index("SECRETVALUE")
+    r = spark.createDataFrame([(line, a, a + 11), ("", 0, 0), ("abcdefghijkl", 3, 99), ("some words here", 5, 5)], "t string, a int, b int").select(redacted_excerpt(F.col("t"), F.col("a"), F.col("b"))).collect()
+    assert r[0][0] == "…xx" + "*" * 12 + "xx SE*******UE " + ("tail " * 20)[:39] + "…"
+    assert [x[0] for x in r[1:]] == ["", "abc" + "de*****kl", "some words here"]
+    two = spark.createDataFrame([("a\nbc\nd", 3)], "t string, at int").select(line_text(F.col("t"), F.col("at"))).first()
+    assert two[0] == "bc"
+
+
+def test_roles_tenants_and_blocks(spark):
+    rows = [("viewer", "export_sarif", 0), ("viewer", "scan_history", 0), ("Operator", "list_audit_events", 0), ("boss", "scan_history", 0), ("admin", "no_such_tool", 0), ("scanner", "no_such_tool", 0), ("admin", "scan_git_diff", 0), ("scanner", "scan_history", 1), ("scanner", "scan_history", 2), ("scanner", "suggest_fixes", 2)]
+    tenants = spark.createDataFrame([(1, None, ["scan_history"]), (2, ["suggest_fixes"], None)], "tenant_id long, allowed array<string>, denied array<string>")
+    asked = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, role string, tool string, tenant_id long")
+    got = [r["reason"] for r in control.authorised(asked, ("scan_git_diff",), tenants).orderBy("event_id").collect()]
+    assert got == [None, "role", None, None, None, "role", "blocked", "denied", "not listed", None]
+
+
+def test_keys_limits_and_paths(spark):
+    keys = spark.createDataFrame([("a", True), ("b", False)], "k string, active boolean").select(F.sha2("k", 256).alias("key_sha256"), "active")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "event_id long, api_key string")
+    assert {r["event_id"]: r["known"] for r in control.authenticated(asked, keys).collect()} == {1: True, 2: False, 3: False, 4: False}
+    limits = spark.createDataFrame([(1, 10, 2)], "tenant_id long, most_files int, most_workers int")
+    some = spark.createDataFrame([(1, 50, 0), (1, None, 1), (2, 50, 9)], "tenant_id long, max_files int, workers int")
+    assert sorted(str((r["max_files"], r["workers"])) for r in control.clamped(some, limits).collect()) == ["(10, 0)", "(50, 9)", "(None, 1)"]
+    roots = control.merged_roots(["/srv/a/", "/srv/a"], ["data", ""])
+    assert roots == ["/srv/a", "data"]
+    paths = ["/srv/a", "/srv/a/b", "/srv/ab", "/srv/a/../b", "/srv/x/../a/c", "data/./x", "../data", "data/../../data/x"]
+    df = spark.createDataFrame(list(enumerate(paths)), "file_id long, path string")
+    assert [r["inside"] for r in control.sandboxed(df, roots).orderBy("file_id").collect()] == [True, True, False, False, True, True, False, False]
+
+
+def test_requests_without_a_time(spark):
+    rows = [(i, 1, f"2024-01-01 00:00:{i:02d}" if i % 2 else None) for i in range(6)]
+    asked = spark.createDataFrame(rows, "event_id long, user_id long, s string").select("event_id", "user_id", F.to_timestamp_ntz("s").alias("ts"))
+    got = control.token_bucket(asked, "user_id", 2, 2).collect()
+    assert sorted((r["event_id"], r["admitted"]) for r in got) == [(0, True), (1, False), (2, True), (3, False), (4, False), (5, False)]
+    assert all(r["retry_after"] > 1000 for r in got if not r["admitted"])
+    assert control.token_bucket(asked, "user_id", 0, 2).where("admitted").count() == 6
+    assert control.running_quota(asked.withColumn("tenant_id", F.lit(1)), 0).where("admitted").count() == 6
+
+
+def test_costs(spark):
+    text = 'a { b { type = "m5.large" } count = 3\n x = "db.m5.large" }\nresource { m5.24xlarge\n replicas: 4 t3.micro }' + ' ' * 130 + 'desired_capacity = 900 p4d.24xlarge'
+    df = spark.createDataFrame([(1, text, "aws"), (2, "e2-medium count=2", "GCP"), (3, text, "azure"), (4, None, "aws")], "file_id long, content string, provider string")
+    got = sorted((r["file_id"], r["sku"], r["quantity"], r["monthly_usd"], r["line"]) for r in cost.line_items(df).collect())
+    assert got == [(1, "db.m5.large", 3, 385.44, 2), (1, "m5.large", 1, 69.84, 1), (1, "p4d.24xlarge", 100, 2392940.0, 4), (1, "t3.micro", 4, 29.76, 4), (2, "e2-medium", 2, 48.92, 1)]
+    assert [tuple(r) for r in cost.unpriced(df).collect()] == [(1, "m5.24xlarge")]
+
+
+def test_languages(spark):
+    cases = [("a/b.PY", "", "python"), ("Dockerfile", "", "dockerfile"), ("x/dockerfile.dev", "", "dockerfile"), ("m.kts", "", "kotlin"), ("run", "#!/usr/bin/env bash\n", "shell"), ("run", "#!/usr/bin/python3", "python"), ("x", "FROM a\n", "dockerfile"), ("x", "package main", "go"), ("x", "hello", "unknown"), ("x", None, "unknown"), (".py", None, "python")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, path string, content string, want string")
+    assert [(r["path"], r["want"]) for r in df.where(languages.detected(F.col("path"), F.col("content")) != F.col("want")).collect()] == []

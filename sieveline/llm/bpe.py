@@ -19,7 +19,7 @@ from sieveline.llm.textarrays import distinct, slices, tokens
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: White space beyond ASCII that parts words, and all of it; \x1c-\x1f are no white space here.
 _WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = regex.compile(rf"[\t-\r {_WIDE}]+")

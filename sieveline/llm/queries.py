@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, decontamination, disclosure, htmltext, licenses, outliers, quality, sharding, simhash, tokenfiles
+from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, quality, sharding, simhash, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -63,5 +63,5 @@ QUERIES = {
         op9_token_id_files,
         op10_simhash_near_dedup,
     )
-}
-ORACLES: dict[str, str] = {}
+} | contracts.QUERIES
+ORACLES: dict[str, str] = contracts.ORACLES

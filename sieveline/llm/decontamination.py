@@ -14,7 +14,7 @@ Q, EDITS = 8, 0.06
 #: Longer passages are looked for in pieces of PIECE characters, one every half of it, so that a document that holds a part of one is found.
 PIECE = 160
 #: Characters of benchmark text that one pass over the documents looks for, and of document text that is looked at together.
-PASS_CHARS, RUN_CHARS = 1 << 24, 1 << 22
+PASS_CHARS, RUN_CHARS = 1 << 24, 1 << 20
 #: A q-gram at more places of the passages is common: it is counted only in passages that have too few others. Hits that are counted at once.
 COMMON, HITS = 64, 1 << 21
 

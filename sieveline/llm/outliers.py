@@ -117,10 +117,10 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
-    """rows with the columns of a saved table of groups, by broadcast while that is small. A group may hold a third of all rows."""
+    """rows with the columns of a table of groups, by broadcast while that is small. A group may hold a third of all rows."""
     if table.limit(20_001).count() <= 20_000:
         return rows.join(F.broadcast(table), key)
-    return join_skewed(rows, table, [key], count, rows.count())
+    return join_skewed(rows, saved(table, "groups"), [key], count, rows.count())
 
 
 _PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
@@ -164,7 +164,7 @@ def _square(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def _packed(estimates: DataFrame) -> DataFrame:
     """One row per group, with an array of its (few) estimates."""
-    return saved(estimates.groupBy("grp").agg(F.first("rows").alias("rows"), F.collect_list(F.struct("start", "mean", "inverse")).alias("ests")), "ests")
+    return estimates.groupBy("grp").agg(F.first("rows").alias("rows"), F.collect_list(F.struct("start", "mean", "inverse")).alias("ests"))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -228,25 +228,27 @@ def _median(bins: DataFrame) -> DataFrame:
     return middle.select("grp", "start", F.greatest(F.pow((F.col("m") + 0.5) / BIN, 2) / chi2_bound(0.5), F.lit(1.0)).alias("scale"))
 
 
+_FITTED = ("mean", "inverse", "logdet")
+
+
 def least_determinant(rows: DataFrame) -> DataFrame:
     """grp, start, rows, mean, inverse, logdet: for each group the estimate from half its rows with the smallest determinant found.
 
     From each start, a step takes the (n + DIMENSIONS + 1) / 2 rows nearest to the estimate (whole bins of distance) as the next one's core, as long as
     the determinant falls. Groups and starts that are done take no part in further passes.
     """
-    active = _starts(rows)
-    best = None
+    active, best = _starts(rows), None
     for _ in range(MOST_STEPS):
         bins = _bins(rows, active)
-        core = _summed(bins.where(F.col("before") < F.floor((F.col("rows") + DIMENSIONS + 1) / 2)))
-        now = saved(_estimates(core), "estimates")
+        now = _estimates(_summed(bins.where(F.col("before") < F.floor((F.col("rows") + DIMENSIONS + 1) / 2))))
         if best is None:
-            active, best = now, now
+            best = saved(now.withColumn("falls", F.lit(True)), "estimates")
         else:
-            old = best.select("grp", "start", F.col("logdet").alias("old"))
-            better = saved(now.join(old, ["grp", "start"]).where(F.col("logdet") < F.col("old") - GAIN).drop("old"), "better")
-            best = saved(best.join(better.select("grp", "start"), ["grp", "start"], "left_anti").unionByName(better), "best")
-            active = better
+            new = now.select("grp", "start", F.struct(*_FITTED).alias("new"))
+            falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - GAIN, F.lit(False))
+            both = best.join(new, ["grp", "start"], "left").withColumn("falls", falls)
+            best = saved(both.select("grp", "start", "rows", *(F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in _FITTED), "falls"), "estimates")
+        active = best.where("falls")
         if not active.limit(1).count():
             break
     first = F.min_by(F.struct("start", "rows", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("b")

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ship
+from sieveline.llm.common import releasing, ship
 from sieveline.llm.textarrays import distinct, slices, tokens
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -269,4 +269,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(each), schema)

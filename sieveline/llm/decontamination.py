@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship, small, without
+from sieveline.llm.common import releasing, saved, ship, small, without
 
 #: Characters of a q-gram (eight one-byte codes make a machine word) and edits allowed per character of a passage.
 Q, EDITS = 8, 0.06
@@ -207,7 +207,7 @@ def pieces(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["item_id", "at", "of", "text"])
 
     some = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
-    return some.mapInArrow(each, "item_id long, at int, of int, text string").where("text <> ''")
+    return some.mapInArrow(releasing(each), "item_id long, at int, of int, text string").where("text <> ''")
 
 
 def _found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -231,7 +231,7 @@ def _found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array([h[c] for h in hits], kind) for c, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))], names=["doc_id", "th", "piece", "start_char", "end_char", "edits"])
                 lo = hi
 
-    out = saved(docs.mapInArrow(each, "doc_id long, th long, piece long, start_char long, end_char long, edits int"), "found")
+    out = saved(docs.mapInArrow(releasing(each), "doc_id long, th long, piece long, start_char long, end_char long, edits int"), "found")
     shared.destroy()
     return out
 

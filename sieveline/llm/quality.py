@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship
+from sieveline.llm.common import releasing, saved, ship
 from sieveline.llm.textarrays import hashes, mixed, slices, tokens
 
 #: Word buckets (words are hashed), dimensions, non-zero entries of an index vector, neighbours to either side.
@@ -75,7 +75,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": [key[0]], "part": [key[1]], "sums": [total.tobytes()]})
 
     kinds = "block long, part long, sums binary"
-    sums = docs.select("text").mapInArrow(partial, kinds)
+    sums = docs.select("text").mapInArrow(releasing(partial), kinds)
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
         sums = sums.withColumn("part", F.pmod("part", F.lit(tasks)).cast("long")).groupBy("block", "part").applyInPandas(added, kinds)
@@ -122,7 +122,7 @@ def features(docs: DataFrame, vectors: np.ndarray, columns: list[str]) -> DataFr
 
     docs = docs.select(*columns, "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(each, f"{kinds}, features binary")
+    return docs.mapInArrow(releasing(each), f"{kinds}, features binary")
 
 
 @dataclass
@@ -213,7 +213,7 @@ def _scored(rows: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(shared.value.scores(x.astype(float)))], names=[*names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "features")
-    return rows.mapInArrow(each, f"{kinds}, score double")
+    return rows.mapInArrow(releasing(each), f"{kinds}, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -245,4 +245,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = net.scores(pooled(vectors, data, rows).astype(float)) >= THRESHOLD
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(releasing(each), docs.schema)

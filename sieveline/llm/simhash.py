@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import join_skewed, saved, ship, small, with_row_key, without
+from sieveline.llm.common import join_skewed, releasing, saved, ship, small, with_row_key, without
 from sieveline.llm.components import components
 
 SEED = 42
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(each, "doc_id long, th long, fp long")
+    return rows.mapInArrow(releasing(each), "doc_id long, th long, fp long")
 
 
 def block_plan(n: int, bits: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -143,7 +143,7 @@ def close_links(fps: DataFrame, n: int, bits: int) -> DataFrame:
         pairs = _forest(fp, key, bits)
         return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]].view(np.int64)), pa.array(fp[pairs[:, 1]].view(np.int64))], names=["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(each, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(releasing(each), "a long, b long")
 
 
 #: Order of the rows of a component: by doc_id, those without one last, then by text. The first one names the component and stays.

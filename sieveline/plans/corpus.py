@@ -56,9 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, where its files part into fewer: a small file of one row group is one task's work otherwise."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snippets are a fixed short list, so they are broadcast; documents are read once, with the columns that are needed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     s = spark.createDataFrame([(k, *row) for k, row in enumerate(SNIPPETS)], "k int, ext string, language string, body string")
     body = F.replace(F.replace("body", F.lit("~"), F.lit("\n")), F.lit("^"), F.lit("'"))
     for name in ("<AKIA>", "<SLACK>"):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, ship, small, with_row_key
+from sieveline.llm.common import releasing, saved, ship, small, with_row_key
 from sieveline.llm.textarrays import hash_of, hashes, rolled, slices, tokens
 
 #: Words of a k-gram; diagonals this near are one span; share of a template's k-grams, and its longest stretch, that make a span a candidate; word
@@ -105,7 +105,7 @@ def base_scan(docs: DataFrame) -> DataFrame:
                 none = first < 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(words), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(found)], names=["doc_id", "th", "n_words", "n_base", "first_word", "last_word", "found"])
 
-    return docs.mapInArrow(each, "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found long")
+    return docs.mapInArrow(releasing(each), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found long")
 
 
 def grams(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def grams(docs: DataFrame) -> DataFrame:
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))], names=["doc_id", "th", "grams"])
 
-    return docs.mapInArrow(each, "doc_id long, th long, grams array<long>")
+    return docs.mapInArrow(releasing(each), "doc_id long, th long, grams array<long>")
 
 
 def template_positions(spark: SparkSession, templates=None) -> DataFrame:
@@ -185,7 +185,7 @@ def verified(docs: DataFrame, candidates: DataFrame, templates=None) -> DataFram
     keyed, keys = with_row_key(docs, F.col("th"))
     some, own = with_row_key(candidates, F.col("th"))
     some = some.select(*(F.col(k).alias(n) for k, n in zip(own, keys, strict=True)), "some")
-    return keyed.join(small(some, 2_000_000), keys).select("doc_id", "th", "text", "some").mapInArrow(each, "doc_id long, th long, label string, first long, last long, score double")
+    return keyed.join(small(some, 2_000_000), keys).select("doc_id", "th", "text", "some").mapInArrow(releasing(each), "doc_id long, th long, label string, first long, last long, score double")
 
 
 def _words_of(text: str) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, quality, sharding, simhash, tokenfiles
+from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, packing, quality, sharding, simhash, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES = {
         op8_qgram_decontamination,
         op9_token_id_files,
         op10_simhash_near_dedup,
+        op11_large_item_packing,
     )
 } | contracts.QUERIES
 ORACLES: dict[str, str] = contracts.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, packing, quality, sharding, simhash, tokenfiles
+from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, packing, quality, sharding, simhash, tandem, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.digests(tandem.find(table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES = {
         op9_token_id_files,
         op10_simhash_near_dedup,
         op11_large_item_packing,
+        op12_tandem_runs,
     )
 } | contracts.QUERIES
 ORACLES: dict[str, str] = contracts.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, packing, quality, sharding, simhash, tandem, tokenfiles
+from sieveline.llm import bpe, contracts, decontamination, disclosure, htmltext, licenses, outliers, packing, phrases, quality, sharding, simhash, tandem, tokenfiles
 from sieveline.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.digests(tandem.find(table(spark, sf_dir, "documents"), planted=True))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES = {
         op10_simhash_near_dedup,
         op11_large_item_packing,
         op12_tandem_runs,
+        op13_phrase_collocations,
     )
 } | contracts.QUERIES
-ORACLES: dict[str, str] = contracts.ORACLES
+ORACLES: dict[str, str] = contracts.ORACLES | {"op13_phrase_collocations": phrases.ORACLE}

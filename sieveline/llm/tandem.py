@@ -31,7 +31,7 @@ from sieveline.llm.textarrays import distinct, hashes, mixed, numbered, rolled,
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Symbols that are searched together, at most, unless one text has more.
 SYMBOLS = 1 << 18
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _WORD = np.ones(256, np.uint8)
 _WORD[[9, 10, 11, 12, 13, 32]] = 0
 

@@ -95,53 +95,54 @@ def base_counts(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(row, minlength=n), count, first, last, found]
 
 
-def base_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), n_words, n_base, first_word, last_word, found."""
+def scanned(docs: DataFrame, templates=None) -> DataFrame:
+    """doc_id, th, n_words, n_base, first_word, last_word, found, grams: one pass over the texts for all that follows.
+
+    grams has the rolling k-gram hashes of a text, each with the word it starts at, but for those that no template has: they would meet nothing in the join. The
+    hashes of the templates given are all that a task needs for that.
+    """
+    known = np.unique(np.concatenate([_template_grams(text) for _, text in templates or TEMPLATES]))
 
     def each(batches):
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(2)):
                 words, count, first, last, found = base_counts(data, rows)
+                _, _, row, g = _gram_hashes(data, rows)
+                at = np.searchsorted(known, g)
+                at[at == len(known)] = 0
+                hit = np.flatnonzero((known[at] == g) & (row[: len(g)] == row[GRAM - 1 :])) if len(g) else np.zeros(0, np.int64)
+                begin = np.searchsorted(row, np.arange(hi - lo))
+                ends = np.append(0, np.cumsum(np.bincount(row[hit], minlength=hi - lo))).astype(np.int32)
+                grams = pa.StructArray.from_arrays([pa.array((hit - begin[row[hit]]).astype(np.int32)), pa.array(g[hit].view(np.int64))], names=["pos", "gram"])
                 none = first < 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(words), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(found)], names=["doc_id", "th", "n_words", "n_base", "first_word", "last_word", "found"])
-
-    return docs.mapInArrow(releasing(each), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found long")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(words), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(found), pa.ListArray.from_arrays(pa.array(ends), grams)], names=["doc_id", "th", "n_words", "n_base", "first_word", "last_word", "found", "grams"])
 
-def grams(docs: DataFrame) -> DataFrame:
-    """doc_id, th and the array of rolling k-gram hashes of each document, by the word they start at."""
+    return docs.mapInArrow(releasing(each), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found long, grams array<struct<pos:int,gram:long>>")
 
-    def each(batches):
-        for batch in batches:
-            for lo, hi, data, rows in slices(batch.column(2)):
-                _, _, row, g = _gram_hashes(data, rows)
-                inside = row[: len(g)] == row[GRAM - 1 :] if len(g) else np.zeros(0, bool)
-                sizes = np.bincount(row[: len(g)][inside], minlength=hi - lo)
-                ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))], names=["doc_id", "th", "grams"])
 
-    return docs.mapInArrow(releasing(each), "doc_id long, th long, grams array<long>")
+def _template_grams(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return _gram_hashes(data, np.array([0, len(data)]))[3]
 
 
 def template_positions(spark: SparkSession, templates=None) -> DataFrame:
     """template, label, t_pos, gram, t_grams: one row per k-gram of a template. As large as the templates given."""
     out = []
     for i, (label, text) in enumerate(templates or TEMPLATES):
-        data = np.frombuffer(text.encode(), np.uint8)
-        _, _, _, g = _gram_hashes(data, np.array([0, len(data)]))
+        g = _template_grams(text)
         out += [(i, label, p, int(x), len(g)) for p, x in enumerate(g.view(np.int64))]
     return spark.createDataFrame(out, "template int, label string, t_pos int, gram long, t_grams int")
 
 
-def spans(docs: DataFrame, templates=None) -> DataFrame:
-    """doc_id, th, label, first, last (words), score: verified template spans.
+def spans(docs: DataFrame, found: DataFrame, templates=None) -> DataFrame:
+    """doc_id, th, label, first, last (words), score: verified template spans; found is the saved table of scanned().
 
-    All rolling k-gram hashes meet the template positions in a join; matches are counted by document, template and diagonal
+    Rolling k-gram hashes meet the template positions in a join; matches are counted by document, template and diagonal
     (document position less template position); diagonals within NEAR of the one before form a span; a span is a candidate if it has at least
     COVERED of the template's k-grams and is not longer than STRETCH times the template, and counts if verified() word by word. Only matches are shuffled.
     """
     positions = F.broadcast(template_positions(docs.sparkSession, templates))
-    places = grams(docs).select("doc_id", "th", F.posexplode("grams").alias("pos", "gram")).join(positions, "gram").drop("gram")
+    places = found.select("doc_id", "th", F.inline("grams")).join(positions, "gram").drop("gram")
     votes = places.groupBy("doc_id", "th", "template", "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("hits"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     own = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     votes = votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(own))
@@ -202,8 +203,8 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    base = base_scan(docs)
-    found = spans(docs, templates).groupBy("doc_id", "th").agg(F.collect_set("label").alias("own"), F.max("score").alias("best")).withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
+    base = saved(scanned(docs, templates), "scanned")
+    found = spans(docs, base, templates).groupBy("doc_id", "th").agg(F.collect_set("label").alias("own"), F.max("score").alias("best")).withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
     labels = F.filter(F.array(*(F.when(F.col("found").bitwiseAND(F.lit(1 << i)) != 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").withColumn("base", F.array_sort(F.array_distinct(labels)))
     every = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))

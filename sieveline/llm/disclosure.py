@@ -139,29 +139,42 @@ def disclosing_terms(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
 
     PMI = log2(c N / (df(entity) (df(term) + PRIOR))) and IC = log2(N / df(entity)) over the N = n rows of docs; c counts rows with both, and
     repeated rows count each, in df and c alike. A term discloses if PMI is at least DISCLOSED of IC. c is at most df(entity), so terms over the
-    frequency that this leaves are not paired. Values and words that a third of the rows hold are hot keys of the joins: they are broadcast.
+    frequency that this leaves are not paired. Values that the same texts hold, such as those of a long list in one document and its copies, are paired as one,
+    so are terms: a text of many values of its own and many words of its own makes one pair. Values and words that a third of the rows hold are hot keys
+    of the joins: they are broadcast.
     """
-    bound = F.pow(F.lit(float(n)), 1 - DISCLOSED)
     value = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     texts = some.groupBy("k").agg(F.count("*").alias("m"), F.first(value).alias("entities"), F.first(_terms_of(F.col("text"))).alias("words"))
     texts = saved(texts, "texts")
     held = saved(texts.select("k", "m", F.explode("entities").alias("entity")), "held")
-    entities = saved(held.groupBy("entity").agg(F.sum("m").alias("df_entity"), F.count("*").alias("rows")).where(F.col("df_entity") < n), "entities")
+    entities = saved(held.groupBy("entity").agg(F.sum("m").alias("e"), F.count("*").alias("rows"), *_holders()).where(F.col("e") < n), "entities")
     words = saved(texts.select("k", F.explode("words").alias("term")), "words")
-    wanted = saved(words.groupBy("term").agg(F.count("*").alias("rows")), "wanted")
+    wanted = saved(words.groupBy("term").agg(F.count("*").alias("rows"), *_holders()), "wanted")
     every = docs.select(F.explode(_terms_of(F.coalesce("text", F.lit("")))).alias("term"))
     if wanted.limit(200_001).count() <= 200_000:
         every = every.join(F.broadcast(wanted.select("term")), "term", "left_semi")
-    df_term = saved(every.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term"), "frequencies")
-    most = float(entities.agg(F.max("df_entity").alias("m")).first()["m"] or 0)
-    rare = F.col("df_term") + PRIOR <= float(n) ** (1 - DISCLOSED) * most**DISCLOSED * (1 + 1e-9)
-    rare_words = join_skewed(words, df_term, ["term"], "rows", words.count()).where(rare).select("k", "term", "df_term")
-    pairs = join_skewed(held, entities, ["entity"], "rows", held.count()).drop("rows").join(rare_words, "k").where(F.col("df_term") + PRIOR <= bound * F.pow("df_entity", F.lit(DISCLOSED)) * (1 + 1e-9))
-    pairs = saved(pairs.select("k", "m", "entity", "term", "df_entity", "df_term"), "pairs")
-    scored = pairs.groupBy("entity", "term").agg(F.sum("m").alias("c"), F.count("*").alias("rows"), F.first("df_entity").alias("e"), F.first("df_term").alias("t"))
+    df_term = saved(every.groupBy("term").agg(F.count("*").alias("t")).join(wanted, "term"), "frequencies")
+    most = float(entities.agg(F.max("e").alias("m")).first()["m"] or 0)
+    rare = F.col("t") + PRIOR <= float(n) ** (1 - DISCLOSED) * most**DISCLOSED * (1 + 1e-9)
+    values = join_skewed(held, entities, ["entity"], "rows", held.count()).select("k", "m", _kin("e").alias("entities"), "e").distinct()
+    terms = saved(join_skewed(words, df_term, ["term"], "rows", words.count()).where(rare).select("k", "term", _kin("t").alias("terms"), "t"), "rare")
+    bound = F.lit(float(n) ** (1 - DISCLOSED)) * F.pow("e", F.lit(DISCLOSED)) * (1 + 1e-9)
+    pairs = saved(values.join(terms.select("k", "terms", "t").distinct(), "k").where(F.col("t") + PRIOR <= bound), "pairs")
+    scored = pairs.groupBy("entities", "terms").agg(F.sum("m").alias("c"), F.count("*").alias("rows"), F.first("e").alias("e"), F.first("t").alias("t"))
     pmi, ic = F.log2(F.col("c") * F.lit(float(n)) / (F.col("e") * (F.col("t") + PRIOR))), F.log2(F.lit(float(n)) / F.col("e"))
-    found = saved(scored.where(pmi >= DISCLOSED * ic).select("entity", "term", "rows"), "found")
-    return saved(join_skewed(pairs, found, ["entity", "term"], "rows", pairs.count()).select("k", "term").distinct(), "disclosing")
+    found = saved(scored.where(pmi >= DISCLOSED * ic).select("entities", "terms", "rows"), "found")
+    shown = join_skewed(pairs, found, ["entities", "terms"], "rows", pairs.count()).select("k", "terms").distinct()
+    return saved(terms.join(shown, ["k", "terms"]).select("k", "term"), "disclosing")
+
+
+def _holders() -> list[Column]:
+    """Two sums that are equal for values, or terms, which the same texts hold."""
+    return [F.bit_xor(F.xxhash64("k")).alias("one"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("two")]
+
+
+def _kin(frequency: str) -> Column:
+    """Equal for values, or terms, of one frequency that the same texts hold: they make equal pairs with all others, so one of them stands for all."""
+    return F.concat_ws(" ", *(F.col(c).cast("string") for c in ("rows", "one", "two", frequency)))
 
 
 def term_places(some: DataFrame, terms: DataFrame) -> DataFrame:

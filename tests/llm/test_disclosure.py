@@ -105,3 +105,15 @@ def test_many_spans_in_a_long_text(spark):
     assert [(s["start"], s["stop"]) for s in got["base"]] == [(s[0], s[3]) for s in base]
     assert disclosure.sanitised(df).first()["text"] == plain_text(text, base)
     assert disclosure.sanitised(df.where("false")).count() == 0
+
+
+def test_a_list_of_addresses_makes_few_pairs(spark, monkeypatch):
+    made = {}
+    plain = disclosure.saved
+    monkeypatch.setattr(disclosure, "saved", lambda df, name="step": made.setdefault(name, plain(df, name)))
+    listed = " ".join(f"person{chr(97 + i % 26)}{''.join(chr(97 + int(c)) for c in str(i))} p{i}@example.com" for i in range(20_000))
+    rows = [(1, listed), (2, listed + " and more"), (3, listed)] + [(i, f"plain words number {i % 7} here") for i in range(10, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in disclosure.find(df).select("doc_id", F.size("base").alias("base"), F.size("terms").alias("terms")).collect()}
+    assert found[1]["base"] == found[2]["base"] == 20_000 and found[1]["terms"] >= 20_000 and found[2]["terms"] >= 20_000
+    assert made["pairs"].count() < 100

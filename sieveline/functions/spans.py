@@ -11,14 +11,15 @@ SPANS = "array<struct<start:int,length:int,hit:string>>"
 OPEN, SHUT = "\u0001", "\u0002"
 
 
-def match_spans(text: Column, before: str, span: str, after: str, flags: str, most: int | None = None) -> Column:
+def match_spans(text: Column, before: str, span: str, after: str, flags: str, most: int | None = None, marked: bool = True) -> Column:
     """array<struct<start int, length int, hit string>> of all matches, or the first most, leftmost and non-overlapping; start counts code points from 0.
 
     Matches are marked in one replacement and the text is split at the marks, so no match is searched twice; places are running sums of the
-    parts' lengths. Mark characters are taken out of the text first; positions count without them. Patterns may hold groups of their own.
+    parts' lengths. Mark characters are taken out of the text first, where it may hold some (marked); positions count without them. Patterns may hold
+    groups of their own.
     """
-    plain = F.translate(text, OPEN + SHUT, "")
-    marked = F.regexp_replace(plain, f"(?dU{flags})(?<svb>{before})(?<svs>{span})(?<sva>{after})", f"${{svb}}{OPEN}${{svs}}{SHUT}${{sva}}")
+    plain = F.translate(text, OPEN + SHUT, "") if marked else text
+    cut = F.regexp_replace(plain, f"(?dU{flags})(?<svb>{before})(?<svs>{span})(?<sva>{after})", f"${{svb}}{OPEN}${{svs}}{SHUT}${{sva}}")
 
     def spans(parts: Column) -> Column:
         hits = F.slice(parts, F.lit(2), F.size(parts) if most is None else F.least(F.size(parts), F.lit(most)))
@@ -27,7 +28,7 @@ def match_spans(text: Column, before: str, span: str, after: str, flags: str, mo
         hit = lambda part, at: F.struct(at.alias("start"), n(part).alias("length"), F.substring(part, F.lit(1), n(part)).alias("hit"))
         return F.when(F.size(hits) == 0, F.array().cast(SPANS)).otherwise(F.zip_with(hits, running_sum(sizes), hit))
 
-    return F.coalesce(let(F.split(marked, OPEN, -1), spans), F.array().cast(SPANS))
+    return F.coalesce(let(F.split(cut, OPEN, -1), spans), F.array().cast(SPANS))
 
 
 def line_of(text: Column, start: Column) -> Column:

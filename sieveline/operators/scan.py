@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.arrays import let
-from sieveline.functions.spans import column_of, line_of, masked, match_spans
+from sieveline.functions.spans import OPEN, SHUT, column_of, line_of, line_text, match_spans, redacted_excerpt
 from sieveline.operators.catalog import DEDUCTIONS, FAMILIES, RANKS, TWINS, WEIGHTS, Rule
 
 #: Findings of one engine in one file, and the bound of a file's risk score.
 MOST_FINDINGS, MOST_RISK = 100, 999
+#: Characters of a line that are looked at for an excerpt, and of a line shown as it is.
+MOST_LINE, MOST_PLAIN = 8000, 160
 
 
 def severity_dim(spark) -> DataFrame:
@@ -23,22 +27,52 @@ def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str
     All rules are evaluated in one pass over a file; an anchor spares a text the pattern. At most most per file are kept (None: all),
     in rule order, then by position; truncated says that the file had more. keep names further columns of files that go along.
     """
-    text = F.col("content")
+    found = files.select("file_id", "path", "content", *keep, let(_once(F.col("content")), lambda v: _hits(v, rules, most)).alias("_found"))
+    out = found.select("file_id", "path", "content", *keep, F.col("_found.more").alias("truncated"), F.explode("_found.hits").alias("h"))
+    text, start = F.col("content"), F.col("h.start")
+    return out.select(
+        "file_id", "path", F.lit(engine).alias("engine"), F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity"),
+        line_of(text, start).alias("line"), column_of(text, start).alias("column"), F.col("h.length").alias("match_length"), shown(text, start, F.col("h.length"), F.col("h.rule_id"), rules, engine).alias("excerpt"), "truncated", *keep,
+    )
+
+
+def _once(text):
+    """text without the marks of match_spans(), and in lower case: what all rules look at."""
+    marks = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(SHUT))
+    return F.struct(F.when(marks, F.translate(text, OPEN + SHUT, "")).otherwise(text).alias("text"), F.translate(F.lower(text), "ſ", "s").alias("lower"), F.col("language"))
+
+
+def _hits(v, rules: tuple[Rule, ...], most: int | None):
     hits = []
     for i, r in enumerate(rules):
-        found = match_spans(text, r.before, r.span, r.after, r.flags, most and most + 1)
-        rows = _tagged(found, i, r)
-        fits = F.lit(True) if not r.languages or "*" in r.languages else F.col("language").isin(*r.languages)
+        rows = _tagged(match_spans(v["text"], r.before, r.span, r.after, r.flags, most and most + 1, marked=False), i, r)
+        fits = F.lit(True) if not r.languages or "*" in r.languages else v["language"].isin(*r.languages)
         if r.anchor:
-            fits = fits & F.contains(text, F.lit(r.anchor))
+            fits = fits & F.contains(v["text"], F.lit(r.anchor))
+        if r.any:
+            fits = fits & reduce(lambda a, b: a | b, (F.contains(v["lower"], F.lit(x)) for x in r.any))
         hits.append(F.when(fits, rows).otherwise(F.array().cast("array<struct<ord:int,start:int,rule_id:string,severity:string,length:int,hit:string>>")))
     capped = lambda v: F.struct((v if most is None else F.slice(v, 1, most)).alias("hits"), (F.lit(False) if most is None else F.size(v) > most).alias("more"))
-    found = files.select("file_id", "path", "content", *keep, let(F.concat(*hits), capped).alias("_found"))
-    out = found.select("file_id", "path", "content", *keep, F.col("_found.more").alias("truncated"), F.explode("_found.hits").alias("h"))
-    return out.select(
-        "file_id", "path", F.lit(engine).alias("engine"), F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity"),
-        line_of(F.col("content"), F.col("h.start")).alias("line"), column_of(F.col("content"), F.col("h.start")).alias("column"), F.col("h.length").alias("match_length"), masked(F.col("h.hit")).alias("excerpt"), "truncated", *keep,
-    )
+    return let(F.concat(*hits), capped)
+
+
+def shown(text, start, length, rule_id, rules: tuple[Rule, ...], engine: str):
+    """The excerpt of a finding: the line around it with what must not be shown masked.
+
+    A secret, and what a language rule or a rule of one's own finds, is masked in its line and shown with the words around it; a line of other text rules begins the excerpt, with long
+    values in it masked; infrastructure lines are shown as they are, at most MOST_PLAIN characters.
+    """
+    line = line_text(text, start)
+    at = column_of(text, start) - 1
+    masked_span = redacted_excerpt(F.left(line, F.lit(MOST_LINE)), at, F.least(at + length, F.length(line)))
+    if engine in ("language", "custom"):
+        return masked_span
+    bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    if engine != "regex":
+        return F.left(bare, F.lit(MOST_PLAIN))
+    clipped = F.when(F.length(bare) > MOST_PLAIN, F.concat(F.left(bare, F.lit(MOST_PLAIN - 3)), F.lit("…"))).otherwise(bare)
+    secret = [r.id for r in rules if r.secret]
+    return F.when(rule_id.isin(*secret) if secret else F.lit(False), masked_span).otherwise(redacted_excerpt(clipped, F.lit(0), F.lit(0)))
 
 
 def _tagged(found, i: int, r: Rule):

@@ -17,6 +17,30 @@ def _masked_sql(v: str) -> str:
     return f"CASE WHEN length({v}) <= 8 THEN repeat('*', length({v})) ELSE left({v}, 2) || repeat('*', least(length({v}) - 4, 12)) || right({v}, 2) END"
 
 
+def _veiled_sql(v: str) -> str:
+    """Long values of a text masked: quoted ones between their quotes, bare ones whole."""
+    value = "split_part(p, chr(2), 1)"
+    inner = f"substr({value}, 2, length({value}) - 2)"
+    pattern = r"''[A-Za-z0-9_+\-/=.]{12,}''|\"[A-Za-z0-9_+\-/=.]{12,}\"|\b[A-Za-z0-9_+/=]{32,}\b"
+    quoted = f"left({value}, 1) || {_masked_sql(inner)} || right({value}, 1)"
+    return f"""array_to_string(list_transform(string_split(regexp_replace({v}, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)),
+  lambda p: CASE WHEN NOT contains(p, chr(2)) THEN p WHEN left(p, 1) IN (chr(34), chr(39)) THEN {quoted} ELSE {_masked_sql(value)} END || CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE '' END), '')"""
+
+
+#: Rules whose matches must not be shown, written out.
+_SECRET_RULES = "('SEC-001', 'SEC-001b', 'SEC-002', 'SEC-002b', 'SEC-010', 'SEC-011', 'SEC-012')"
+
+
+def _excerpt_sql(engine: str) -> str:
+    """The excerpt from line (the line around a match), at (characters before it) and n (of the match)."""
+    if engine == "plain":
+        return "left(bare, 160)"
+    near = f"""{_veiled_sql("CASE WHEN a > 40 THEN '…' || substr(raw, a - 39, 40) ELSE left(raw, a) END")} || {_masked_sql("substr(raw, a + 1, b - a)")} || {_veiled_sql("substr(raw, b + 1, 40) || CASE WHEN length(raw) > b + 40 THEN '…' ELSE '' END")}"""
+    if engine == "language":
+        return near
+    return f"CASE WHEN rule_id IN {_SECRET_RULES} THEN {near} ELSE {_veiled_sql('left(clipped, 40)')} END"
+
+
 def _rule_sql(i: int, r: Rule) -> str:
     """Findings of one rule: matches are marked, the text split at the marks, offsets summed over the parts."""
     span, before = r.sql or r.span, "" if r.sql and r.before.startswith("(?<") else r.before
@@ -26,25 +50,28 @@ def _rule_sql(i: int, r: Rule) -> str:
     unless = f"AND NOT {r.unless}" if r.unless else ""
     hit = f"regexp_extract(m, '{r.trim}')" if r.trim else "m"
     return f"""
-SELECT file_id, path, {i} AS ord, '{r.id}' AS rule_id, '{r.severity}' AS severity, head, {hit} AS m FROM (
+SELECT file_id, path, {i} AS ord, '{r.id}' AS rule_id, '{r.severity}' AS severity, head, split_part(substr(content, CAST(length(head) + 1 AS INT)), chr(10), 1) AS tail, {hit} AS m FROM (
   SELECT *, right(head, 1) AS p FROM (
-    SELECT file_id, path, i, substr(content, 1, CAST(sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT)) AS head, split_part(part, chr(2), 1) AS m
+    SELECT file_id, path, content, i, substr(content, 1, CAST(sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT)) AS head, split_part(part, chr(2), 1) AS m
     FROM (SELECT file_id, path, content, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
           FROM (SELECT file_id, path, content, string_split(regexp_replace(content, '{pattern}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1)) AS parts FROM files {where}))
   ) WHERE i > 1
 ) WHERE TRUE {unless}"""
 
 
-def findings_sql(rules: tuple[Rule, ...], where: str = "TRUE", most: int | None = 100) -> str:
+def findings_sql(rules: tuple[Rule, ...], where: str = "TRUE", most: int | None = 100, engine: str = "regex") -> str:
     union = " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(rules))
     return f"""WITH files AS (SELECT * FROM ({FILES_SQL}) WHERE {where}), hits AS ({union}),
+lined AS (SELECT *, split_part(head, chr(10), -1) || tail AS line_text, CAST(length(split_part(head, chr(10), -1)) AS INT) AS ahead, regexp_replace(split_part(head, chr(10), -1) || tail, '^\\s+|\\s+$', '', 'g') AS bare FROM hits),
+clipped AS (SELECT *, replace(left(line_text, 8000), chr(9), ' ') AS raw, CASE WHEN length(bare) > 160 THEN left(bare, 157) || '…' ELSE bare END AS clipped FROM lined),
+placed AS (SELECT *, CAST(least(ahead, length(raw)) AS INT) AS a, CAST(greatest(least(ahead, length(raw)), least(ahead + length(m), length(line_text), length(raw))) AS INT) AS b FROM clipped),
 findings AS (SELECT file_id, path, ord, rule_id, severity, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INT) AS line,
-  CAST(length(split_part(head, chr(10), -1)) + 1 AS INT) AS "column", CAST(length(m) AS INT) AS match_length, {_masked_sql('m')} AS excerpt,
-  {"FALSE" if most is None else f"count(*) OVER (PARTITION BY file_id) > {most}"} AS truncated FROM hits {"" if most is None else f"QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ord, length(head)) <= {most}"})"""
+  CAST(ahead + 1 AS INT) AS "column", CAST(length(m) AS INT) AS match_length, {_excerpt_sql(engine)} AS excerpt,
+  {"FALSE" if most is None else f"count(*) OVER (PARTITION BY file_id) > {most}"} AS truncated FROM placed {"" if most is None else f"QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ord, length(head)) <= {most}"})"""
 
 
-def _select(body: str, rules=catalog.BASE, where: str = "TRUE", most: int | None = 100) -> str:
-    return f"{findings_sql(rules, where, most)} {body}"
+def _select(body: str, rules=catalog.BASE, where: str = "TRUE", most: int | None = 100, engine: str = "regex") -> str:
+    return f"{findings_sql(rules, where, most, engine)} {body}"
 
 
 _ALL = 'SELECT file_id, path, rule_id, severity, line, "column", match_length, excerpt, truncated FROM findings'
@@ -151,10 +178,10 @@ ORACLES = {
     "base_grid_findings": _select(_ALL),
     "ast_findings": _AST,
     "hybrid_findings": _select(f""", ast AS ({_AST}){_TWINLESS}{_COLLAPSED.replace("FROM findings)", "FROM alone)")} SELECT file_id, rule_id, severity, line, "column" FROM kept UNION ALL SELECT * FROM ast"""),
-    "lang_grid_findings": _select(_ALL, catalog.LANGUAGE),
-    "iac_findings": _select(_ALL, catalog.IAC, _INFRA_WHERE, None),
-    "docker_findings": _select(_ALL, catalog.DOCKER, "language = 'dockerfile'", None),
-    "k8s_findings": _select(_ALL, catalog.K8S, "language = 'yaml'", None),
+    "lang_grid_findings": _select(_ALL, catalog.LANGUAGE, engine="language"),
+    "iac_findings": _select(_ALL, catalog.IAC, _INFRA_WHERE, None, "plain"),
+    "docker_findings": _select(_ALL, catalog.DOCKER, "language = 'dockerfile'", None, "plain"),
+    "k8s_findings": _select(_ALL, catalog.K8S, "language = 'yaml'", None, "plain"),
     "rule_hit_counts": _select("SELECT rule_id, severity, count(*) AS hits, count(DISTINCT file_id) AS files FROM findings GROUP BY ALL"),
     "collapsed_findings": _select(_COLLAPSED + " " + _ALL.replace("FROM findings", "FROM kept")),
     "risk_by_file": _select(f"{_RISK} {_RISK_ROWS}"),

@@ -78,6 +78,16 @@ def redacted_excerpt(line: Column, start: Column, stop: Column, context: int = 4
     return let(F.struct(raw.alias("raw"), start.cast("int").alias("start"), stop.cast("int").alias("stop")), made)
 
 
+def redacted(text: Column, shapes: str) -> Column:
+    """struct<hits int, text string>: how many matches of shapes text has, and text with each of them masked; they are looked for once. Null for null."""
+
+    def made(found: Column) -> Column:
+        pieces = F.zip_with(F.split(text, shapes), F.concat(F.transform(found, masked), F.array(F.lit(""))), lambda g, m: F.concat(F.coalesce(g, F.lit("")), F.coalesce(m, F.lit(""))))
+        return F.struct(F.size(found).alias("hits"), F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, "")).alias("text"))
+
+    return F.when(text.isNotNull(), let(F.regexp_extract_all(text, F.lit(shapes), F.lit(0)), made))
+
+
 def sanitised(text: Column, shapes: str, most: int | None = None) -> Column:
     """text with every match of shapes masked; cut to most characters, the last an ellipsis, where asked (for logs)."""
     clean = replaced_by(text, shapes, masked)

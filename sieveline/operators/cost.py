@@ -24,7 +24,7 @@ PRICES = {
 }
 #: Characters read of a file, the most that a count may say, and the characters on each side that stand for a block where there is none.
 MOST_CHARS, MOST_COUNT, AROUND = 512_000, 100, 120
-#: Counts, the first that a block holds.
+#: How a block says its count; the first that it holds.
 COUNTS = (r"(?i)\bcount\s*=\s*(\d+)", r"(?i)\breplicas\s*:\s*(\d+)", r"(?i)\bdesired_capacity\s*=\s*(\d+)")
 #: Families of instance names, priced or not.
 LOOSE = r"(?i)\b(?:(?:t2|t3|t4g|m5|m6i|m7i|r5|r6i|c5|c6i|c7i|p3|p4d|p5)\.[a-z0-9]+|db\.[a-z0-9.]+|(?:e2|n2|a2|c2)-[a-z0-9-]+)\b"
@@ -70,15 +70,21 @@ def line_items(files: DataFrame) -> DataFrame:
                 provider, text = (provider or "").strip().lower(), (text or "")[:MOST_CHARS]
                 if provider not in patterns:
                     continue
-                spans = None
+                spans, counts, lines = None, {}, []
                 for m in patterns[provider].finditer(text):
                     if spans is None:
                         spans = blocks(text)
+                        lines = [x.start() for x in re.finditer("\n", text)]
                     i = bisect.bisect_right(spans, (m.start(), 0, 0)) - 1
                     while i >= 0 and spans[i][1] <= m.start():
                         i = spans[i][2]
-                    block = text[spans[i][0] : spans[i][1]] if i >= 0 else text[max(0, m.start() - AROUND) : m.start() + AROUND]
-                    rows.append((file_id, provider, m[0].lower(), quantity(block), text.count("\n", 0, m.start()) + 1))
+                    if i >= 0:
+                        if i not in counts:  # once for all names of a block
+                            counts[i] = quantity(text[spans[i][0] : spans[i][1]])
+                        n = counts[i]
+                    else:
+                        n = quantity(text[max(0, m.start() - AROUND) : m.start() + AROUND])
+                    rows.append((file_id, provider, m[0].lower(), n, bisect.bisect_left(lines, m.start()) + 1))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["file_id", "provider", "sku", "quantity", "line"])
 
@@ -87,6 +93,19 @@ def line_items(files: DataFrame) -> DataFrame:
     return found.join(F.broadcast(prices), ["provider", "sku"]).select("file_id", "sku", "quantity", "unit_usd", F.round(F.col("unit_usd") * F.col("quantity"), 2).alias("monthly_usd"), "line")
 
 
+def budget(files: DataFrame, items: DataFrame, findings: DataFrame, limit: float) -> DataFrame:
+    """file_id, projected_monthly_burn ($1,234.50), budget_limit_exceeded, security_issue_count, gravest_rule, verdict of every file.
+
+    findings(file_id, place, rule_id, severity) are ordered by place. Over the limit or critical is REJECTED, high is for review. A file without names costs nothing.
+    """
+    burn = items.groupBy("file_id").agg(F.round(F.sum("monthly_usd"), 2).alias("burn"))
+    found = findings.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.min_by("rule_id", "place").alias("gravest_rule"))
+    rows = files.join(burn, "file_id", "left").join(found, "file_id", "left").na.fill(0, ["burn", "n", "critical", "high"])
+    over = F.col("burn") > limit
+    verdict = F.when((F.col("critical") > 0) | over, "REJECTED").when(F.col("high") > 0, "REVIEW_REQUIRED").otherwise("APPROVED")
+    return rows.select("file_id", F.concat(F.lit("$"), F.format_number("burn", 2)).alias("projected_monthly_burn"), over.alias("budget_limit_exceeded"), F.col("n").alias("security_issue_count"), "gravest_rule", verdict.alias("verdict"))
+
+
 def unpriced(files: DataFrame) -> DataFrame:
     """file_id, name: names of instance classes that the provider's catalog does not price, in order, the first MOST_HINTS of a file."""
     priced = F.create_map(*(x for p, names in PRICES.items() for x in (F.lit(p), F.array(*map(F.lit, names)))))[F.lower("provider")]

@@ -127,3 +127,9 @@ def fix_drafts(findings: DataFrame) -> DataFrame:
     diff = pick(lambda title, guidance, before, after: f"-{before}\n+{after}")
     guidance = F.coalesce(pick(lambda title, guidance, before, after: guidance), F.lit("Look at the finding and correct its cause."))
     return findings.select("*", F.coalesce(best, F.concat(F.lit("Address "), "rule_id")).alias("title"), guidance.alias("guidance"), diff.alias("diff"), F.when(best.isNotNull(), "high").otherwise("medium").alias("confidence"))
+
+
+def rollup(found: DataFrame, known: DataFrame) -> DataFrame:
+    """project, packages_discovered, packages_with_vulns, total_vulns, critical_vulns: every project of found, the table of components(); known as in vulnerable()."""
+    bad = vulnerable(found, known).groupBy("project").agg(F.countDistinct("path").alias("packages_with_vulns"), F.count("*").alias("total_vulns"), F.count_if(F.col("severity") == "CRITICAL").alias("critical_vulns"))
+    return found.groupBy("project").agg(F.count("*").alias("packages_discovered")).join(bad, "project", "left").na.fill(0)

@@ -11,8 +11,8 @@ SUFFIXES = {
     "csharp": ".cs", "ruby": ".rb", "php": ".php", "swift": ".swift", "scala": ".scala", "terraform": ".tf .hcl", "yaml": ".yml .yaml", "json": ".json", "dockerfile": ".dockerfile", "shell": ".sh .bash .zsh",
     "powershell": ".ps1", "sql": ".sql", "markdown": ".md",
 }
-#: Signs in a text whose name says nothing, tried in this order.
-SIGNS = (("shell", r"^#!.*\b(?:bash|zsh|sh)\b"), ("python", r"^#!.*python"), ("dockerfile", r"(?m)^\s*FROM\s+\S+"), ("python", r"(?m)^\s*(?:def \w+\(|import \w+|from \w+ import )"), ("go", r"(?m)^package \w+"), ("javascript", r"(?m)^\s*(?:const|let|function) \w+"))
+#: What a text without a telling name begins with, in its first characters, and what it holds in the first characters after.
+FIRST, FURTHER = 200, 2000
 UNKNOWN = "unknown"
 
 
@@ -21,8 +21,11 @@ def base_name(path: Column) -> Column:
 
 
 def detected(path: Column, content: Column) -> Column:
-    """A Dockerfile by its name, other files by their suffix in lower case, the rest by SIGNS; null content has none."""
+    """A Dockerfile by its name, other files by their suffix in lower case, the rest by how they begin; null content has no sign, a null path no name."""
     name = F.lower(base_name(path))
     suffix = F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))
     by_name = F.coalesce(F.when(name.rlike(r"^dockerfile(?:\.|$)"), "dockerfile"), *(F.when(suffix.isin(*s.split()), k) for k, s in SUFFIXES.items()))
-    return F.coalesce(by_name, *(F.when(content.rlike(p), k) for k, p in SIGNS), F.lit(UNKNOWN))
+    head, more = F.left(content, F.lit(FIRST)), F.left(content, F.lit(FURTHER))
+    go = F.contains(head, F.lit("package main")) & F.contains(more, F.lit("func "))
+    python = F.contains(head, F.lit("def ")) | F.contains(head, F.lit("import "))
+    return F.coalesce(by_name, F.when(go, "go").when(python, "python"), F.lit(UNKNOWN))

@@ -15,6 +15,8 @@ from sieveline.operators.catalog import DEDUCTIONS, FAMILIES, RANKS, TWINS, WEIG
 MOST_FINDINGS, MOST_RISK = 100, 999
 #: Characters of a line that are looked at for an excerpt, and of a line shown as it is.
 MOST_LINE, MOST_PLAIN = 8000, 160
+#: Fixed value: characters on each side of a match that a rule's context is looked for in.
+AROUND = 80
 
 
 def severity_dim(spark) -> DataFrame:
@@ -51,11 +53,17 @@ def _hits(v, rules: tuple[Rule, ...], most: int | None):
             fits = fits & F.contains(v["text"], F.lit(r.anchor))
         if r.any:
             fits = fits & reduce(lambda a, b: a | b, (F.contains(v["lower"], F.lit(x)) for x in r.any))
+        if r.context:
+            rows = F.filter(rows, _near(v["text"], r.context))
         hits.append(F.when(fits, rows).otherwise(F.array().cast("array<struct<ord:int,start:int,rule_id:string,severity:string,length:int,hit:string>>")))
     capped = lambda v: F.struct((v if most is None else F.slice(v, 1, most)).alias("hits"), (F.lit(False) if most is None else F.size(v) > most).alias("more"))
     return let(F.concat(*hits), capped)
 
 
+def _near(text, context: str):
+    return lambda m: F.substring(text, F.greatest(m["start"] - AROUND, F.lit(0)) + 1, m["length"] + AROUND + F.least(m["start"], F.lit(AROUND))).rlike(context)
+
+
 def shown(text, start, length, rule_id, rules: tuple[Rule, ...], engine: str):
     """The excerpt of a finding: the line around it with what must not be shown masked.
 
@@ -129,6 +137,19 @@ def risk_by_file(files: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("file_id", "path", "language", "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), "issue_count", F.when(F.col("risk_score") >= 40, "REJECTED").otherwise("APPROVED").alias("verdict"))
 
 
+def with_fallback(scored: DataFrame, findings: DataFrame) -> DataFrame:
+    """scored with fallback: whether a score of 0 gave way to the sum of the weights of findings(file_id, severity); an unknown severity weighs as MEDIUM."""
+    dim = severity_dim(scored.sparkSession).select("severity", "weight")
+    sums = findings.select("file_id", F.upper("severity").alias("severity")).join(F.broadcast(dim), "severity", "left").groupBy("file_id").agg(F.sum(F.coalesce("weight", F.lit(WEIGHTS["MEDIUM"]))).alias("_sum"))
+    rows = scored.join(sums, "file_id", "left").withColumn("fallback", (F.col("risk_score") == 0) & (F.coalesce("_sum", F.lit(0)) > 0))
+    return rows.withColumn("risk_score", F.when(F.col("fallback"), F.col("_sum")).otherwise(F.col("risk_score")).cast("long")).drop("_sum")
+
+
+def include_clean(files: DataFrame, findings: DataFrame, clean: bool) -> DataFrame:
+    """findings(path, ..), and, where clean, one row of nulls for each of files(path) without any."""
+    return files.select("path").distinct().join(findings, "path", "left" if clean else "inner")
+
+
 def rollup(scored: DataFrame, findings: DataFrame) -> DataFrame:
     """The whole scan as one row: files, issues, the capped sum of scores, level and verdict."""
     critical = findings.agg(F.coalesce(F.bool_or(F.col("severity") == "CRITICAL"), F.lit(False)).alias("critical"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.functions.spans import sanitised
+from sieveline.functions.spans import redacted, sanitised
 from sieveline.operators import catalog, control, cost, languages, scan
 from sieveline.plans import grids
-from sieveline.plans.corpus import FILES_SQL, files, table
+from sieveline.plans.corpus import FILES_SQL, files, spread, table
 
 
 def _policy(spark, sf_dir):
@@ -24,10 +24,6 @@ def policy_by_pack(spark, sf_dir):
     return _policy(spark, sf_dir).groupBy("pack").agg(F.count_if(F.col("decision") == "ALLOW").alias("allowed"), F.count_if(F.col("decision") == "DENY").alias("denied"))
 
 
-def rbac_matrix(spark, sf_dir):
-    return control.role_tools(spark)
-
-
 def _requests(spark, sf_dir):
     return control.requests(table(spark, sf_dir, "events"))
 
@@ -62,24 +58,29 @@ def path_sandbox(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    """Requests with an api key and a path: every 50th subject's key is withdrawn, every 70th has none, and every ninth path climbs out of its root."""
+    """Requests with an api key and a path: every 50th subject's key is withdrawn, every 70th has none, every ninth path climbs out of its root, every eleventh is another tenant's."""
     asked = _requests(spark, sf_dir)
     key = F.when(F.col("user_id") % 70 != 0, F.concat(F.lit("k"), F.col("user_id").cast("string")))
-    path = F.concat(F.lit("/srv/t"), F.col("tenant_id").cast("string"), F.when(F.col("event_id") % 9 == 0, "/../etc").otherwise("/repo"))
+    owner = F.when(F.col("event_id") % 11 == 0, (F.col("tenant_id") + 1) % 10).otherwise(F.col("tenant_id"))
+    path = F.concat(F.lit("/srv/t"), owner.cast("string"), F.when(F.col("event_id") % 9 == 0, "/../etc").otherwise("/repo"))
     users = asked.select("user_id").distinct()
     keys = users.select(F.sha2(F.concat(F.lit("k"), F.col("user_id").cast("string")), 256).alias("key_sha256"), (F.col("user_id") % 50 != 0).alias("active"))
     return asked.withColumns({"api_key": key, "path": path}), keys
 
 
-def requests_status_chain(spark, sf_dir):
-    """One status per request: the first gate that refuses it. All five gates see all requests."""
+def answered(spark, sf_dir):
+    """Every request with its status: the first gate that refuses it. All five gates see all requests."""
     asked, keys = _keyed(spark, sf_dir)
-    roots = control.merged_roots(["/srv/shared/"], [f"/srv/t{i}" for i in range(10)])
-    asked = control.authorised(control.authenticated(asked, keys)).withColumn("in_sandbox", control.inside(F.col("path"), roots))
+    tenants = spark.createDataFrame([(i, [f"/srv/t{i}/", "/elsewhere"]) for i in range(10)], "tenant_id long, roots array<string>")
+    asked = control.in_sandbox(control.authorised(control.authenticated(asked, keys)), ["/srv"], tenants)
     quota = control.running_quota(_requests(spark, sf_dir), 500).select("event_id", F.col("admitted").alias("in_quota"))
     rate = control.token_bucket(_requests(spark, sf_dir), ["tenant_id", "user_id"], 2, 2).select("event_id", F.col("admitted").alias("in_rate"))
     status = control.statuses("known", "granted", "in_rate", "in_quota", "in_sandbox")
-    return asked.join(rate, "event_id").join(quota, "event_id").groupBy("tenant_id", status.alias("status")).agg(F.count("*").alias("n"))
+    return asked.join(rate, "event_id").join(quota, "event_id").select("event_id", "ts", "tenant_id", "tool", "value", status.alias("status"))
+
+
+def requests_status_chain(spark, sf_dir):
+    return answered(spark, sf_dir).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
 
 
 def access_reasons(spark, sf_dir):
@@ -95,8 +96,9 @@ def secret_shapes_by_lang(spark, sf_dir):
 
 
 def _redacted(spark, sf_dir, name, key, column):
-    rows = table(spark, sf_dir, name).where(F.col(column).rlike(catalog.LOG_SHAPES))
-    return rows.select(*key, F.regexp_count(column, F.lit(catalog.LOG_SHAPES)).alias("hits"), F.md5(F.encode(sanitised(F.col(column), catalog.LOG_SHAPES), "UTF-8")).alias("redacted_md5"))
+    rows = spread(table(spark, sf_dir, name).select(*key, column))
+    made = rows.select(*key, redacted(F.col(column), catalog.LOG_SHAPES).alias("r")).where("r.hits > 0")
+    return made.select(*key, "r.hits", F.md5(F.encode("r.text", "UTF-8")).alias("redacted_md5"))
 
 
 def redact_documents(spark, sf_dir):
@@ -108,9 +110,9 @@ def redact_pages(spark, sf_dir):
 
 
 def redact_conversations(spark, sf_dir):
-    """Turns as a log shows them: sanitised, at most 120 characters."""
+    """Turns as a log shows them: sanitised, at most 500 characters."""
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.md5(F.encode(sanitised(F.col("text"), catalog.LOG_SHAPES, 120), "UTF-8")).alias("logged_md5"))
+    return rows.select("conv_id", "turn", F.md5(F.encode(sanitised(F.col("text"), catalog.LOG_SHAPES, 500), "UTF-8")).alias("logged_md5"))
 
 
 def detector_vs_labels(spark, sf_dir):
@@ -195,16 +197,15 @@ def _redact_sql(name: str, key: str, column: str) -> str:
 
 
 #: Worked out by hand for the snippet with resources: name, quantity, price, line (the document's line comes before it).
-_COST = "cost AS (SELECT d.doc_id AS file_id, v.* FROM documents d JOIN (VALUES ('m5.xlarge', CAST(2 AS INT), 279.36::DOUBLE, CAST(3 AS INT)), ('db.m5.large', 1, 128.48, 8)) AS v(sku, quantity, monthly_usd, line) ON d.doc_id % 17 = 10 WHERE d.text IS NOT NULL)"
+_COST = "cost AS (SELECT d.doc_id AS file_id, v.* FROM documents d JOIN (VALUES ('m5.xlarge', CAST(2 AS INT), 279.36::DOUBLE, CAST(3 AS INT)), ('db.m5.large', 1, 128.48, 8)) AS v(sku, quantity, monthly_usd, line) ON d.doc_id % 27 = 10 WHERE d.text IS NOT NULL)"
 
 QUERIES = {
     f.__name__: f
-    for f in (policy_decisions, policy_by_pack, rbac_matrix, tool_authorization, access_reasons, rate_limit_decisions, quota_running, credit_ledger, tool_metrics, audit_recent, path_sandbox, requests_status_chain, secret_shapes_by_lang, redact_documents, redact_pages, redact_conversations, detector_vs_labels, incremental_changed, language_detect, cost_line_items, cost_hints, infra_gate, sbom_components)
+    for f in (policy_decisions, policy_by_pack, tool_authorization, access_reasons, rate_limit_decisions, quota_running, credit_ledger, tool_metrics, audit_recent, path_sandbox, requests_status_chain, secret_shapes_by_lang, redact_documents, redact_pages, redact_conversations, detector_vs_labels, incremental_changed, language_detect, cost_line_items, cost_hints, infra_gate, sbom_components)
 }
 ORACLES = {
     "policy_decisions": grids._select(f"{_DECIDED} SELECT * FROM gated"),
     "policy_by_pack": grids._select(f"{_DECIDED} SELECT pack, count(*) FILTER (decision = 'ALLOW') AS allowed, count(*) FILTER (decision = 'DENY') AS denied FROM gated GROUP BY pack"),
-    "rbac_matrix": f"SELECT role, tool FROM {_MATRIX}",
     "tool_authorization": f"WITH {_ASKED} SELECT role, tool, count(*) AS requests, count(*) FILTER (granted) AS granted FROM granted GROUP BY ALL",
     "rate_limit_decisions": f"WITH RECURSIVE {_BUCKET} SELECT user_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS denied FROM bucket GROUP BY user_id",
     "quota_running": f"WITH {_ASKED}, {_QUOTA} SELECT event_id, tenant_id, used, used < 500 AS admitted FROM quota",
@@ -213,13 +214,13 @@ ORACLES = {
     "audit_recent": f"WITH {_ASKED} SELECT event_id, tool, role FROM asked WHERE tenant_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 50",
     "path_sandbox": f"SELECT file_id, path, starts_with(path, 'src/src1/') OR starts_with(path, 'src/src2/') OR path IN ('src/src1', 'src/src2') AS inside FROM ({FILES_SQL})",
     "requests_status_chain": f"""WITH RECURSIVE {_ASKED}, {_QUOTA}, {_BUCKET} SELECT g.tenant_id, CASE WHEN user_id % 70 = 0 OR user_id % 50 = 0 THEN 'AUTH_FAILED' WHEN NOT granted THEN 'FORBIDDEN' WHEN NOT admitted THEN 'RATE_LIMITED'
-WHEN used >= 500 AND tool IN ('audit_code_safety', 'scan_repository') THEN 'QUOTA_EXCEEDED' WHEN event_id % 9 = 0 AND tool = 'scan_repository' THEN 'SANDBOX_DENIED' ELSE 'OK' END AS status, count(*) AS n FROM granted g JOIN (SELECT event_id, admitted FROM bucket) b USING (event_id) JOIN (SELECT event_id, used FROM quota) q USING (event_id) GROUP BY ALL""",
+WHEN used >= 500 AND tool IN ('audit_code_safety', 'scan_repository') THEN 'QUOTA_EXCEEDED' WHEN (event_id % 9 = 0 OR event_id % 11 = 0) AND tool = 'scan_repository' THEN 'SANDBOX_DENIED' ELSE 'OK' END AS status, count(*) AS n FROM granted g JOIN (SELECT event_id, admitted FROM bucket) b USING (event_id) JOIN (SELECT event_id, used FROM quota) q USING (event_id) GROUP BY ALL""",
     "access_reasons": f"""WITH {_ASKED} SELECT tenant_id, CASE WHEN tool = 'manage_tenant' THEN 'blocked' WHEN tenant_id = 1 AND tool = 'scan_history' THEN 'denied' WHEN tenant_id = 2 AND tool NOT IN ('audit_code_safety', 'scan_history') THEN 'not listed' WHEN NOT granted THEN 'role' ELSE 'granted' END AS reason, count(*) AS n FROM granted GROUP BY ALL""",
     "secret_shapes_by_lang": f"SELECT lang, CAST(sum(h) AS BIGINT) AS hits, count(*) FILTER (h > 0) AS documents FROM (SELECT lang, len(regexp_extract_all(text, '{_SHAPE}')) AS h FROM documents) GROUP BY lang",
     "redact_documents": _redact_sql("documents", "doc_id", "text"),
     "redact_pages": _redact_sql("pages", "page_id", "html"),
-    "redact_conversations": f"SELECT conv_id, turn, md5(CASE WHEN length(c) > 120 THEN left(c, 119) || '…' ELSE c END) AS logged_md5 FROM (SELECT conv_id, turn, {_clean_sql('text')} AS c FROM conversations)",
-    "cost_hints": "SELECT doc_id AS file_id, 't3.huge' AS name FROM documents WHERE doc_id % 17 = 10 AND text IS NOT NULL",
+    "redact_conversations": f"SELECT conv_id, turn, md5(CASE WHEN length(c) > 500 THEN left(c, 499) || '…' ELSE c END) AS logged_md5 FROM (SELECT conv_id, turn, {_clean_sql('text')} AS c FROM conversations)",
+    "cost_hints": "SELECT doc_id AS file_id, 't3.huge' AS name FROM documents WHERE doc_id % 27 = 10 AND text IS NOT NULL",
     "detector_vs_labels": f"SELECT quality, toxic, count(*) AS documents, count(*) FILTER (regexp_matches(text, '{_SHAPE}')) AS flagged FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL",
     "incremental_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0",
     "language_detect": f"SELECT file_id, language AS detected, TRUE AS agrees FROM ({FILES_SQL})",

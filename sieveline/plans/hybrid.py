@@ -128,7 +128,7 @@ _FLOWS = {
     ],
 }
 _FLOW_ROWS = ", ".join(f"({k}, '{r}', '{s}', CAST({n} AS INT), CAST({c} AS INT), '{q}', '{p}')" for k, rows in _FLOWS.items() for r, s, n, c, q, p in rows)
-_FLOW = f"""SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES {_FLOW_ROWS}) AS v(k, rule_id, severity, line, "column", sink, path) ON d.doc_id % 17 = v.k WHERE d.text IS NOT NULL"""
+_FLOW = f"""SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES {_FLOW_ROWS}) AS v(k, rule_id, severity, line, "column", sink, path) ON d.doc_id % 27 = v.k WHERE d.text IS NOT NULL"""
 _ENGINES = f""", ast AS ({grids._AST}){grids._TWINLESS}{grids._COLLAPSED.replace("FROM findings)", "FROM alone)")}, lang AS (SELECT l.* FROM ({grids._select("SELECT * FROM findings", catalog.LANGUAGE)}) l WHERE path NOT LIKE '%.py'),
 every AS (SELECT 0 AS step, 'regex' AS engine, file_id, rule_id, any_value(severity) AS severity, line FROM kept GROUP BY file_id, rule_id, line, left(excerpt, 40)
   UNION ALL SELECT 1, 'syntax', file_id, rule_id, severity, line FROM ast
@@ -152,7 +152,7 @@ ORACLES = {
     "hybrid_engines": grids._select(f"{_ENGINES} SELECT file_id, (SELECT string_agg(engine, ',' ORDER BY step) FROM (SELECT DISTINCT step, engine FROM every e WHERE e.file_id = v.file_id)) AS engines, CAST(least(sum({grids._WEIGHT}), 999) AS BIGINT) AS risk_score FROM every v GROUP BY file_id"),
     "taint_findings": _FLOW,
     "container_findings": _CONTAINERS,
-    "custom_rule_findings": """SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES (9, 'OWN-2', 'MEDIUM', CAST(5 AS INT), CAST(1 AS INT), CAST(9 AS INT))) AS v(k, rule_id, severity, line, "column", match_length) ON d.doc_id % 17 = v.k WHERE d.text IS NOT NULL""",
+    "custom_rule_findings": """SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES (9, 'OWN-2', 'MEDIUM', CAST(5 AS INT), CAST(1 AS INT), CAST(9 AS INT))) AS v(k, rule_id, severity, line, "column", match_length) ON d.doc_id % 27 = v.k WHERE d.text IS NOT NULL""",
     "diff_rollup": grids._select(f"{grids._RISK} SELECT count(*) AS files_scanned, CAST(coalesce(sum(issue_count), 0) AS BIGINT) AS issue_count, CAST(coalesce(sum(risk_score), 0) AS BIGINT) AS risk_score, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS files_changed FROM scored WHERE file_id % 6 = 0"),
     "sarif_documents": grids._select("""SELECT file_id, CAST(count(DISTINCT rule_id) AS INT) AS n_rules, CAST(count(*) AS INT) AS n_results, arg_min(rule_id, (line, "column", rule_id)) AS first_rule,
 CASE arg_min(severity, (line, "column", rule_id)) WHEN 'CRITICAL' THEN '9.0' WHEN 'HIGH' THEN '7.0' WHEN 'MEDIUM' THEN '5.0' WHEN 'LOW' THEN '3.0' ELSE '1.0' END AS first_score, CAST(count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS INT) AS n_errors, CAST(count(DISTINCT rule_id) - 1 AS INT) AS last_index FROM findings GROUP BY file_id"""),

@@ -5,11 +5,11 @@ import pytest
 
 from sieveline.functions.spans import masked, match_spans
 from sieveline.operators import catalog, scan
-from sieveline.plans import flows, gates, grids, hybrid, supply
+from sieveline.plans import flows, gates, grids, hybrid, reports, supply
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (grids, gates, supply, hybrid, flows) for k in m.ORACLES}
+ALL = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (grids, gates, supply, hybrid, flows, reports) for k in m.ORACLES}
 
 
 @pytest.fixture(scope="module")

@@ -176,8 +176,7 @@ def test_keys_limits_and_paths(spark):
     limits = spark.createDataFrame([(1, 10, 2)], "tenant_id long, most_files int, most_workers int")
     some = spark.createDataFrame([(1, 50, 0), (1, None, 1), (2, 50, 9)], "tenant_id long, max_files int, workers int")
     assert sorted(str((r["max_files"], r["workers"])) for r in control.clamped(some, limits).collect()) == ["(10, 0)", "(50, 9)", "(None, 1)"]
-    roots = control.merged_roots(["/srv/a/", "/srv/a"], ["data", ""])
-    assert roots == ["/srv/a", "data"]
+    roots = ["/srv/a", "data"]
     paths = ["/srv/a", "/srv/a/b", "/srv/ab", "/srv/a/../b", "/srv/x/../a/c", "data/./x", "../data", "data/../../data/x"]
     df = spark.createDataFrame(list(enumerate(paths)), "file_id long, path string")
     assert [r["inside"] for r in control.sandboxed(df, roots).orderBy("file_id").collect()] == [True, True, False, False, True, True, False, False]
@@ -202,6 +201,87 @@ def test_costs(spark):
 
 
 def test_languages(spark):
-    cases = [("a/b.PY", "", "python"), ("Dockerfile", "", "dockerfile"), ("x/dockerfile.dev", "", "dockerfile"), ("m.kts", "", "kotlin"), ("run", "#!/usr/bin/env bash\n", "shell"), ("run", "#!/usr/bin/python3", "python"), ("x", "FROM a\n", "dockerfile"), ("x", "package main", "go"), ("x", "hello", "unknown"), ("x", None, "unknown"), (".py", None, "python")]
+    cases = [("a/b.PY", "", "python"), ("Dockerfile", "", "dockerfile"), ("x/dockerfile.dev", "", "dockerfile"), ("m.kts", "", "kotlin"), ("run", "#!/usr/bin/env bash\n", "unknown"), ("run", "x\nimport y", "python"), ("run", "x" * 198 + "def f()", "unknown"), ("x", "FROM a\n", "unknown"), ("x", "package main", "unknown"), ("x", "package main\n" + "x" * 500 + "func f()", "go"), ("x", "package main\nimport x" + "y" * 2000 + "func f()", "python"), ("x", "hello", "unknown"), ("x", None, "unknown"), (".py", None, "python")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, path string, content string, want string")
     assert [(r["path"], r["want"]) for r in df.where(languages.detected(F.col("path"), F.col("content")) != F.col("want")).collect()] == []
+
+
+def test_roots_of_tenants_only_restrict():
+    cases = [
+        (["/srv"], ["/srv/a/", "/srv/b"], ["/srv/a", "/srv/b"]), (["/srv/a"], ["/srv"], ["/srv/a"]), (["/srv/a"], ["/other"], ["/srv/a"]), (["/srv/a"], ["/other", "/srv/a/x"], ["/srv/a/x"]), ([], ["/x/"], ["/x"]), (["/x"], [], ["/x"]),
+        ([], [], []), (["/srv/a"], ["/srv/ab"], ["/srv/a"]), (["/srv/a/../b"], ["/srv/b/./c"], ["/srv/b/c"]), (["/srv/a", "/srv/b"], ["/srv"], ["/srv/a"]), (["/"], ["/x"], ["/x"]), (["", None], [" "], []),
+    ]
+    for common, own, want in cases:
+        assert control.merged_roots(common, own) == want, (common, own)
+
+
+def test_paths_by_tenant(spark):
+    tenants = spark.createDataFrame([(1, ["/srv/one"]), (2, None), (3, ["/etc"])], "tenant_id long, roots array<string>")
+    asked = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate([(1, "/srv/one/x"), (1, "/srv/two"), (1, "/srv/one/../two"), (2, "/srv/two"), (3, "/etc/passwd"), (3, "/srv/x"), (9, "/srv/x"), (9, "/x"), (None, "/srv"), (1, None)])], "event_id long, tenant_id long, path string")
+    assert [r["in_sandbox"] for r in control.in_sandbox(asked, ["/srv"], tenants).orderBy("event_id").collect()] == [True, False, False, True, False, True, True, False, True, False]
+    assert control.in_sandbox(asked, [], tenants.where("tenant_id = 2")).where("in_sandbox").count() == 10
+
+
+def test_decisions_and_their_reasons(spark):
+    gates = control.packs(spark)
+    tenants = spark.createDataFrame([(1, "strict", None, None), (2, "strict", "low , High", 3), (3, "none", None, None)], "tenant_id long, pack string, fail_on string, max_risk int")
+    asked = spark.createDataFrame([(1, 1, 45, "APPROVED"), (2, 2, 4, "rejected"), (3, 3, 5000, "REJECTED"), (4, 9, 100, "APPROVED"), (5, 9, None, None), (6, 1, 0, "Rejected")], "file_id long, tenant_id long, risk_score int, upstream string")
+    counts = spark.createDataFrame([(1, "high", 2), (2, "HIGH", 1), (2, "LOW", 3), (2, "MEDIUM", 9), (4, "odd", 7)], "file_id long, severity string, n long")
+    got = {r["file_id"]: (r["decision"], r["blocking"], r["reasons"]) for r in control.gated(control.overridden(asked, tenants, gates), counts).collect()}
+    assert got == {
+        1: ("DENY", 2, ["2 issue(s) at fail severity ['CRITICAL', 'HIGH']", "risk_score 45 exceeds max_risk_score 40"]), 2: ("DENY", 4, ["4 issue(s) at fail severity ['HIGH', 'LOW']", "risk_score 4 exceeds max_risk_score 3"]),
+        3: ("DENY", 0, ["upstream security_verdict=REJECTED"]), 4: ("ALLOW", 0, []), 5: ("ALLOW", 0, []), 6: ("DENY", 0, ["upstream security_verdict=REJECTED"]),
+    }
+
+
+def test_who_a_key_stands_for(spark):
+    sha = __import__("hashlib").sha256(b"kb").hexdigest()[:16]
+    tenants = spark.createDataFrame([(7, 1, ["ka", "kb"], {"ka": "admin", sha: "viewer"}), (8, 0, ["kb", "kc"], None), (9, 2, None, {"kd": "admin"})], "tenant_id long, place int, api_keys array<string>, roles map<string,string>")
+    asked = spark.createDataFrame([(i, k) for i, k in enumerate(["ka", "kb", "kc", "kd", None, ""])], "event_id long, api_key string")
+    got = [(r["known"], r["tenant_id"], r["role"]) for r in control.principals(asked, tenants).orderBy("event_id").collect()]
+    assert got == [(True, 7, "admin"), (True, 8, "scanner"), (True, 8, "scanner"), (False, None, "scanner"), (False, None, "scanner"), (False, None, "scanner")]
+    second = control.principals(asked, tenants.where("tenant_id = 7")).where("event_id = 1").first()
+    assert (second["tenant_id"], second["role"]) == (7, "viewer")
+
+
+def test_newest_rows_and_evidence(spark):
+    rows = [(i % 2 if i % 5 else None, i // 3 if i % 11 else None, i, "DENY" if i % 3 else "ALLOW") for i in range(400)]
+    df = spark.createDataFrame(rows, "tenant_id long, t long, event_id long, decision string").withColumn("ts", F.timestamp_seconds("t"))
+    want = {}
+    for t in (0, 1, None):
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: (r[1] is not None, r[1] or 0, r[2]), reverse=True)[:30]
+        want[t] = (sum(r[3] == "ALLOW" for r in own), sum(r[3] == "DENY" for r in own))
+    assert {r["tenant_id"]: (r["allows"], r["denies"]) for r in control.evidence(df, 30).collect()} == want
+
+
+def test_snapshot_of_nothing(spark):
+    r = control.snapshot(spark.createDataFrame([], "tool string, status string, latency_ms double, denied boolean")).first()
+    assert (r["tool_calls"], r["tool_errors"], r["avg_latency_ms"], r["by_tool"]) == (0, 0, 0.0, {})
+
+
+def test_context_of_a_match(spark):
+    rules = (catalog.Rule("CTX", "LOW", "needle", context="(?i)hay"),)
+    near = "hay" + "x" * 77
+    assert [h[2] for h in hits(spark, near + "needle\n" + "y" * 90 + "needle" + " Hay" + "\n" + "z" * 200 + "needle", rules)] == [81, 91]
+    assert not hits(spark, "hay" + "x" * 80 + "needle" + "x" * 80 + "hay", rules)
+
+
+def test_large_files_take_linear_time(spark):
+    import time
+
+    from sieveline.operators import taint
+
+    began = time.time()
+    text = "resource {\n" + "  type = m5.large\n" * 20_000 + "  count = 3\n}\n"
+    df = spark.createDataFrame([(1, text, "aws")], "file_id long, content string, provider string")
+    got = cost.line_items(df).agg(F.count("*"), F.max("line"), F.max("quantity")).first()
+    assert tuple(got) == (20_000, 20_001, 3)
+    source = "import os\nx = input()\n" + "os.system(x)\n" * 20_000
+    assert len(taint.flows(source)) == 20_000
+    assert time.time() - began < 60
+
+
+def test_check_call_needs_a_shell():
+    from sieveline.operators import taint
+
+    assert [f[0] for f in taint.flows("x = input()\nsubprocess.check_call(x)\nsubprocess.check_call(x, shell=True)\nsubprocess.check_output(x)\n")] == ["TAINT-002", "TAINT-002"]

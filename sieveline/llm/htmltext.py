@@ -21,17 +21,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 #: Elements whose content is not the article.
-ASIDE = frozenset("aside button canvas datalist dialog footer form head header iframe input menu nav noscript object script select style svg template textarea title video audio".split())
+ASIDE = frozenset("aside button canvas datalist dialog footer head header iframe input menu nav noscript object script select style svg template textarea title video audio".split())
 #: Names of class, id and role for what is not the article; a compound name (site-header, reader_comments) counts if all its parts are of these
-#: or NEUTRAL, so no-sidebar, has-header or social-history do not.
-ASIDE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos related replies reply sharing share sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: or NEUTRAL, so no-sidebar, has-header or social-history do not. LAYOUT_WORDS say where something stands, ASIDE_WORDS what it is.
+LAYOUT_WORDS = frozenset("banner complementary contentinfo footer header modal popup sidebar widget widgets".split())
+ASIDE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disclaimer disqus menu nav navbar navigation newsletter notice notices pager pagination promo promos related replies reply share sharing signup social sponsor sponsored subscribe subscription toolbar".split())
 NEUTRAL = frozenset("area bar block bottom box button buttons center column consent container feed form global group icons inline inner item items large left links list main mobile outer page panel posts primary reader readers right row secondary section site slot small sticky tertiary thread top unit user wrap wrapper".split())
+#: What readers write: names with a part that begins so count whatever the other parts are, unless one of them says only that there are comments.
+READERS = re.compile(r"comment(?!ar)|responses?$|respond$|repl(?:y|ies)$|disqus")
+ABOUT = frozenset("no not has have with without open opened closed status enabled disabled on off allow allowed".split())
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 KEPT = frozenset(("html", "body"))
 #: Elements below so many others are not parents of what follows, as in browsers.
 DEPTH = 512
-#: A marked element whose text is so many times all unmarked text is the page's frame, not beside its article.
-FRAME = 10
+#: Share of a list's text in links, and characters of a link, that make it a menu where it stands before or after all other text.
+LINKED, LINK_CHARS = 0.8, 30
 #: What an opening element closes before it, up to the element that bounds the search.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "p": ("p", ())}
 
@@ -40,7 +44,7 @@ class Page:
     """A page's elements as parallel lists, parents before children, and its text runs. Time grows with the page's length."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.aside, self.marked, self.link = ["#root"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.aside, self.marked, self.link = ["#root"], [-1], [False], [0], [False]
         self.runs: list[tuple[int, int, str]] = []
         block, stack, at = 0, [0], 0
         self.open: dict[str, int] = {}
@@ -66,7 +70,7 @@ class Page:
             if name == "br":
                 self.runs.append((stack[-1], block, " "))
             node, up = len(self.tag), stack[-1]
-            hidden, marked = self._marks(m[3]) if m[3] and name not in KEPT else (False, False)
+            hidden, marked = self._marks(m[3]) if m[3] and name not in KEPT else (False, 0)
             self.tag.append(name)
             self.parent.append(up)
             self.aside.append(self.aside[up] or name in ASIDE or hidden)
@@ -112,9 +116,9 @@ class Page:
                     break
 
     @staticmethod
-    def _marks(marks: str) -> tuple[bool, bool]:
-        """Whether attributes hide an element, and whether its names are of what is not the article."""
-        marked = False
+    def _marks(marks: str) -> tuple[bool, int]:
+        """Whether attributes hide an element, and whether its names are of what is not the article: 1 by their place, 2 by what it is, else 0."""
+        marked = 0
         for name, *values in _MARK.findall(marks):
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
@@ -123,47 +127,97 @@ class Page:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     return True, marked
             elif name in ("class", "id", "role"):
-                marked = marked or any(map(_is_aside, value.split()))
+                marked = max([marked, *map(_kind, value.split())])
         return False, marked
 
 
-def _is_aside(name: str) -> bool:
+def _kind(name: str) -> int:
     parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
-    return not ASIDE_WORDS.isdisjoint(parts) and all(p in ASIDE_WORDS or p in NEUTRAL for p in parts)
+    if any(map(READERS.match, parts)) and ABOUT.isdisjoint(parts):
+        return 2
+    if not all(p in ASIDE_WORDS or p in LAYOUT_WORDS or p in NEUTRAL for p in parts):
+        return 0
+    return 1 if not LAYOUT_WORDS.isdisjoint(parts) else 2 * (not ASIDE_WORDS.isdisjoint(parts))
 
 
-def _settle_marks(page: Page, size: list[int]) -> None:
-    """Marked elements are aside, but for one that holds nearly all text outside asides: that is the page's frame."""
+def _settle(page: Page, size: list[int]) -> None:
+    """Which elements are aside, beyond those that are by their tag.
+
+    What readers, advertisers and menus are named is aside, unless it holds a main element or the page's heading, and a form that has no text beside its labels. An element
+    named by its place, a form, and an article within an article are aside unless the densest subtree of the page is theirs or in them; where an article or
+    main element stands outside of them, they must hold one as well, or the heading.
+    """
     n = len(page.tag)
-    under = [False] * n  # within a marked element
+    heads, soft = [False] * n, [False] * n
+    said, nested = [0] * n, [False] * n  # text that is no label's; within an article
+    label = [False] * n
+    for i in range(1, n):
+        label[i] = label[page.parent[i]] or page.tag[i] in ("label", "legend", "option", "button")
+        nested[i] = nested[page.parent[i]] or page.tag[page.parent[i]] == "article"
+        said[i] = 0 if label[i] else size[i]
+    for i in range(n - 1, 0, -1):
+        heads[page.parent[i]] = heads[page.parent[i]] or heads[i] or page.tag[i] in ("main", "h1")
+        said[page.parent[i]] += said[i]
+    for i in range(1, n):
+        up, tag = page.parent[i], page.tag[i]
+        page.aside[i] = page.aside[i] or page.aside[up] or (page.marked[i] == 2 and not heads[i]) or (tag == "form" and not said[i])
+        soft[i] = page.marked[i] == 1 or tag == "form" or (tag == "article" and nested[i])
+    if not any(soft):
+        return
+    kept = [0 if page.aside[i] else size[i] for i in range(n)]
+    under, story = [False] * n, list(heads)
     for i in range(1, n):
-        under[i] = under[page.parent[i]] or page.marked[i]
-    free = sum(size[i] for i in range(n) if not under[i])
-    chars = size[:]
+        under[i] = soft[i] or under[page.parent[i]]
     for i in range(n - 1, 0, -1):
-        chars[page.parent[i]] += chars[i]
+        story[page.parent[i]] = story[page.parent[i]] or story[i] or page.tag[i] == "article"
+    free = any(page.tag[i] in ("article", "main") and not under[i] and not page.aside[i] for i in range(1, n))
+    at, density, _, _ = _densest(page, kept, [0] * n)
+    most: dict[int, int] = {}  # the densest child of each element
     for i in range(1, n):
         up = page.parent[i]
-        if page.marked[i] and not page.aside[up] and not page.aside[i]:
-            page.aside[i] = not chars[i] > FRAME * max(free, 1)
-            if not page.aside[i]:
-                inner = sum(chars[j] for j in _marked_below(page, i))
-                free += chars[i] - inner
-        page.aside[i] = page.aside[i] or page.aside[up]
+        if density[i] > (density[most[up]] if up in most else 0):
+            most[up] = i
+    total = [0.0] * n
+    for i in range(1, n):
+        total[page.parent[i]] += density[i]
+    while at in most and 2 * density[most[at]] > total[at]:  # the child that has most of a sum counts as well
+        at = most[at]
+    path = set()
+    while at >= 0:
+        path.add(at)
+        at = page.parent[at]
+    for i in range(1, n):
+        out = soft[i] and (i not in path or (free and not (story[i] and not nested[i])))
+        page.aside[i] = page.aside[i] or page.aside[page.parent[i]] or out
 
 
-def _marked_below(page: Page, at: int) -> list[int]:
-    """The outermost marked elements within an element."""
-    inside, out = {at}, []
-    for j in range(at + 1, len(page.tag)):
-        if page.parent[j] in inside:
-            if page.marked[j]:
-                out.append(j)
-            else:
-                inside.add(j)
-        elif page.parent[j] < at:
-            break
-    return out
+def _menus(page: Page, blocks: dict[int, list[tuple[int, str]]], chars: list[int], links: list[int], inside: list[bool]) -> None:
+    """Lists of short links before or after all other text of what is inside are not: menus that nothing names."""
+    n = len(page.tag)
+    count = [0] * n
+    for i in range(n - 1, 0, -1):
+        count[page.parent[i]] += count[i] + (page.tag[i] == "a" and chars[i] > 0)
+    menu, own = [False] * n, [False] * n
+    for i in range(1, n):
+        own[i] = not menu[page.parent[i]] and page.tag[i] in ("ul", "ol", "menu", "dl", "table") and count[i] > 1 and links[i] >= LINKED * chars[i] and links[i] <= LINK_CHARS * count[i]
+        menu[i] = own[i] or menu[page.parent[i]]
+    if not any(menu):
+        return
+    told = [b for b, some in blocks.items() if any(inside[node] and not menu[node] and t.strip() for node, t in some)]
+    if not told:
+        return
+    first, last = min(told), max(told)
+    where: dict[int, bool] = {}  # whether a menu stands in between
+    root = [0] * n
+    for i in range(1, n):
+        root[i] = i if own[i] else root[page.parent[i]]
+    for b, some in blocks.items():
+        for node, _ in some:
+            if root[node]:
+                where[root[node]] = where.get(root[node], False) or first < b < last
+    for i in range(1, n):
+        if root[i] and not where.get(root[i], True):
+            inside[i] = False
 
 
 def _densities(page: Page, size: list[int], linked: list[int]) -> tuple[list[float], list[int], list[int]]:
@@ -190,6 +244,15 @@ def _densities(page: Page, size: list[int], linked: list[int]) -> tuple[list[flo
     return out, chars, links
 
 
+def _densest(page: Page, size: list[int], linked: list[int]) -> tuple[int, list[float], list[int], list[int]]:
+    """The element with the largest sum of its children's densities, of equal ones the innermost, and what _densities() gives."""
+    density, chars, links = _densities(page, size, linked)
+    sums = [0.0] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        sums[page.parent[i]] += density[i]
+    return (max(range(len(page.tag)), key=lambda i: (sums[i], i)) if any(sums) else 0), density, chars, links
+
+
 def _collapsed(text: str) -> str:
     return " ".join(text.split())
 
@@ -197,10 +260,10 @@ def _collapsed(text: str) -> str:
 def extract(source: str | None) -> str:
     """The article of a page: blocks in page order, white space within a block as one space, parted by two line ends.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, or by class, id or
-    role where that is made of their names only and the element does not hold nearly all of the page. Of the rest the element with the largest
-    sum of its children's densities is taken, or the article or main element around it;
-    elements beside its path to the body join it if they are as dense as the thinnest element of that path and not mostly links.
+    Scripts, styles, menus, headers, footers and asides are left out by element, what is named as something else than the article by class, id or role, and reader
+    comments also as articles within an article. What is named by its place only, and forms, are left out unless the densest subtree lies in them. Of the rest the
+    element with the largest sum of its children's densities is taken, or the article or main element around it; elements beside its path to the body join it if
+    they are as dense as the thinnest element of that path and not mostly links. Lists of short links around all of that are menus.
     """
     if not source:
         return ""
@@ -211,7 +274,7 @@ def extract(source: str | None) -> str:
     runs = [(node, block, html.unescape(raw) if "&" in raw else raw) for node, block, raw in page.runs if not page.aside[node]]
     for node, _, text in runs:
         size[node] += len(text.strip())
-    _settle_marks(page, size)
+    _settle(page, size)
     size = [0] * n
     for node, block, text in runs:
         if page.aside[node]:
@@ -223,11 +286,7 @@ def extract(source: str | None) -> str:
             linked[node] += k
     if not blocks:
         return ""
-    density, chars, links = _densities(page, size, linked)
-    sums = [0.0] * n
-    for i in range(1, n):
-        sums[page.parent[i]] += density[i]
-    best = max(range(n), key=lambda i: (sums[i], i)) if any(sums) else 0
+    best, density, chars, links = _densest(page, size, linked)
     path = [best]
     while path[-1] and page.tag[path[-1]] != "body":
         path.append(page.parent[path[-1]])
@@ -241,10 +300,13 @@ def extract(source: str | None) -> str:
     for i in range(1, n):
         dense = page.parent[i] in beside and i not in on_path and density[i] >= threshold > 0 and 2 * links[i] < chars[i]
         inside[i] = inside[i] or inside[page.parent[i]] or dense
-    inside_root = top == 0
+    if top == 0:
+        inside = [True] * n
+    if not whole:
+        _menus(page, blocks, chars, links, inside)
     out = []
     for block in sorted(blocks):
-        text = _collapsed("".join(t for node, t in blocks[block] if inside_root or inside[node]))
+        text = _collapsed("".join(t for node, t in blocks[block] if inside[node]))
         if text:
             out.append(text)
     return "\n\n".join(out)

@@ -12,11 +12,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import releasing, saved, ship, small
-from sieveline.llm.textarrays import distinct, numbered, slices, tokens
+from sieveline.llm.textarrays import distinct, hashes, mixed, numbered, slices, tokens
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer candidate holds it and has this share of its count, in hundredths.
@@ -25,11 +27,16 @@ COVER = 80
 SCALE = 2_000_000
 #: Memory that duckdb may use in a task before it goes to disk.
 COUNTER_MEMORY = "256MB"
+#: Bits for each frequent pair in the map that longer phrases are looked up in, and the map's bytes at least and at most (powers of two).
+MAP_BITS, LEAST_MAP, MOST_MAP = 16, 1 << 16, 1 << 28
+#: Bytes of pieces that a bucket's n-grams come from, and buckets at least. A task sends a row for each bucket, language and n-gram size, or fewer.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 NO_LANGUAGE = "und"
 _SEPARATORS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 _SPACE = np.ones(256, np.uint8)
 _SPACE[32] = 0
-TEXT_BYTES = 2 << 20
+#: Text whose pieces, and pieces whose n-grams, a task adds up together.
+TEXT_BYTES, GRAM_BYTES = 2 << 20, 4 << 20
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -51,91 +58,188 @@ def pieces(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(each), "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
-def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    size = ends - starts
-    at = np.append(0, np.cumsum(size)).astype(np.int32)
-    flat = data[np.repeat(starts - at[:-1], size) + np.arange(int(at[-1]))]
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat)))
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
 
 
-def weighted_grams(data: np.ndarray, rows: np.ndarray, group: np.ndarray, weight: np.ndarray, longest: int):
-    """(words, group, start, end, weight) of all n-grams of the rows, those equal in one group as one; words are parted by single spaces."""
+def _folded(h: np.ndarray, seeds: np.ndarray, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on and of the group's seed, from the words' hashes."""
+    out = mixed(seeds[row[at]] + h[at])
+    for i in range(1, n):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[at + i])
+    return out
+
+
+def weighted_grams(data: np.ndarray, rows: np.ndarray, group: np.ndarray, weight: np.ndarray, sizes: range, seeds: np.ndarray, seen: np.ndarray | None):
+    """(words, group, start, end, weight, hash) of all n-grams of the rows, those equal in one group as one; words are parted by single spaces.
+
+    n-grams come in the order of their words' numbers, so those that begin alike stand together. A hash depends on the words and the group's seed alone. Where seen,
+    a bit map of hashes, is given, n-grams with a pair of words that it lacks are left out.
+    """
     starts, ends, row = tokens(data, rows, _SPACE)
     if not len(starts):
         return
-    word = distinct(data, starts, ends)[1]
-    code = numbered(group[row], word)
-    at = np.arange(len(word))
-    for n in range(1, longest + 1):
-        if n > 1:
-            ok = at + n - 1 < len(word)
-            at, code = at[ok], code[ok]
-            ok = row[at] == row[at + n - 1]
-            at, code = at[ok], code[ok]
-            if not len(at):
-                return
-            code = numbered(code, word[at + n - 1])
+    first, word = distinct(data, starts, ends)
+    h = hashes(data, starts[first], ends[first])[word]
+    of, seeds = group[row], seeds[group]
+    pair = None
+    if seen is not None:
+        at = np.flatnonzero(row[:-1] == row[1:])
+        bit = _folded(h, seeds, at, row, 2) & np.uint64(8 * len(seen) - 1)
+        pair = np.zeros(len(word), bool)
+        pair[at] = seen[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+    for n in sizes:
+        ok = row[: len(row) - n + 1] == row[n - 1 :]
+        for i in range(n - 1 if pair is not None else 0):
+            ok &= pair[i : len(ok) + i]
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        code = numbered(of[at], *(word[at + i] for i in range(n)))
         total = np.zeros(int(code.max()) + 1, np.int64)
         np.add.at(total, code, weight[row[at]])
-        first = np.empty(len(total), np.int64)
-        first[code] = at
-        yield n, group[row[first]], starts[first], ends[first + n - 1], total
-
-
-def grams(some: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, words, phrase, f: the weighted n-grams of the pieces, added up as far as a task meets them together; words 0, phrase '' has all words of a language."""
+        one = np.empty(len(total), np.int64)
+        one[code] = np.arange(len(at))
+        place = at[one]
+        yield n, of[place], starts[place], ends[place + n - 1], total, _folded(h, seeds, place, row, n)
+
+
+def _packed(phrases: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the phrases one after another, each with a line end behind it."""
+    starts, size = starts[phrases], (ends - starts)[phrases] + 1
+    at = np.cumsum(size)
+    flat = np.append(data, np.uint8(10))[np.minimum(np.repeat(starts - at + size, size) + np.arange(int(at[-1])), len(data))]
+    flat[at - 1] = 10
+    return flat
+
+
+def _gathered(batches, most: int):
+    """Batches of about most bytes, made of smaller ones."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, size = [], 0
+    if size:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
+def grams(some: DataFrame, buckets: int, sizes: range, seen=None) -> DataFrame:
+    """bucket, lang, phrases, weights: the weighted n-grams of the pieces, added up as far as a task meets them together, parted by their hash.
+
+    phrases has many n-grams, one a line, weights as many 64-bit numbers, both compressed: they would fill the disk of a shuffle one by one. An empty
+    phrase has the number of all words of the language, where sizes begins with 1. seen is a broadcast bit map of pairs, as weighted_grams() takes it.
+    """
 
     def each(batches):
-        for batch in batches:
-            for lo, hi, data, rows in slices(batch.column(1), TEXT_BYTES):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in _gathered(batches, GRAM_BYTES):
+            for lo, hi, data, rows in slices(batch.column(1), GRAM_BYTES):
                 names, group = {}, []
                 for lang in batch.column(0).slice(lo, hi - lo).to_pylist():
                     group.append(names.setdefault(lang, len(names)))
-                known, group, weight = pa.array(list(names), pa.string()), np.array(group), batch.column(2).slice(lo, hi - lo).to_numpy()
-                for n, of, start, end, total in weighted_grams(data, rows, group, weight, longest):
-                    lang = known.take(pa.array(of))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(of), n, np.int32)), _texts(data, start, end), pa.array(total)], names=out)
+                seeds = np.array([_seed(x) for x in names], np.uint64)
+                weight = batch.column(2).slice(lo, hi - lo).to_numpy()
+                out = []
+                all_words = np.zeros(len(names), np.int64)
+                for n, of, start, end, total, h in weighted_grams(data, rows, np.array(group), weight, sizes, seeds, None if seen is None else np.frombuffer(seen.value, np.uint8)):
                     if n == 1:
-                        all_words = np.zeros(len(names), np.int64)
                         np.add.at(all_words, of, total)
-                        yield pa.RecordBatch.from_arrays([known, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(all_words)], names=out)
-
-    out = ["lang", "words", "phrase", "f"]
-    return some.mapInArrow(releasing(each), "lang string, words int, phrase string, f long")
-
-
-def counted(some: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, words, phrase, f of the n-grams that some, weighted and dealt out by lang and phrase, holds at least so often; words 0 always stays.
-
-    Each task counts its buckets in a duckdb database of its own, which spills into the task's temporary folder and is removed with it.
+                    cell = (h % np.uint64(buckets)).astype(np.int64) * len(names) + of
+                    order = np.argsort(cell, kind="stable")
+                    cuts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                    ends = np.append(cuts[1:], len(order))
+                    flat = _packed(order, data, start, end)
+                    at = np.append(0, np.cumsum((end - start)[order] + 1))
+                    for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
+                        bucket, lang = divmod(int(cell[order[a]]), len(names))
+                        out.append((bucket, lang, pack.compress(flat[at[a] : at[b]].tobytes()), pack.compress(total[order[a:b]].tobytes())))
+                out += [(int(seeds[i] % np.uint64(buckets)), i, pack.compress(b"\n"), pack.compress(all_words[i : i + 1].tobytes())) for i in range(len(names) if sizes[0] == 1 else 0)]
+                lang = pa.array(list(names), pa.string()).take(pa.array([o[1] for o in out], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), lang, pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary())], names=["bucket", "lang", "phrases", "weights"])
+
+    return some.mapInArrow(releasing(each), "bucket int, lang string, phrases binary, weights binary")
+
+
+def counted(some: DataFrame, buckets: int, least: int = LEAST) -> DataFrame:
+    """lang, words, phrase, f of the n-grams that some, a table of grams(), holds at least so often; the empty phrase, of no words, always stays.
+
+    Each bucket is a task, which counts in a duckdb database of its own; that spills into the task's temporary folder and is removed with it.
     """
+    lines = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def each(batches):
         import duckdb
 
-        with tempfile.TemporaryDirectory(prefix="sieveline-count-") as folder:
-            with duckdb.connect(config={"memory_limit": COUNTER_MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}) as db:
-                first = next(batches, None)
-                if first is None:
-                    return
+        unpack = zstandard.ZstdDecompressor()
 
-                def rows():
-                    yield first
-                    yield from batches
+        def rows():
+            for batch in batches:
+                for lang, phrases, weights in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    raw, f = np.frombuffer(unpack.decompress(phrases), np.uint8), np.frombuffer(unpack.decompress(weights), np.int64)
+                    ends = np.append(0, np.flatnonzero(raw == 10) + 1).astype(np.int32)
+                    phrase = pa.StringArray.from_buffers(len(f), pa.py_buffer(ends), pa.py_buffer(raw))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(f), np.int64))), phrase, pa.array(f)], schema=lines)
 
-                db.register("grams", pa.RecordBatchReader.from_batches(first.schema, rows()))
-                db.execute(f"SELECT lang, words, phrase, sum(f)::BIGINT AS f FROM grams GROUP BY lang, words, phrase HAVING words = 0 OR sum(f) >= {int(least)}")
+        with tempfile.TemporaryDirectory(prefix="sieveline-count-") as folder:
+            with duckdb.connect(config={"memory_limit": COUNTER_MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}) as db:
+                db.register("grams", pa.RecordBatchReader.from_batches(lines, rows()))
+                db.execute(f"SELECT lang, phrase[:-2], sum(f)::BIGINT FROM grams GROUP BY lang, phrase HAVING phrase = chr(10) OR sum(f) >= {int(least)}")
                 while found := db.fetchmany(20_000):
-                    lang, words, phrase, f = zip(*found, strict=True)
+                    lang, phrase, f = zip(*found, strict=True)
+                    words = [p.count(" ") + 1 if p else 0 for p in phrase]
                     yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.string()), pa.array(f, pa.int64())], names=["lang", "words", "phrase", "f"])
 
-    return some.repartition("lang", "phrase").mapInArrow(releasing(each), "lang string, words int, phrase string, f long")
+    return some.repartitionById(buckets, "bucket").mapInArrow(releasing(each), "lang string, words int, phrase string, f long")
+
+
+def pair_map(pairs: DataFrame):
+    """A broadcast bit map of the pairs of words of pairs(lang, phrase): MAP_BITS bits for each, between the sizes of LEAST_MAP and MOST_MAP bytes.
+
+    A bit may stand for several pairs, so the map may let through what it need not, and lets through all once it is full, but never lacks one of the pairs. Tasks
+    make parts of it, which are put together by their place; the driver holds one map.
+    """
+    spark = pairs.sparkSession
+    size = min(MOST_MAP, max(LEAST_MAP, 1 << (pairs.count() * MAP_BITS // 8).bit_length()))
+
+    def parts(batches):
+        for batch in batches:
+            seeds = np.array([_seed(x) for x in batch.column(0).to_pylist()], np.uint64)
+            for lo, hi, data, rows in slices(batch.column(1), GRAM_BYTES):
+                starts, ends, row = tokens(data, rows, _SPACE)
+                at = np.arange(0, len(starts), 2)
+                bit = np.unique(_folded(hashes(data, starts, ends), seeds[lo:hi], at, row, 2) & np.uint64(8 * size - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * LEAST_MAP)), pa.array(bit % (8 * LEAST_MAP))], names=["part", "bit"])
+
+    def joined(key, batch):
+        out = np.zeros(8 * LEAST_MAP, bool)
+        out[batch.column("bit").to_numpy()] = True
+        return pa.table({"part": [key[0].as_py()], "bits": [np.packbits(out, bitorder="little").tobytes()]})
+
+    made = pairs.select("lang", "phrase").mapInArrow(releasing(parts), "part long, bit long").distinct().groupBy("part").applyInArrow(joined, "part long, bits binary")
+    out = np.zeros(size, np.uint8)
+    for r in made.toLocalIterator():
+        out[r["part"] * LEAST_MAP : (r["part"] + 1) * LEAST_MAP] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(out.tobytes())
 
 
 def gram_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, words, phrase, f: all phrases of up to longest words that stand at least so often within pieces; words 0 has each language's number of words."""
-    ship(docs.sparkSession)
-    return counted(grams(pieces(docs), longest), least)
+    """lang, words, phrase, f: all phrases of up to longest words that stand at least so often within pieces; words 0 has each language's number of words.
+
+    Words and pairs are counted first. A longer phrase stands no more often than any pair in it, so only those whose pairs all stand often enough are counted then.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    some = saved(pieces(docs), "pieces")
+    size = some.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    short = saved(counted(grams(some, buckets, range(1, min(longest, 2) + 1)), buckets, least), "short-phrases")
+    if longest < 3:
+        return short
+    seen = pair_map(short.where("words = 2"))
+    return short.unionByName(counted(grams(some, buckets, range(3, longest + 1), seen), buckets, least))
 
 
 def _words(phrase, start, n):

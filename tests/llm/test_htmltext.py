@@ -38,6 +38,10 @@ def test_known_articles_come_back():
         assert extract(source) == want, source
 
 
+STORY = " ".join(f"word {i} of the story goes on," for i in range(36))
+BESIDE = "Some other text stands beside it here. " * 4
+
+
 @pytest.mark.parametrize(("source", "want"), [
     ('<div><p class="social-history">Social history of the town.</p><p>More of it.</p></div>', "Social history of the town.\n\nMore of it."),
     ("<article><p>The main text is here.</p><article class=comment><p>I disagree.</p></article><section class=comments>No.</section></article>", "The main text is here."),
@@ -46,6 +50,15 @@ def test_known_articles_come_back():
     ("<p>one</p><!-- <p>two</p> --><!-->three<?php x ?></ x>four", "one\n\nthreefour"),
     ("a &lt;b&gt; &amp;amp; &eacute; &#x41; &nosuch; 1 < 2", "a <b> &amp; é A &nosuch; 1 < 2"),
     ("<div class=sidebar><p>" + "all of the page " * 20 + "</p></div>", ("all of the page " * 20).strip()),
+    *((x, STORY) for x in (
+        f"<body><div>{BESIDE}</div><div class='right-sidebar'><p>{STORY[:400]}</p><p>{STORY[400:]}</p></div></body>".replace(STORY[:400] + "</p><p>", STORY[:400]).replace(f"<div>{BESIDE}</div>", "<footer>Imprint</footer>"),
+        f"<body><form action=x><div><p>{STORY}</p></div><input><button>Go</button></form><form><label>Name</label><input></form></body>",
+        f"<body><div id=left-column><p>Weather</p></div><div class='main widget-container'><p>{STORY}</p></div></body>".replace("<div id=left-column><p>Weather</p></div>", "<div class=sidebar><p>Weather</p></div>"),
+        f"<article><p>{STORY}</p><ol class=commentlist><li>First!</li></ol></article>", f"<article><p>{STORY}</p><div class=comment-body>First!</div><div id=responses>No.</div></article>", f"<article><p>{STORY}</p><article><p>I think so too.</p></article></article>",
+        f"<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>{STORY}</p><table><tr><td><a href=z>Older</a><td><a href=w>Newer</a></table>", f"<article class='post has-comments'><p>{STORY}</p></article>", f"<div class=article-commentary><p>{STORY}</p></div>",
+        f"<div class='comments-open'><h1></h1><p>{STORY}</p></div>", f"<aside>x</aside><article><p>{STORY}</p></article><div class=sidebar><p>{BESIDE * 9}</p></div>",
+    )),
+    (f"<p>{STORY}</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul><p>{STORY}</p>", f"{STORY}\n\none\n\ntwo\n\n{STORY}"),
     ("text <p", "text"), ("", ""), (None, ""), ("<script>x", ""), ("<nav>only a menu</nav>", ""),
 ])
 def test_markup(source, want):

@@ -50,6 +50,7 @@ def test_collocations_against_a_plain_count(spark, empty, monkeypatch):
         got = sorted(tuple(r) for r in phrases.collocations(df, least=least, cover=cover, top=top).collect())
         assert got == plain(rows, least, cover, top) and got
     monkeypatch.setattr(phrases, "TEXT_BYTES", 100)
+    monkeypatch.setattr(phrases, "GRAM_BYTES", 100)
     assert sorted(tuple(r) for r in phrases.collocations(df).collect()) == plain(rows)
     assert phrases.collocations(empty).count() == 0
 

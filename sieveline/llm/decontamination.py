@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ Q, EDITS = 8, 0.06
 #: Longer passages are looked for in pieces of PIECE characters, one every half of it, so that a document that holds a part of one is found.
 PIECE = 160
 #: Characters of benchmark text that one pass over the documents looks for, and of document text that is looked at together.
-PASS_CHARS, RUN_CHARS = 1 << 24, 1 << 20
+PASS_CHARS, RUN_CHARS = 1 << 21, 1 << 20
 #: A q-gram at more places of the passages is common: it is counted only in passages that have too few others. Hits that are counted at once.
 COMMON, HITS = 64, 1 << 21
 
@@ -210,12 +212,23 @@ def pieces(benchmark: DataFrame) -> DataFrame:
     return some.mapInArrow(releasing(each), "item_id long, at int, of int, text string").where("text <> ''")
 
 
+_kept: dict[str, PassageIndex] = {}
+
+
+def _index(name: str, items: list[tuple[int, str]]) -> PassageIndex:
+    """The index of a pass, which a worker makes once and keeps until the next pass."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = PassageIndex(items)
+    return _kept[name]
+
+
 def _found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     """doc_id, th, piece, start_char, end_char, edits of every numbered piece in the documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def each(batches):
-        index = PassageIndex(shared.value)
+        index = _kept.get(name) or _index(name, shared.value)
         for batch in batches:
             texts = batch.column(2)
             lo = 0

@@ -240,7 +240,8 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span's text replaced by its kind in brackets. Overlapping spans become one, named by the first.
 
-    Only the rows with base spans are joined to terms; the others pass. n_chars, where present, follows the text.
+    Only the rows with base spans are joined to terms; the others pass. n_chars, where present, follows the text. Null and empty texts stay as they are; a null doc_id
+    is one as good as any; repeated rows stay and count each; columns named as those made here stay; an empty table gives none.
     """
     k, base, terms = free_names(docs, "k", "base", "terms")
     text = F.col("text")

@@ -29,12 +29,12 @@ def grid(files: DataFrame, rules: tuple[Rule, ...], engine: str, keep: tuple[str
     All rules are evaluated in one pass over a file; an anchor spares a text the pattern. At most most per file are kept (None: all),
     in rule order, then by position; truncated says that the file had more. keep names further columns of files that go along.
     """
-    found = files.select("file_id", "path", "content", *keep, let(_once(F.col("content")), lambda v: _hits(v, rules, most)).alias("_found"))
-    out = found.select("file_id", "path", "content", *keep, F.col("_found.more").alias("truncated"), F.explode("_found.hits").alias("h"))
+    # the array is named once only, or the optimiser would put its whole expression in each place
+    out = files.select("file_id", "path", "content", *keep, F.explode(let(_once(F.col("content")), lambda v: _hits(v, rules, most))).alias("h"))
     text, start = F.col("content"), F.col("h.start")
     return out.select(
         "file_id", "path", F.lit(engine).alias("engine"), F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity"),
-        line_of(text, start).alias("line"), column_of(text, start).alias("column"), F.col("h.length").alias("match_length"), shown(text, start, F.col("h.length"), F.col("h.rule_id"), rules, engine).alias("excerpt"), "truncated", *keep,
+        line_of(text, start).alias("line"), column_of(text, start).alias("column"), F.col("h.length").alias("match_length"), shown(text, start, F.col("h.length"), F.col("h.rule_id"), rules, engine).alias("excerpt"), F.col("h.more").alias("truncated"), *keep,
     )
 
 
@@ -56,7 +56,7 @@ def _hits(v, rules: tuple[Rule, ...], most: int | None):
         if r.context:
             rows = F.filter(rows, _near(v["text"], r.context))
         hits.append(F.when(fits, rows).otherwise(F.array().cast("array<struct<ord:int,start:int,rule_id:string,severity:string,length:int,hit:string>>")))
-    capped = lambda v: F.struct((v if most is None else F.slice(v, 1, most)).alias("hits"), (F.lit(False) if most is None else F.size(v) > most).alias("more"))
+    capped = lambda v: F.transform(v if most is None else F.slice(v, 1, most), lambda h: h.withField("more", F.lit(False) if most is None else F.size(v) > most))
     return let(F.concat(*hits), capped)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.operators import catalog, scan, structural
 from sieveline.operators.catalog import Rule
 from sieveline.plans.corpus import FILES_SQL, SNIPPETS, files
+from sieveline.sources.shared import saved
 
 FINDING = ["file_id", "path", "rule_id", "severity", "line", "column", "match_length", "excerpt", "truncated"]
 INFRA_LANGUAGES = ("terraform", "yaml", "dockerfile")
@@ -119,7 +120,7 @@ def top_risky_files(spark, sf_dir):
 
 
 def repo_rollup(spark, sf_dir):
-    kept = scan.collapsed(base_findings(spark, sf_dir))
+    kept = saved(scan.collapsed(base_findings(spark, sf_dir)).select("file_id", "severity"), "findings")
     return scan.rollup(scan.risk_by_file(files(spark, sf_dir), kept), kept)
 
 

@@ -129,7 +129,7 @@ _FLOWS = {
 }
 _FLOW_ROWS = ", ".join(f"({k}, '{r}', '{s}', CAST({n} AS INT), CAST({c} AS INT), '{q}', '{p}')" for k, rows in _FLOWS.items() for r, s, n, c, q, p in rows)
 _FLOW = f"""SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES {_FLOW_ROWS}) AS v(k, rule_id, severity, line, "column", sink, path) ON d.doc_id % 27 = v.k WHERE d.text IS NOT NULL"""
-_ENGINES = f""", ast AS ({grids._AST}){grids._TWINLESS}{grids._COLLAPSED.replace("FROM findings)", "FROM alone)")}, lang AS (SELECT l.* FROM ({grids._select("SELECT * FROM findings", catalog.LANGUAGE)}) l WHERE path NOT LIKE '%.py'),
+_ENGINES = f""", ast AS ({grids._AST}){grids._TWINLESS}{grids._COLLAPSED.replace("FROM findings)", "FROM alone)")}, lang AS (SELECT l.* FROM ({grids._select("SELECT * FROM findings", catalog.LANGUAGE, engine="language")}) l WHERE path NOT LIKE '%.py'),
 every AS (SELECT 0 AS step, 'regex' AS engine, file_id, rule_id, any_value(severity) AS severity, line FROM kept GROUP BY file_id, rule_id, line, left(excerpt, 40)
   UNION ALL SELECT 1, 'syntax', file_id, rule_id, severity, line FROM ast
   UNION ALL SELECT 2, 'language', file_id, rule_id, any_value(severity), line FROM lang GROUP BY file_id, rule_id, line, left(excerpt, 40)

@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.engine import Engine
 from sieveline.operators import catalog, control, cost, inventory, scan
-from sieveline.plans import gates, grids, supply
+from sieveline.plans import gates, grids, hybrid, supply
 from sieveline.plans.corpus import files, table
 from sieveline.sources.files import bounded, scan_folder
 from sieveline.sources.shared import saved, shared_path, ship
@@ -126,6 +127,12 @@ def repo_findings(spark, sf_dir):
     return scan.include_clean(f.select("path"), kept.select("path", "rule_id", "line", "column", "severity", "engine"), True).na.fill(0, ["line", "column"])
 
 
+def code_audits(spark, sf_dir):
+    """The audit of every file by all engines: score, level, verdict, issues, who found them, and the gravest rule."""
+    rows = Engine(spark).audit_code_safety(files(spark, sf_dir))
+    return rows.select("file_id", "risk_score", "risk_level", "verdict", "issue_count", "engines", F.coalesce(F.get("issues", F.lit(0))["rule_id"], F.lit("")).alias("gravest_rule"))
+
+
 _TENANTS = "(VALUES (1, 'strict', 'CRITICAL,HIGH', 40), (2, 'pci', 'MEDIUM,HIGH', 10), (3, 'nosuch', 'CRITICAL', 1000000000), (4, 'default', 'CRITICAL', 5), (5, 'soc2', 'LOW', 50)) AS t(id, pack, fail_on, max_risk)"
 _JUDGED = f"""{grids._RISK}, ruled AS (SELECT s.file_id, s.file_id % 10 AS tenant_id, coalesce(t.pack, 'default') AS pack, coalesce(t.fail_on, 'CRITICAL') AS fail_on, coalesce(t.max_risk, 100) AS max_risk, s.risk_score FROM scored s LEFT JOIN {_TENANTS} ON s.file_id % 10 = t.id),
 blocked AS (SELECT r.*, (SELECT count(*) FROM kept k WHERE k.file_id = r.file_id AND list_contains(string_split(r.fail_on, ','), k.severity)) AS blocking FROM ruled r),
@@ -143,7 +150,7 @@ _BUDGET = grids._select(f""", r AS (SELECT file_id, CASE WHEN file_id % 2 = 0 TH
 SELECT r.file_id, CASE WHEN file_id % 2 = 0 AND contains(content, 'm5.xlarge') THEN '$407.84' WHEN file_id % 2 = 1 THEN '$1,702.44' ELSE '$0.00' END AS projected_monthly_burn, file_id % 2 = 1 AS budget_limit_exceeded, coalesce(n, 0) AS security_issue_count, first AS gravest_rule,
 CASE WHEN coalesce(c, 0) > 0 OR file_id % 2 = 1 THEN 'REJECTED' WHEN coalesce(h, 0) > 0 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS verdict FROM r LEFT JOIN g USING (file_id) JOIN files USING (file_id)""", catalog.IAC, "language = 'terraform'", None, "plain")
 
-QUERIES = {f.__name__: f for f in (policy_reasons, compliance_evidence, key_roles, gateway_metrics, risk_with_fallback, severity_by_language, vulnerability_rollup, infra_budget, folder_findings, repo_findings)}
+QUERIES = {f.__name__: f for f in (policy_reasons, compliance_evidence, key_roles, gateway_metrics, risk_with_fallback, severity_by_language, vulnerability_rollup, infra_budget, folder_findings, repo_findings, code_audits)}
 ORACLES = {
     "policy_reasons": grids._select(f"{_JUDGED} SELECT file_id, tenant_id, pack, blocking, CASE WHEN reasons = '' THEN 'ALLOW' ELSE 'DENY' END AS decision, reasons FROM judged"),
     "compliance_evidence": grids._select(f"{_JUDGED} SELECT file_id % 3 AS tenant_id, count(*) FILTER (reasons = '') AS allows, count(*) FILTER (reasons <> '') AS denies FROM (SELECT *, row_number() OVER (PARTITION BY file_id % 3 ORDER BY file_id DESC) AS k FROM judged) WHERE k <= 100 GROUP BY 1"),
@@ -154,6 +161,8 @@ ORACLES = {
     "vulnerability_rollup": f"WITH {supply._FOUND}, v AS (SELECT project, count(*) AS n, count(DISTINCT path) AS p, count(*) FILTER (severity = 'CRITICAL') AS c FROM ({_VULNERABLE}) GROUP BY project) SELECT f.project, count(*) AS packages_discovered, any_value(coalesce(p, 0)) AS packages_with_vulns, any_value(coalesce(v.n, 0)) AS total_vulns, any_value(coalesce(c, 0)) AS critical_vulns FROM found f LEFT JOIN v USING (project) GROUP BY f.project",
     "infra_budget": _BUDGET,
     "folder_findings": grids._select('SELECT path, language, rule_id, severity, line, "column", match_length, excerpt FROM findings JOIN files USING (file_id, path)'),
+    "code_audits": grids._select(f"""{hybrid._ENGINES}, a AS (SELECT file_id, CAST(least(sum({grids._WEIGHT}), 999) AS BIGINT) AS risk, count(*) AS n, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, arg_min(rule_id, ({hybrid._RANK}, line, rule_id)) AS g FROM every GROUP BY file_id)
+SELECT f.file_id, coalesce(risk, 0) AS risk_score, {grids._LEVEL.format('coalesce(risk, 0)')} AS risk_level, CASE WHEN coalesce(risk, 0) >= 40 THEN 'REJECTED' ELSE 'APPROVED' END AS verdict, coalesce(n, 0) AS issue_count, coalesce(engines, '') AS engines, coalesce(g, '') AS gravest_rule FROM files f LEFT JOIN a USING (file_id)"""),
     "repo_findings": grids._select(f""", b AS (SELECT 0 AS step, * FROM findings UNION ALL SELECT 1, * FROM {_LANG}), k AS (SELECT path, rule_id, line, "column", severity, CASE step WHEN 0 THEN 'regex' ELSE 'language' END AS engine FROM b QUALIFY row_number() OVER (PARTITION BY path, rule_id, line ORDER BY step DESC, ord DESC, "column" DESC) = 1)
 SELECT f.path, rule_id, coalesce(line, 0) AS line, coalesce("column", 0) AS "column", severity, engine FROM files f LEFT JOIN k USING (path)"""),
 }

@@ -273,7 +273,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A document fails the base if it has under 50 words or over half of them repeat in 3-word windows; it is kept if it passes
     and its distance is at most CUTOFF, a chi-square quantile. Groups of language and source under LEAST_ROWS rows are pooled by language, then
-    all together. Null language or source is a value of its own; null texts are empty and fail. Repeated rows stay.
+    all together. Null language or source is a value of its own; null texts are empty and fail. Repeated rows stay. An empty table
+    gives no rows.
     """
     rows = saved(grouped(saved(statistics(docs), "statistics")), "rows")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -229,7 +229,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, with predicted 1. Texts stay where they are: they are scored again in place of a join."""
+    """The documents, all columns, with predicted 1. Texts stay where they are: they are scored again in place of a join.
+
+    A null text is scored as an empty one; a null doc_id has no label but is scored; repeated rows are each kept or not alike; an empty table gives none.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = word_vectors(slim)
     sample = labelled_sample(slim, labels)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sieveline.operators import catalog, control, custom, scan, structural, taint
 from sieveline.plans import gates, grids
 from sieveline.plans.corpus import FILES_SQL, files, table
-from sieveline.sources import sinks
+from sieveline.sources import formats, sinks
 from sieveline.sources.files import changed_only
+from sieveline.sources.shared import shared_path
 
 COMMON = ["file_id", "path", "engine", "ord", "rule_id", "severity", "line", "column", "excerpt"]
 #: Rules of one's own, as a file would hold them.
@@ -102,6 +103,16 @@ def sarif_documents(spark, sf_dir):
     return rows.select("file_id", F.size("rules").alias("n_rules"), F.size("results").alias("n_results"), F.get("rules", F.lit(0))["id"].alias("first_rule"), F.get("rules", F.lit(0))["properties"]["security-severity"].alias("first_score"), F.size(F.filter("results", lambda r: r["level"] == "error")).alias("n_errors"), F.array_max(F.transform("results", lambda r: r["ruleIndex"])).alias("last_index"))
 
 
+def sarif_folder(spark, sf_dir):
+    """Results of level error of each file's SARIF document, which are written to a folder by the SARIF source and read back by it."""
+    formats.register(spark)
+    title = F.coalesce(*(F.when(F.col("rule_id") == r.id, r.title) for r in catalog.BASE))
+    folder = shared_path(spark, "sarif")
+    sinks.sarif(grids.base_findings(spark, sf_dir).withColumn("title", title), ["file_id"]).select("document").write.format(formats.SARIF).mode("append").save(folder)
+    back = spark.read.format(formats.SARIF).option("level", "error").load(folder)
+    return back.select("rule_id", "level", "severity", F.col("uri").alias("path"), "line", "column", "fingerprint")
+
+
 def metrics_lines(spark, sf_dir):
     """Calls and refusals of each tool as lines of a metrics text."""
     rows = control.metrics(control.authorised(control.requests(table(spark, sf_dir, "events"))))
@@ -146,7 +157,7 @@ def _side(kinds: str, name: str, rules) -> str:
 _CONTAINERS = f"""WITH kinds AS (SELECT file_id, CASE WHEN regexp_extract(lower(path), '[^/]*$') LIKE '%dockerfile%' OR regexp_matches(content, '(?m)^\\s*FROM\\s+\\S+') THEN 'dockerfile' WHEN contains(lower(left(content, 500)), 'kind:') OR contains(lower(left(content, 500)), 'apiversion:') THEN 'kubernetes' ELSE 'mixed' END AS kind FROM ({FILES_SQL}))
 {_side("'dockerfile', 'mixed'", "docker", catalog.DOCKER)} UNION ALL {_side("'kubernetes', 'mixed'", "k8s", catalog.K8S)}"""
 
-QUERIES = {f.__name__: f for f in (hybrid_plan, hybrid_engines, taint_findings, container_findings, custom_rule_findings, diff_rollup, sarif_documents, metrics_lines, audit_ring)}
+QUERIES = {f.__name__: f for f in (hybrid_plan, hybrid_engines, taint_findings, container_findings, custom_rule_findings, diff_rollup, sarif_documents, sarif_folder, metrics_lines, audit_ring)}
 ORACLES = {
     "hybrid_plan": grids._select(f"{_ENGINES} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, line, rule_id) AS place, rule_id, severity, line FROM every"),
     "hybrid_engines": grids._select(f"{_ENGINES} SELECT file_id, (SELECT string_agg(engine, ',' ORDER BY step) FROM (SELECT DISTINCT step, engine FROM every e WHERE e.file_id = v.file_id)) AS engines, CAST(least(sum({grids._WEIGHT}), 999) AS BIGINT) AS risk_score FROM every v GROUP BY file_id"),
@@ -154,6 +165,7 @@ ORACLES = {
     "container_findings": _CONTAINERS,
     "custom_rule_findings": """SELECT d.doc_id AS file_id, v.* EXCLUDE (k) FROM documents d JOIN (VALUES (9, 'OWN-2', 'MEDIUM', CAST(5 AS INT), CAST(1 AS INT), CAST(9 AS INT))) AS v(k, rule_id, severity, line, "column", match_length) ON d.doc_id % 27 = v.k WHERE d.text IS NOT NULL""",
     "diff_rollup": grids._select(f"{grids._RISK} SELECT count(*) AS files_scanned, CAST(coalesce(sum(issue_count), 0) AS BIGINT) AS issue_count, CAST(coalesce(sum(risk_score), 0) AS BIGINT) AS risk_score, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS files_changed FROM scored WHERE file_id % 6 = 0"),
+    "sarif_folder": grids._select("""SELECT rule_id, 'error' AS level, severity, path, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column", left(sha256(concat_ws('|', rule_id, path, CAST(line AS VARCHAR), excerpt)), 16) AS fingerprint FROM findings WHERE severity IN ('CRITICAL', 'HIGH')"""),
     "sarif_documents": grids._select("""SELECT file_id, CAST(count(DISTINCT rule_id) AS INT) AS n_rules, CAST(count(*) AS INT) AS n_results, arg_min(rule_id, (line, "column", rule_id)) AS first_rule,
 CASE arg_min(severity, (line, "column", rule_id)) WHEN 'CRITICAL' THEN '9.0' WHEN 'HIGH' THEN '7.0' WHEN 'MEDIUM' THEN '5.0' WHEN 'LOW' THEN '3.0' ELSE '1.0' END AS first_score, CAST(count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS INT) AS n_errors, CAST(count(DISTINCT rule_id) - 1 AS INT) AS last_index FROM findings GROUP BY file_id"""),
     "metrics_lines": f"""WITH {gates._ASKED}, m AS (SELECT tool, count(*) AS calls, count(*) FILTER (NOT granted) AS denied FROM granted GROUP BY tool) SELECT 'sieveline_calls' || chr(123) || 'tool="' || tool || '"' || chr(125) || ' ' || calls AS value FROM m UNION ALL SELECT 'sieveline_denied' || chr(123) || 'tool="' || tool || '"' || chr(125) || ' ' || denied FROM m""",

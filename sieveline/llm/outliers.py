@@ -19,6 +19,8 @@ DIMENSIONS, UNIT = 5, 1024
 LEAST_ROWS, MOST_STEPS, GAIN = 50, 25, 1e-6
 #: Distances are binned by 1/BIN up to FARTHEST. FLOOR is added to each dimension's deviation.
 BIN, FARTHEST, FLOOR = 32, 128, 0.2
+#: Bins that one task holds, tasks whose counts one task adds up, and pairs of group and start (some 300 bytes each) whose estimates are broadcast.
+TASK_ROWS, MERGED, MOST_PAIRS = 1 << 18, 4, 60_000
 #: A normal sample's deviation in units of its median absolute deviation.
 MAD = 1.4826
 #: Shares of a normal sample beyond the reweighting bound, and beyond the distance at which a document is rejected. Counts of repeats have far
@@ -209,17 +211,22 @@ def _scaled(sums: DataFrame, q: DataFrame, center, spread: list) -> DataFrame:
     return sums.mapInPandas(each, kind).unionByName(plain)
 
 
-def _bins(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Moments of rows by group, start and distance bin, and before: the group's rows in nearer bins. A group of any size is a few thousand rows."""
-    binned = _square(rows, _packed(estimates)).withColumn("bin", F.least(F.floor(F.sqrt("d2") * BIN), F.lit(FARTHEST * BIN)))
-    bins = saved(binned.groupBy("grp", F.col("est.start").alias("start"), "bin").agg(F.first("rows").alias("rows"), *_moments([F.col(f"x{i}") for i in range(DIMENSIONS)])), "bins")
+def _tasks(rows: DataFrame, pairs: int) -> int:
+    """Tasks for the bins of so many pairs of group and start: enough that none makes over TASK_ROWS of them, or adds up what over MERGED tasks of rows have counted."""
+    return max(-(-pairs * BIN * FARTHEST // TASK_ROWS), -(-rows.rdd.getNumPartitions() // MERGED))
+
+
+def _bins(rows: DataFrame, estimates: DataFrame, pairs: int) -> DataFrame:
+    """Moments of rows by group, start and distance bin, and before: the group's rows in nearer bins. A group of any size is a few thousand rows. pairs: rows of estimates."""
+    binned = _square(rows, _packed(estimates).coalesce(-(-pairs // TASK_ROWS) or 1)).withColumn("bin", F.least(F.floor(F.sqrt("d2") * BIN), F.lit(FARTHEST * BIN)))
+    bins = saved(binned.groupBy("grp", F.col("est.start").alias("start"), "bin").agg(F.first("rows").alias("rows"), *_moments([F.col(f"x{i}") for i in range(DIMENSIONS)])).coalesce(_tasks(rows, pairs) or 1), "bins")
     upto = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     return bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
 
 
-def _summed(bins: DataFrame) -> DataFrame:
+def _summed(bins: DataFrame, tasks: int) -> DataFrame:
     names = ["n", *(f"s{i}" for i in range(DIMENSIONS)), *(f"p{i}_{j}" for i, j in _PAIRS)]
-    return bins.groupBy("grp", "start").agg(F.first("rows").alias("rows"), *(F.sum(c).alias(c) for c in names))
+    return bins.groupBy("grp", "start").agg(F.first("rows").alias("rows"), *(F.sum(c).alias(c) for c in names)).coalesce(tasks or 1)
 
 
 def _median(bins: DataFrame) -> DataFrame:
@@ -238,18 +245,20 @@ def least_determinant(rows: DataFrame) -> DataFrame:
     the determinant falls. Groups and starts that are done take no part in further passes.
     """
     active, best = _starts(rows), None
+    pairs = active.count()
     for _ in range(MOST_STEPS):
-        bins = _bins(rows, active)
-        now = _estimates(_summed(bins.where(F.col("before") < F.floor((F.col("rows") + DIMENSIONS + 1) / 2))))
+        bins = _bins(rows, active, pairs)
+        now = _estimates(_summed(bins.where(F.col("before") < F.floor((F.col("rows") + DIMENSIONS + 1) / 2)), _tasks(rows, pairs)))
         if best is None:
             best = saved(now.withColumn("falls", F.lit(True)), "estimates")
         else:
             new = now.select("grp", "start", F.struct(*_FITTED).alias("new"))
             falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - GAIN, F.lit(False))
-            both = best.join(new, ["grp", "start"], "left").withColumn("falls", falls)
+            both = best.join(F.broadcast(new) if pairs <= MOST_PAIRS else new, ["grp", "start"], "left").withColumn("falls", falls)
             best = saved(both.select("grp", "start", "rows", *(F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in _FITTED), "falls"), "estimates")
         active = best.where("falls")
-        if not active.limit(1).count():
+        pairs = active.count()
+        if not pairs:
             break
     first = F.min_by(F.struct("start", "rows", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("b")
     return saved(best.groupBy("grp").agg(first).select("grp", "b.*"), "least")
@@ -260,10 +269,12 @@ def robust_distances(rows: DataFrame) -> DataFrame:
 
     The raw estimate's distances are scaled to a normal sample's median; rows within the REWEIGHT bound give the final estimate, scaled likewise.
     """
-    raw = _bins(rows, least_determinant(rows))
+    least = least_determinant(rows)
+    groups = least.count()
+    raw = _bins(rows, least, groups)
     near = raw.join(_median(raw), ["grp", "start"]).where(F.pow(F.col("bin") / BIN, 2) <= F.col("scale") * chi2_bound(REWEIGHT))
-    estimates = saved(_estimates(_summed(near)), "reweighted")
-    final = estimates.join(_median(_bins(rows, estimates)), ["grp", "start"])
+    estimates = saved(_estimates(_summed(near, _tasks(rows, groups))), "reweighted")
+    final = estimates.join(_median(_bins(rows, estimates, groups)), ["grp", "start"])
     packed = saved(final.select("grp", "rows", F.array(F.struct("start", "mean", "inverse", "scale")).alias("ests")), "final")
     return _square(rows, packed).withColumn("distance", F.sqrt(F.col("d2") / F.col("est.scale"))).drop("d2", "est", "ests", "rows")
 

@@ -88,12 +88,13 @@ def incremental_stream(spark, sf_dir):
     root = shared_path(spark, "arrivals")
     first = f.where("file_id % 10 <> 0")
     second = f.withColumns({"content": F.when(F.col("file_id") % 7 == 0, F.concat("content", F.lit("eval(x)\n"))).otherwise(F.col("content")), "modified": F.when(F.col("file_id") % 11 == 0, F.timestamp_micros(F.col("file_id") * 1_000_000 + 7)).otherwise(F.col("modified"))})
-    for part in (first, second):
-        part.select("path", "language", "content", "modified").coalesce(1).write.mode("append").parquet(f"{root}/files")
     to = f"{root}/scans"
     increments.opened(spark, to)
-    stream = spark.readStream.schema("path string, language string, content string, modified timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
-    increments.run(stream, catalog.BASE, to, f"{root}/progress")
+    # an arrival is many files, written by as many tasks as its rows are in; without a limit to a trigger, what has arrived is one batch
+    for part in (first, second):
+        part.select("path", "language", "content", "modified").write.mode("append").parquet(f"{root}/files")
+        stream = spark.readStream.schema("path string, language string, content string, modified timestamp").parquet(f"{root}/files")
+        increments.run(stream, catalog.BASE, to, f"{root}/progress")
     found = spark.read.schema("path string, rule_id string, severity string, line int, column int, excerpt string, batch long").parquet(f"{to}/findings").groupBy("batch").agg(F.count("*").alias("issues"))
     return increments.statistics(spark, to).join(found, "batch", "left").select("batch", "entries", "hits", "misses", "hit_rate", F.coalesce("issues", F.lit(0)).alias("issues"))
 

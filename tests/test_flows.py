@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators import catalog, control, reach, taint, trees
 from sieveline.sources import diffs
-from sieveline.sources.shared import ship
+from sieveline.sources.shared import shared_path, ship
 from sieveline.streaming import gateway, increments, live
 
 FILES = "project string, file_id long, path string, language string, content string"
@@ -187,3 +187,15 @@ def test_rate_limits_in_any_order_of_arrival(spark, tmp_path):
     last = max(r[1] for r in rows)
     assert set(got) == {r[0] for r in rows if r[1] <= last - datetime.timedelta(hours=1)}
     assert all(want[k] == v for k, v in got.items()) and 0 < sum(got.values()) < len(got)
+
+
+def test_an_arrival_is_written_by_many_tasks_and_read_as_one_batch(spark, monkeypatch):
+    from pathlib import Path
+
+    from sieveline.plans import flows
+
+    made = []
+    monkeypatch.setattr(flows, "shared_path", lambda s, name: made.append(shared_path(s, name)) or made[-1])
+    rows = flows.incremental_stream(spark, "/root/testdata/sf0.001").orderBy("batch").collect()
+    assert [(r["batch"], r["entries"]) for r in rows] == [(0, 180), (1, 200)]
+    assert len(list(Path(made[0].removeprefix("file://")).glob("files/*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism

@@ -21,6 +21,8 @@ from sieveline.sources.shared import saved, ship
 _FIELDS = {
     "kind": pa.string(), "src": pa.string(), "dst": pa.string(), "fn": pa.string(), "slot": pa.string(), "steps": pa.list_(pa.string()), "rule_id": pa.string(), "line": pa.int32(), "column": pa.int32(), "sink": pa.string(), "excerpt": pa.string(),
 }
+#: Rows that go from a task's Python to Spark at once, but for those of the last file.
+MOST_ROWS = 4096
 _SCHEMA = "kind string, src string, dst string, fn string, slot string, steps array<string>, rule_id string, line int, column int, sink string, excerpt string"
 
 
@@ -49,7 +51,8 @@ def rows_of(source: str, module: str, package: bool = False) -> list[dict]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            tree, found = ast.parse(source), facts(source)
+            tree = ast.parse(source)
+            found = facts(source, tree)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return []
     own = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
@@ -107,14 +110,22 @@ def parsed(files: DataFrame) -> DataFrame:
     """project, file_id, path and the rows of all Python files of files(project, file_id, path within the project, language, content); null content is empty."""
     ship(files.sparkSession)
 
+    def batch_of(source, at, rows):
+        some = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([source.column(c).take(some) for c in range(3)] + [pa.array([r.get(k) for r in rows], kind) for k, kind in _FIELDS.items()], names=["project", "file_id", "path", *_FIELDS])
+
     def each(batches):
         for batch in batches:
+            at, rows = [], []
             for i in range(batch.num_rows):
                 path = batch.column(2)[i].as_py() or ""
-                rows = rows_of(batch.column(3)[i].as_py() or "", module_of(path), path.endswith("__init__.py"))
-                at = pa.array([i] * len(rows), pa.int64())
-                columns = [batch.column(c).take(at) for c in range(3)] + [pa.array([r.get(k) for r in rows], kind) for k, kind in _FIELDS.items()]
-                yield pa.RecordBatch.from_arrays(columns, names=["project", "file_id", "path", *_FIELDS])
+                own = rows_of(batch.column(3)[i].as_py() or "", module_of(path), path.endswith("__init__.py"))
+                at += [i] * len(own)
+                rows += own
+                if len(rows) >= MOST_ROWS:
+                    yield batch_of(batch, at, rows)
+                    at, rows = [], []
+            yield batch_of(batch, at, rows)
 
     python = files.where("language = 'python'").select(F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project"), F.col("file_id").cast("long").alias("file_id"), "path", "content")
     return python.mapInArrow(each, f"project string, file_id long, path string, {_SCHEMA}")

@@ -199,3 +199,21 @@ def test_an_arrival_is_written_by_many_tasks_and_read_as_one_batch(spark, monkey
     rows = flows.incremental_stream(spark, "/root/testdata/sf0.001").orderBy("batch").collect()
     assert [(r["batch"], r["entries"]) for r in rows] == [(0, 180), (1, 200)]
     assert len(list(Path(made[0].removeprefix("file://")).glob("files/*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_file_is_parsed_once(monkeypatch):
+    import ast
+
+    seen, parse = [], ast.parse
+    text = "import os\ndef f(x):\n    os.system(x)\nf(input())\n"
+    with monkeypatch.context() as m:
+        m.setattr(ast, "parse", lambda source, *more: seen.append(source) or parse(source, *more))
+        kinds = [r["kind"] for r in reach.rows_of(text, "m")]
+    assert seen == [text] and sorted(kinds) == ["argument", "argument", "param", "param", "sink"]
+
+
+def test_files_with_many_rows_cross_batches(spark):
+    text = "import os\n" + "os.system(input())\n" * 3000
+    rows = [("p", i, f"m{i}.py", "python", text if i % 2 else "") for i in range(5)]
+    got = reach.parsed(spark.createDataFrame(rows, FILES).coalesce(1)).groupBy("file_id", "path").count().collect()
+    assert sorted((r["file_id"], r["path"], r["count"]) for r in got) == [(1, "m1.py", 6000), (3, "m3.py", 6000)]

@@ -217,3 +217,12 @@ def test_files_with_many_rows_cross_batches(spark):
     rows = [("p", i, f"m{i}.py", "python", text if i % 2 else "") for i in range(5)]
     got = reach.parsed(spark.createDataFrame(rows, FILES).coalesce(1)).groupBy("file_id", "path").count().collect()
     assert sorted((r["file_id"], r["path"], r["count"]) for r in got) == [(1, "m1.py", 6000), (3, "m3.py", 6000)]
+
+
+def test_files_of_a_folder_are_read_by_many_tasks(spark, tmp_path):
+    from sieveline.sources.files import scan_folder
+
+    for i in range(40):
+        (tmp_path / f"f{i}.py").write_text("x")
+    rows = scan_folder(spark, f"file://{tmp_path}")
+    assert rows.count() == 40 and rows.select(F.spark_partition_id()).distinct().count() > 1

@@ -285,3 +285,23 @@ def test_check_call_needs_a_shell():
     from sieveline.operators import taint
 
     assert [f[0] for f in taint.flows("x = input()\nsubprocess.check_call(x)\nsubprocess.check_call(x, shell=True)\nsubprocess.check_output(x)\n")] == ["TAINT-002", "TAINT-002"]
+
+
+def test_anchors_are_found_in_folded_texts(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import scan
+
+    texts = ["PassWord", "Öl: \u017fELECT", "\u212aEY über \u0130d", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(scan.folded(F.col("t"))).collect()] == ["password", "l: select", "key ber id", "", None]
+    held = df.select(*(scan._holds(F.col("t"), w) for w in ("Word", "o", "EY ", "s.w"))).collect()
+    assert [tuple(r) for r in held] == [(True, True, False, False), (False,) * 4, (False, False, True, False), (False,) * 4, (None,) * 4]
+    got = df.select(F.lit(1).alias("file_id"), F.lit("p").alias("path"), F.lit("python").alias("language"), F.concat(F.coalesce("t", F.lit("")), F.lit(" ü pass\u017fWORD='abcdefghi' PASSWORD = 'abcdefghi'")).alias("content"))
+    assert scan.grid(got, scan_rules(), "regex").groupBy("rule_id").count().collect()[0]["count"] >= 5
+
+
+def scan_rules():
+    from sieveline.operators import catalog
+
+    return tuple(r for r in catalog.BASE if r.id == "SEC-002")
